@@ -31,8 +31,11 @@ def membership_closure(edges: DataFrame, group_col: str = "GroupSid", member_col
     ensure_checkpoint_dir(spark)
     if buckets is None:
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Edges are hash-partitioned by the join key once and checkpointed with
+    # that partitioning, so the per-round join shuffles only the frontier.
     e = edges.select(F.col(group_col).alias("MidSid"), F.col(member_col).alias("MemberSid")) \
-             .where(F.col("MidSid").isNotNull() & F.col("MemberSid").isNotNull()).distinct()
+             .where(F.col("MidSid").isNotNull() & F.col("MemberSid").isNotNull()).distinct() \
+             .repartition(buckets, "MidSid")
     e = e.checkpoint(eager=True)
     hot = hot_keys(e, "MidSid", min_share=min_share, min_rows=min_rows)
 

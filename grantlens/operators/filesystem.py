@@ -41,6 +41,16 @@ def _restrict(df: DataFrame, keys_df: DataFrame, cols: list[str], rows=None) ->
     return df.join(F.broadcast(local.distinct()), cols, "left_semi")
 
 
+def _local(spark, rows, schema) -> DataFrame:
+    """A bounded, already-collected lookup as a DataFrame (safe to broadcast)."""
+    return spark.createDataFrame([tuple(r[f.name] for f in schema.fields) for r in rows], schema)
+
+
+def _in_list(df: DataFrame, col: str, rows) -> DataFrame:
+    """Literal IN filter from collected rows (reaches the parquet scan)."""
+    return df.filter(F.col(col).isin(sorted({r[col] for r in rows})))
+
+
 # -- F-1 ---------------------------------------------------------------------
 def sensitive_data(matches: DataFrame, traversal: DataFrame) -> DataFrame:
     """Discover-SensitiveData: total matches per (HostName, ShareName, CriteriaName).
@@ -112,8 +122,10 @@ def trustee_access_batch(cat, requests: DataFrame, levels_down: int = 0, per_res
     keys = ["HostID", "GateID"] + (["ResourceID"] if per_resource else [])
     acl = cat.acl.withColumnRenamed("TrusteeSid", "HolderSid")
     if pair_rows is not None:
-        acl = _restrict(acl, pairs, ["HolderSid"], pair_rows)
-    reach = acl.join(pairs, "HolderSid")
+        pairs = _local(cat.spark, pair_rows, pairs.schema)
+        reach = _in_list(acl, "HolderSid", pair_rows).join(F.broadcast(pairs), "HolderSid")
+    else:
+        reach = acl.join(pairs, "HolderSid")
     share = reach.groupBy("Trustee", "sid", *keys).agg(F.bit_or("AllowRights").alias("_a"), F.bit_or("DenyRights").alias("_d"))
     folders = cat.traversal.filter((F.col("NestedLevel") == levels_down) & (F.col("ResourceType") == 3)) \
         .select(*keys, "NetworkPath")
@@ -164,20 +176,29 @@ def resource_access(cat, resource_path: str) -> DataFrame:
 
 
 # -- F-4 ---------------------------------------------------------------------
-def permission_source_batch(cat, requests: DataFrame, lookup_rows=None, pair_rows=None) -> DataFrame:
+def permission_source_batch(cat, requests: DataFrame, lookup: DataFrame | None = None,
+                            pairs: DataFrame | None = None, lookup_rows=None, pair_rows=None) -> DataFrame:
     """Get-TrusteePermissionSource for (Trustee, Path) requests.
 
     The reference joins lookup x trustee SIDs on a constant; here both are
     keyed by the request, so the join is an equi-join on the request id.
+    ``lookup`` / ``pairs`` may be passed in already resolved (single calls).
     """
     req = requests.select("Trustee", "Path").distinct()
-    lookup = path_lookup_batch(cat.traversal, req.select("Path")).select("Path", *RESOURCE_KEYS)
-    sids = access.trustee_sids_batch(cat.principals, cat.local_trustees, req.select("Trustee"))
-    pairs = _sid_pairs(cat, sids)
-    acl = _restrict(cat.acl, lookup, RESOURCE_KEYS, lookup_rows).withColumnRenamed("TrusteeSid", "HolderSid")
+    if lookup is None:
+        lookup = path_lookup_batch(cat.traversal, req.select("Path")).select("Path", *RESOURCE_KEYS)
+    if pairs is None:
+        sids = access.trustee_sids_batch(cat.principals, cat.local_trustees, req.select("Trustee"))
+        pairs = _sid_pairs(cat, sids)
+    acl = cat.acl.withColumnRenamed("TrusteeSid", "HolderSid")
+    if lookup_rows is not None:
+        for c in RESOURCE_KEYS:
+            acl = _in_list(acl, c, lookup_rows)
     if pair_rows is not None:
-        acl = _restrict(acl, pairs, ["HolderSid"], pair_rows)
-    reach = acl.join(pairs, "HolderSid").join(lookup, RESOURCE_KEYS).join(req, ["Trustee", "Path"])
+        acl = _in_list(acl, "HolderSid", pair_rows)
+    small = lookup_rows is not None and pair_rows is not None
+    hint = F.broadcast if small else (lambda d: d)
+    reach = acl.join(hint(lookup), RESOURCE_KEYS).join(hint(pairs), "HolderSid").join(hint(req), ["Trustee", "Path"])
     paths = cat.traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("ResourcePath"))
     names = cat.principals.select(F.col("ObjectSid").alias("HolderSid"), F.col("NTAccount").alias("_src"))
     r = reach.join(paths, RESOURCE_KEYS).join(names, "HolderSid", "left")
@@ -198,10 +219,16 @@ def permission_source(cat, trustee: str, resource_path: str) -> DataFrame:
     check_trustee(trustee)
     path = normalize_unc(resource_path)
     req = cat.spark.createDataFrame([(trustee, path)], "Trustee string, Path string")
-    lookup_rows = bounded_rows(path_lookup(cat.traversal, path).select(*RESOURCE_KEYS), MAX_LOOKUP_KEYS)
+    lookup = path_lookup(cat.traversal, path).select(F.col("NetworkPath").alias("Path"), *RESOURCE_KEYS)
     sids = access.trustee_sids_batch(cat.principals, cat.local_trustees, req.select("Trustee"))
-    pair_rows = bounded_rows(_sid_pairs(cat, sids), MAX_LOOKUP_KEYS)
-    return permission_source_batch(cat, req, lookup_rows, pair_rows).drop("Trustee", "Path")
+    pairs = _sid_pairs(cat, sids)
+    lookup_rows = bounded_rows(lookup, MAX_LOOKUP_KEYS)
+    pair_rows = bounded_rows(pairs, MAX_LOOKUP_KEYS)
+    if lookup_rows is not None:
+        lookup = _local(cat.spark, lookup_rows, lookup.schema)
+    if pair_rows is not None:
+        pairs = _local(cat.spark, pair_rows, pairs.schema)
+    return permission_source_batch(cat, req, lookup, pairs, lookup_rows, pair_rows).drop("Trustee", "Path")
 
 
 # -- F-6 ---------------------------------------------------------------------

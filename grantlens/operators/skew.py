@@ -23,15 +23,19 @@ def hot_keys(df: DataFrame, key: str, min_share: float = DEFAULT_MIN_SHARE,
              min_rows: int = DEFAULT_MIN_ROWS) -> list:
     """Keys holding at least ``min_share`` of the rows (and ``min_rows``).
 
-    Runs one partial-aggregated count per key; collects at most
-    ``ceil(1 / min_share)`` keys, so the driver never sees an unbounded list.
+    One partial-aggregated count per key, of which only the top
+    ``ceil(1 / min_share) + 1`` keys reach the driver: at most ``1 / min_share``
+    keys can pass the share threshold, so none is missed and the collected
+    list is bounded whatever the data size.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("t")).collect()[0]["t"] or 0
-    threshold = max(int(totals * min_share), int(min_rows))
     limit = int(1 / min_share) + 1
-    rows = counts.filter(F.col("_n") >= threshold).orderBy(F.desc("_n")).limit(limit).collect()
-    return [r[key] for r in rows]
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.filter(F.col("_n") >= min_rows).orderBy(F.desc("_n")).limit(limit).collect()
+    if not top:
+        return []
+    total = df.count()
+    threshold = max(total * min_share, min_rows)
+    return [r[key] for r in top if r["_n"] >= threshold]
 
 
 def skew_join(fan: DataFrame, other: DataFrame, key: str, hot: list | None, buckets: int,

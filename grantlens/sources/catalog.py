@@ -1,8 +1,10 @@
 """GovernanceCatalog: the governance views of one data directory, built lazily.
 
 Every attribute is a DataFrame plan over the driver's parquet tables. The
-only materialised piece is the membership closure (an iterative job); it is
-computed once per catalog and reused by every operator that needs it.
+membership closure (an iterative job) and the directory views every access
+question starts from (edges, principals, trustee -> principal names) are
+written once per catalog with a reliable checkpoint and reused; everything
+else is planned lazily per query.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from grantlens.operators.content import content_matches
 from grantlens.operators.skew import hot_keys
 from grantlens.sources import governance as gov
 from grantlens.sources.raw import read_table
+from grantlens.session import ensure_checkpoint_dir
 
 _CATALOGS: dict[tuple[str, str], "GovernanceCatalog"] = {}
 
@@ -43,6 +46,17 @@ class GovernanceCatalog:
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    def materialize(self, df: DataFrame) -> DataFrame:
+        """Write a shared view once (reliable checkpoint in spark.checkpoint.dir).
+
+        Used for the directory views every access question starts from
+        (membership edges, principals, trustee -> principal names): the
+        tables a scanner would have filled. Lineage ends at the files, so
+        executor loss re-reads them instead of recomputing the joins.
+        """
+        ensure_checkpoint_dir(self.spark)
+        return df.checkpoint(eager=True)
+
     # -- file system --------------------------------------------------------
     @cached_property
     def traversal(self) -> DataFrame:
@@ -79,7 +93,7 @@ class GovernanceCatalog:
 
     @cached_property
     def direct_members(self) -> DataFrame:
-        return gov.direct_members(self.raw("lineitem"), self.raw("orders"), self.raw("supplier"))
+        return self.materialize(gov.direct_members(self.raw("lineitem"), self.raw("orders"), self.raw("supplier")))
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -91,7 +105,7 @@ class GovernanceCatalog:
 
     @cached_property
     def principals(self) -> DataFrame:
-        return gov.principals(self.users, self.groups)
+        return self.materialize(gov.principals(self.users, self.groups))
 
     @cached_property
     def local_trustees(self) -> DataFrame:
@@ -138,12 +152,12 @@ class GovernanceCatalog:
 
     @cached_property
     def trustee_names(self) -> DataFrame:
-        return access.trustee_names(self.closure, self.principals)
+        return self.materialize(access.trustee_names(self.closure, self.principals))
 
     @cached_property
     def hot_holders(self) -> list:
         """Trustee SIDs that reach a large share of all (trustee, principal) pairs."""
-        return hot_keys(self.sid_holders, "HolderSid")
+        return hot_keys(self.trustee_names, "TrusteeSid")
 
     @cached_property
     def effective_access(self) -> DataFrame:

@@ -260,9 +260,12 @@ def unused_access_batch(cat, shares: DataFrame, days_inactive: int = 90, as_of=N
                                    F.col("NetworkPath").alias("FolderPath"))
     folders = _restrict(folders, ts, host_keys, share_rows)
     act = act.join(folders, host_keys + ["FolderID"])
-    prefix = F.concat(F.col("SharePath"), F.lit("\\")) if strict_prefix else F.col("SharePath")
-    act = act.join(ts.select("Path", *host_keys, "SharePath"), host_keys) \
-        .filter(F.col("FolderPath").startswith(prefix))
+    if strict_prefix:  # the share itself or anything below its separator
+        inside = (F.col("FolderPath") == F.col("SharePath")) | \
+            F.col("FolderPath").startswith(F.concat(F.col("SharePath"), F.lit("\\")))
+    else:  # reference: plain prefix, so \\h\data also claims \\h\data2
+        inside = F.col("FolderPath").startswith(F.col("SharePath"))
+    act = act.join(ts.select("Path", *host_keys, "SharePath"), host_keys).filter(inside)
     last = act.groupBy("Path", *host_keys, F.col("UserNTStyleName").alias("TrusteeNTStyleName")) \
         .agg(F.max("ActivityDate").alias("LastActivityDate"))
 

@@ -250,14 +250,18 @@ def fs_exceptions(lineitem: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 def daily_activity(events: DataFrame, users_df: DataFrame, nation: DataFrame) -> DataFrame:
-    """Activity per (host, gate, folder, user, day) with the event count."""
+    """Activity per (host, gate, folder, user, day) with the event count.
+
+    Events are rolled up per (user id, folder, day) *before* the user join:
+    the partial aggregation collapses a chatty user's millions of events to a
+    few rows per task, so the join never sees a hot user key.
+    """
+    folder = F.col("event_id") % 200
+    rolled = events.select("user_id", folder.alias("FolderID"),
+                           F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("ActivityDate")) \
+        .groupBy("user_id", "FolderID", "ActivityDate").agg(F.count(F.lit(1)).alias("EventCount"))
     u = users_df.select(F.col("PrincipalId").alias("user_id"), F.col("NTAccount").alias("UserNTStyleName"))
-    ev = events.select("event_id", "user_id", "ts").join(u, "user_id")
-    folder = (F.col("event_id") % 200)
-    ev = ev.select((folder % HOST_MODULUS).cast("int").alias("HostID"), folder.alias("FolderID"),
-                   "UserNTStyleName", F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("ActivityDate"))
-    daily = ev.groupBy("HostID", "FolderID", "UserNTStyleName", "ActivityDate").agg(
-        F.count(F.lit(1)).alias("EventCount"))
+    daily = rolled.join(u, "user_id").withColumn("HostID", (F.col("FolderID") % HOST_MODULUS).cast("int"))
     return daily.join(hosts(nation).select("HostID", "GateID"), "HostID").select(
         "HostID", "GateID", "FolderID", "UserNTStyleName", "ActivityDate", "EventCount")
 

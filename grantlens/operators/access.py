@@ -56,6 +56,9 @@ def effective_access(acl: DataFrame, names: DataFrame, hot: list | None = None,
     ``names`` is :func:`trustee_names`; ``hot`` the hot TrusteeSids of it.
     Allow is the OR of all reaching allows minus the OR of all denies.
     """
+    # Pre-aggregate with map-side combine, then the salted expansion. (Folding
+    # the pre-aggregation into the join's exchange saves one shuffle but loses
+    # the map-side combine; measured slower at sf0.1.)
     per_trustee = aggregate_acl(acl, RESOURCE_KEYS + ["TrusteeSid"])
     expanded = skew_join(names, per_trustee, "TrusteeSid", hot, buckets)
     eav = expanded.groupBy(*RESOURCE_KEYS, "TrusteeNTStyleName").agg(

@@ -49,15 +49,26 @@ def skew_join(fan: DataFrame, other: DataFrame, key: str, hot: list | None, buck
     """
     if how not in ("inner", "left"):
         raise ValueError("skew_join supports inner and left (fan-preserving) joins")
+    fan_s, other_s, keys = salt(fan, other, key, hot, buckets)
+    joined = fan_s.join(other_s, keys, how)
+    return joined.drop("_salt") if len(keys) > 1 else joined
+
+
+def salt(fan: DataFrame, other: DataFrame, key: str, hot: list | None, buckets: int
+         ) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The two sides of :func:`skew_join` with their salt columns, plus the join keys.
+
+    For callers that want to partition/aggregate the salted side themselves
+    before joining (one exchange instead of two).
+    """
     if not hot or buckets <= 1:
-        return fan.join(other, key, how)
+        return fan, other, [key]
     is_hot = F.col(key).isin(hot)
     content = [F.col(c) for c in fan.columns if c != key] or [F.col(key)]
     fan_s = fan.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*content), F.lit(buckets)))
                            .otherwise(F.lit(0)).cast("int"))
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
-    other_s = other.withColumn("_salt", F.explode(salts))
-    return fan_s.join(other_s, [key, "_salt"], how).drop("_salt")
+    return fan_s, other.withColumn("_salt", F.explode(salts)), [key, "_salt"]
 
 
 def bounded_rows(df: DataFrame, max_rows: int) -> list[Row] | None:

@@ -318,10 +318,16 @@ def lookup_diagnosis(cat, requests: DataFrame) -> DataFrame:
     A NULL Trustee means the question had no trustee.
     """
     req = requests.select("Path", "Trustee").distinct()
-    paths = cat.traversal.groupBy(F.col("NetworkPath").alias("Path")).agg(F.count(F.lit(1)).alias("ResourceMatches"))
+    # Semi-join to the asked paths/names first: only matching rows are counted,
+    # not every path of the traversal.
+    asked_paths = req.select("Path").distinct()
+    asked_names = req.select("Trustee").where(F.col("Trustee").isNotNull()).distinct()
+    paths = cat.traversal.select(F.col("NetworkPath").alias("Path")).join(asked_paths, "Path", "left_semi") \
+        .groupBy("Path").agg(F.count(F.lit(1)).alias("ResourceMatches"))
     d = cat.principals.select(F.col("NTAccount").alias("Trustee"))
     loc = cat.local_trustees.select(F.concat(F.col("NTDomain"), F.lit("\\"), F.col("NTName")).alias("Trustee"))
-    names = d.unionAll(loc).groupBy("Trustee").agg(F.count(F.lit(1)).alias("TrusteeMatches"))
+    names = d.unionAll(loc).join(asked_names, "Trustee", "left_semi") \
+        .groupBy("Trustee").agg(F.count(F.lit(1)).alias("TrusteeMatches"))
     r = req.join(paths, "Path", "left").join(names, "Trustee", "left")
     rm = F.coalesce(F.col("ResourceMatches"), F.lit(0).cast("bigint"))
     tm = F.when(F.col("Trustee").isNull(), F.lit(None).cast("bigint")) \

@@ -22,6 +22,7 @@ from grantlens.sources.raw import read_table
 from grantlens.session import ensure_checkpoint_dir
 
 _CATALOGS: dict[tuple[str, str], "GovernanceCatalog"] = {}
+MAX_SALT_BUCKETS = 64
 
 
 class GovernanceCatalog:
@@ -41,7 +42,9 @@ class GovernanceCatalog:
 
     @property
     def buckets(self) -> int:
-        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        """Salt buckets for hot keys: the shuffle width, capped so a hot key's
+        replicated side stays small (replication cost grows with buckets)."""
+        return max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), MAX_SALT_BUCKETS))
 
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)

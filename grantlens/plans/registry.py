@@ -129,6 +129,20 @@ def q_trustee_access(spark, d):
     return fs.trustee_access(cat(spark, d), TRUSTEE, levels_down=LEVEL)
 
 
+@query("trustee_access_per_resource", W("g_principals", "g_local_trustees", "g_closure", "g_acl", "g_traversal")
+       .rstrip() + "," + _trustee_sid_cte(_sql_text(TRUSTEE)) + f""",
+share AS (
+  SELECT x.HostID, x.GateID, x.ResourceID, p.sid, bit_or(x.AllowRights) AS a, bit_or(x.DenyRights) AS d
+  FROM g_acl x JOIN ts_pairs p ON x.TrusteeSid = p.HolderSid GROUP BY x.HostID, x.GateID, x.ResourceID, p.sid)
+SELECT 'FileSystem' AS DataSource, stv.NetworkPath, {R('p.a')} AS AllowRightsDescription,
+       {R('p.d')} AS DenyRightsDescription
+FROM ts_sid ts CROSS JOIN g_traversal stv
+JOIN share p ON p.HostID = stv.HostID AND p.GateID = stv.GateID AND p.ResourceID = stv.ResourceID AND p.sid = ts.sid
+WHERE stv.NestedLevel = {LEVEL} AND stv.ResourceType = 3""")
+def q_trustee_access_per_resource(spark, d):
+    return fs.trustee_access(cat(spark, d), TRUSTEE, levels_down=LEVEL, per_resource=True)
+
+
 @query("trustee_access_local_batch", W("g_principals", "g_local_trustees", "g_closure", "g_acl", "g_traversal")
        .rstrip() + f""",
 req AS (SELECT DISTINCT NTDomain || chr(92) || NTName AS Trustee FROM g_local_trustees),
@@ -221,6 +235,17 @@ def q_resource_access_folder(spark, d):
     return fs.resource_access(cat(spark, d), FOLDER_PATH_SLASHED)
 
 
+@query("resource_access_all_shares", W("g_traversal", "g_effective_access") + """
+SELECT ri.NetworkPath AS Path, stv.NetworkPath AS FolderFullPath, eav.TrusteeNTStyleName, eav.AllowRightsDescription,
+       eav.DenyRightsDescription
+FROM (SELECT HostID, ResourceID, GateID, NetworkPath FROM g_traversal WHERE NestedLevel = 0) AS ri
+JOIN g_effective_access AS eav ON eav.HostID = ri.HostID AND eav.GateID = ri.GateID AND eav.ResourceID = ri.ResourceID
+LEFT JOIN g_traversal AS stv ON stv.HostID = ri.HostID AND stv.ResourceID = ri.ResourceID AND stv.GateID = ri.GateID""")
+def q_resource_access_all_shares(spark, d):
+    c = cat(spark, d)
+    return fs.resource_access_batch(c, fs.share_roots(c.traversal))
+
+
 @query("effective_access", W("g_effective_access") + "SELECT * FROM g_effective_access")
 def q_effective_access(spark, d):
     return cat(spark, d).effective_access
@@ -429,6 +454,13 @@ def q_ad_users_filtered(spark, d):
                               normal_account_filter="0")
 
 
+@query("ad_users_ignore_case", W("g_users") + f"SELECT {_USER_COLS} FROM g_users WHERE IsDeleted = 0 "
+       "AND NTAccount ILIKE 'dom1' || chr(92) || 'customer#00000%' AND Department ILIKE 'auto%' ORDER BY NTAccount")
+def q_ad_users_ignore_case(spark, d):
+    return directory.ad_users(cat(spark, d).users, ignore_case=True, nt_account_filter="dom1\\customer#00000%",
+                              department_filter="auto%")
+
+
 @query("ad_groups", W("g_groups") + f"SELECT {_GROUP_COLS} FROM g_groups ORDER BY NTAccount")
 def q_ad_groups(spark, d):
     return directory.ad_groups(cat(spark, d).groups)
@@ -442,6 +474,13 @@ def q_ad_groups_filtered(spark, d):
                                is_deleted_filter="0", direct_member_count_filter="3")
 
 
+@query("ad_groups_member_count", W("g_groups") + f"SELECT {_GROUP_COLS} FROM g_groups "
+       "WHERE GroupScope LIKE 'Global' AND IsDeleted = 0 AND DirectMemberCount = 8 ORDER BY NTAccount")
+def q_ad_groups_member_count(spark, d):
+    return directory.ad_groups(cat(spark, d).groups, group_scope_filter="Global", is_deleted_filter="0",
+                               direct_member_count_filter="8")
+
+
 @query("ad_computers", W("g_computers") + f"SELECT {_COMP_COLS} FROM g_computers WHERE IsDeleted = 0 ORDER BY NTAccount")
 def q_ad_computers(spark, d):
     return directory.ad_computers(cat(spark, d).computers)

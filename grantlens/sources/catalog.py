@@ -2,7 +2,7 @@
 
 Every attribute is a DataFrame plan over the driver's parquet tables. The
 membership closure (an iterative job) and the directory views every access
-question starts from (edges, principals, trustee -> principal names) are
+question starts from (membership edges, trustee -> principal names) are
 written once per catalog with a reliable checkpoint and reused; everything
 else is planned lazily per query.
 """
@@ -53,8 +53,8 @@ class GovernanceCatalog:
         """Write a shared view once (reliable checkpoint in spark.checkpoint.dir).
 
         Used for the directory views every access question starts from
-        (membership edges, principals, trustee -> principal names): the
-        tables a scanner would have filled. Lineage ends at the files, so
+        (membership edges, trustee -> principal names): the tables a scanner
+        would have filled. Lineage ends at the files, so
         executor loss re-reads them instead of recomputing the joins.
         """
         ensure_checkpoint_dir(self.spark)
@@ -108,7 +108,9 @@ class GovernanceCatalog:
 
     @cached_property
     def principals(self) -> DataFrame:
-        return self.materialize(gov.principals(self.users, self.groups))
+        # Lazy on purpose: only name/SID columns are used, so Catalyst prunes
+        # the logon-span and member-count joins and this is two dimension scans.
+        return gov.principals(self.users, self.groups)
 
     @cached_property
     def local_trustees(self) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from grantlens.functions.rights import mask_text, rights_letters
 from grantlens.functions.validate import check_non_negative, check_positive, check_trustee, normalize_unc
 from grantlens.operators import access
+from grantlens.operators.prefix import prefix_join
 from grantlens.operators.skew import bounded_rows
 
 RESOURCE_KEYS = access.RESOURCE_KEYS
@@ -83,11 +84,12 @@ def open_shares(traversal: DataFrame, exceptions: DataFrame, within_share: bool
         .select("NetworkPath", "HostID", "GateID").distinct()
     flagged = exceptions.filter(F.col("ParentType") == 1).select(*RESOURCE_KEYS).distinct()
     if within_share:
+        # containment as an equi-join on path cuts (see prefix.py), then drop the share root itself
         paths = traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("_rp"))
-        flagged = flagged.join(paths, RESOURCE_KEYS)
-    j = shares.join(flagged, ["HostID", "GateID"])
-    if within_share:
-        j = j.filter(F.col("_rp").startswith(F.concat(F.col("NetworkPath"), F.lit("\\"))))
+        j = prefix_join(flagged.join(paths, RESOURCE_KEYS), "_rp", shares, "NetworkPath", ["HostID", "GateID"],
+                        strict=True).filter(F.col("_rp") != F.col("NetworkPath"))
+    else:
+        j = shares.join(flagged, ["HostID", "GateID"])
     return j.groupBy(F.col("NetworkPath").alias("SharePath")) \
         .agg(F.countDistinct("ResourceID").alias("ExceptionFolderCountInShare")) \
         .orderBy("SharePath")
@@ -240,7 +242,7 @@ def _as_of_literal(as_of: datetime | str | None) -> Column:
 
 
 def unused_access_batch(cat, shares: DataFrame, days_inactive: int = 90, as_of=None,
-                        strict_prefix: bool = False, share_rows=None) -> DataFrame:
+                        strict_prefix: bool = False, share_rows=None, path_lengths=None) -> DataFrame:
     """Get-UnusedAccess for target share rows (``shares``: Path + traversal columns).
 
     LastActivity: activity on the share's host/gate whose folder path starts
@@ -256,16 +258,17 @@ def unused_access_batch(cat, shares: DataFrame, days_inactive: int = 90, as_of=N
 
     host_keys = ["HostID", "GateID"]
     act = _restrict(cat.daily_activity, ts, host_keys, share_rows)
+    # Only the last day per (folder, user) matters: fold the daily rows before
+    # attaching paths (partial aggregation, no hot-user rows in later joins).
+    act = act.groupBy(*host_keys, "FolderID", "UserNTStyleName").agg(F.max("ActivityDate").alias("ActivityDate"))
     folders = cat.traversal.select(*host_keys, F.col("ResourceID").alias("FolderID"),
                                    F.col("NetworkPath").alias("FolderPath"))
     folders = _restrict(folders, ts, host_keys, share_rows)
     act = act.join(folders, host_keys + ["FolderID"])
-    if strict_prefix:  # the share itself or anything below its separator
-        inside = (F.col("FolderPath") == F.col("SharePath")) | \
-            F.col("FolderPath").startswith(F.concat(F.col("SharePath"), F.lit("\\")))
-    else:  # reference: plain prefix, so \\h\data also claims \\h\data2
-        inside = F.col("FolderPath").startswith(F.col("SharePath"))
-    act = act.join(ts.select("Path", *host_keys, "SharePath"), host_keys).filter(inside)
+    # Activity inside the share: plain prefix by default (the reference lets
+    # \\h\data claim \\h\data2), the share or below its separator if strict.
+    act = prefix_join(act, "FolderPath", ts.select("Path", *host_keys, "SharePath"), "SharePath", host_keys,
+                      strict=strict_prefix, lengths=path_lengths)
     last = act.groupBy("Path", *host_keys, F.col("UserNTStyleName").alias("TrusteeNTStyleName")) \
         .agg(F.max("ActivityDate").alias("LastActivityDate"))
 
@@ -293,7 +296,8 @@ def unused_access(cat, resource_path: str, days_inactive: int = 90, as_of=None,
     check_positive(days_inactive, "days_inactive")
     shares = share_roots(cat.traversal, resource_path)
     rows = bounded_rows(shares.select(*RESOURCE_KEYS), MAX_LOOKUP_KEYS)
-    return unused_access_batch(cat, shares, days_inactive, as_of, strict_prefix, rows).drop("Path") \
+    lengths = [len(normalize_unc(resource_path))]
+    return unused_access_batch(cat, shares, days_inactive, as_of, strict_prefix, rows, lengths).drop("Path") \
         .orderBy("HostName", "ShareName", "TrusteeNTStyleName")
 
 

@@ -95,3 +95,24 @@ def test_resource_and_unused_batch_equal_single_calls(spark):
     for p in paths:
         us += [(p,) + tuple(r) for r in fs.unused_access(cat, p, R.DAYS, as_of=R.AS_OF).collect()]
     assert sorted(tuple(r) for r in ub) == sorted(us) and us
+
+
+def test_prefix_join_equals_brute_force_startswith(spark):
+    from grantlens.operators.prefix import prefix_join
+    rng = random.Random(3)
+    B = "\\"
+    shares = [(h, B * 2 + f"h{h}" + B + name) for h in range(3) for name in ("data", "data2", "d", "x_y")]
+    rows = []
+    for i in range(300):
+        h = rng.randrange(3)
+        base = rng.choice(["data", "data2", "d", "dat", "x_y", "x_yz", "data2" + B + "a"])
+        tail = "".join(rng.choice(["", B + "s", B + "t" + str(i % 7)]) for _ in range(rng.randrange(3)))
+        rows.append((i, h, B * 2 + f"h{h}" + B + base + tail))
+    rdf = spark.createDataFrame(rows, "id int, HostID int, FolderPath string")
+    tdf = spark.createDataFrame(shares, "HostID int, SharePath string")
+    for strict in (False, True):
+        got = sorted((r.id, r.SharePath) for r in prefix_join(rdf, "FolderPath", tdf, "SharePath", ["HostID"],
+                                                              strict=strict).collect())
+        want = sorted((i, s) for i, h, p in rows for hh, s in shares
+                      if h == hh and (p == s or p.startswith(s + B) if strict else p.startswith(s)))
+        assert got == want and want

@@ -19,7 +19,7 @@ from grantlens.functions.rights import mask_text, rights_letters
 from grantlens.functions.validate import check_non_negative, check_positive, check_trustee, normalize_unc
 from grantlens.operators import access
 from grantlens.operators.prefix import prefix_join
-from grantlens.operators.skew import bounded_rows
+from grantlens.operators.skew import bounded_rows, skew_join
 
 RESOURCE_KEYS = access.RESOURCE_KEYS
 MAX_LOOKUP_KEYS = 10_000
@@ -127,7 +127,9 @@ def trustee_access_batch(cat, requests: DataFrame, levels_down: int = 0, per_res
         pairs = _local(cat.spark, pair_rows, pairs.schema)
         reach = _in_list(acl, "HolderSid", pair_rows).join(F.broadcast(pairs), "HolderSid")
     else:
-        reach = acl.join(pairs, "HolderSid")
+        # A group above everyone (the directory root, "everyone") is in every
+        # trustee's pair list: salt those holders across tasks.
+        reach = skew_join(pairs, acl, "HolderSid", cat.hot_holders, cat.buckets)
     share = reach.groupBy("Trustee", "sid", *keys).agg(F.bit_or("AllowRights").alias("_a"), F.bit_or("DenyRights").alias("_d"))
     folders = cat.traversal.filter((F.col("NestedLevel") == levels_down) & (F.col("ResourceType") == 3)) \
         .select(*keys, "NetworkPath")
@@ -198,9 +200,12 @@ def permission_source_batch(cat, requests: DataFrame, lookup: DataFrame | None =
             acl = _in_list(acl, c, lookup_rows)
     if pair_rows is not None:
         acl = _in_list(acl, "HolderSid", pair_rows)
-    small = lookup_rows is not None and pair_rows is not None
-    hint = F.broadcast if small else (lambda d: d)
-    reach = acl.join(hint(lookup), RESOURCE_KEYS).join(hint(pairs), "HolderSid").join(hint(req), ["Trustee", "Path"])
+    if lookup_rows is not None and pair_rows is not None:
+        reach = acl.join(F.broadcast(lookup), RESOURCE_KEYS).join(F.broadcast(pairs), "HolderSid") \
+            .join(F.broadcast(req), ["Trustee", "Path"])
+    else:
+        reach = skew_join(pairs, acl.join(lookup, RESOURCE_KEYS), "HolderSid", cat.hot_holders, cat.buckets) \
+            .join(req, ["Trustee", "Path"])
     paths = cat.traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("ResourcePath"))
     names = cat.principals.select(F.col("ObjectSid").alias("HolderSid"), F.col("NTAccount").alias("_src"))
     r = reach.join(paths, RESOURCE_KEYS).join(names, "HolderSid", "left")

@@ -54,8 +54,8 @@ def membership_closure(edges: DataFrame, group_col: str = "GroupSid", member_col
         levels.append(new.withColumn("MinNestingLevel", F.lit(depth)))
         seen = seen.unionByName(new)
         frontier = new
-    # One consolidated table instead of a union of per-round files: later scans
-    # read a few balanced partitions (hashed on the pair, so a hot group does
-    # not make one partition hold a third of the closure).
-    closed = reduce(DataFrame.unionByName, levels).repartition("GroupSid", "MemberSid")
-    return closed.checkpoint(eager=True)
+    # The rounds are already written; merge their partitions narrowly (no
+    # shuffle, no second write) so later scans run one task per shuffle
+    # partition instead of one per round and partition.
+    closed = reduce(DataFrame.unionByName, levels)
+    return closed.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))

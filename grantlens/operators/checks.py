@@ -13,6 +13,13 @@ from pyspark.sql.types import StringType
 from grantlens.functions.fingerprint import fingerprint
 
 
+def check_table_name(name: str) -> str:
+    """Table names: letters, digits and underscores only (as the schema tool requires)."""
+    if not name or not name.replace("_", "").isalnum():
+        raise ValueError(f"Invalid table name format: {name}")
+    return name
+
+
 def column_profile(df: DataFrame, table_name: str, exact: bool = True) -> DataFrame:
     """Per column: ordinal, name, type, null count, max text length, distinct count.
 
@@ -20,6 +27,7 @@ def column_profile(df: DataFrame, table_name: str, exact: bool = True) -> DataFr
     single-row final stage), then an unpivot of that one row. ``exact=False``
     uses HyperLogLog (``approx_count_distinct``), the right choice at scale.
     """
+    check_table_name(table_name)
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
@@ -79,10 +87,24 @@ def foreign_key_check(child: DataFrame, child_table: str, child_col: str,
                       "*", (F.col("orphan_rows") == 0).alias("is_valid"))
 
 
+def _is_query(spark: SparkSession, text: str) -> bool | None:
+    """Ask Spark's own parser whether ``text`` is a query (None if it cannot tell)."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception:  # noqa: BLE001 - no JVM access (e.g. Spark Connect) or parse error: let spark.sql report
+        return None
+    jvm = spark.sparkContext._jvm
+    command = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    return not command.isInstance(plan) and "Command" not in plan.getClass().getSimpleName()
+
+
 def run_sql(spark: SparkSession, text: str, params=None, views: dict[str, DataFrame] | None = None) -> DataFrame:
     """Parameterised SQL over registered views: ``?`` markers bound from a list
     (or ``:name`` markers from a dict). Values are bound, never spliced into
-    the text."""
+    the text. Only queries run: spark.sql executes commands (DDL/DML)
+    immediately, so they are refused before execution."""
+    if _is_query(spark, text) is False:
+        raise ValueError("only queries can run here (no DDL/DML statements)")
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
     return spark.sql(text, args=params) if params else spark.sql(text)

@@ -40,6 +40,16 @@ class GovernanceCatalog:
             _CATALOGS[key] = cls(spark, sf_dir)
         return _CATALOGS[key]
 
+    @classmethod
+    def from_persisted(cls, spark: SparkSession, root: str, sf_dir: str | None = None) -> "GovernanceCatalog":
+        """A catalog over views written by :func:`grantlens.sources.layout.persist_catalog`.
+
+        Host-partitioned views let single-path questions prune to one host's
+        files. Views that were not persisted are derived from ``sf_dir``.
+        """
+        from grantlens.sources.layout import load_views
+        return cls(spark, sf_dir, **load_views(spark, root))
+
     @property
     def buckets(self) -> int:
         """Salt buckets for hot keys: the shuffle width, capped so a hot key's

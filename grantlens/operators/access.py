@@ -50,7 +50,8 @@ def _decoded(allow: Column, deny: Column) -> list[Column]:
             rights_letters(eff).alias("AllowRightsDescription"), rights_letters(deny).alias("DenyRightsDescription")]
 
 
-def effective_access(acl: DataFrame, names: DataFrame, hot: list | None = None, buckets: int = 1) -> DataFrame:
+def effective_access(acl: DataFrame, names: DataFrame, hot: list | None = None, buckets: int = 1,
+                     partitions: int | None = None) -> DataFrame:
     """G-5: (HostID, GateID, ResourceID, TrusteeNTStyleName, AllowRights, DenyRights, descriptions).
 
     ``names`` is :func:`trustee_names`; ``hot`` the hot TrusteeSids of it.
@@ -60,14 +61,14 @@ def effective_access(acl: DataFrame, names: DataFrame, hot: list | None = None,
     # the pre-aggregation into the join's exchange saves one shuffle but loses
     # the map-side combine; measured slower at sf0.1.)
     per_trustee = aggregate_acl(acl, RESOURCE_KEYS + ["TrusteeSid"])
-    expanded = skew_join(names, per_trustee, "TrusteeSid", hot, buckets)
+    expanded = skew_join(names, per_trustee, "TrusteeSid", hot, buckets, partitions=partitions)
     eav = expanded.groupBy(*RESOURCE_KEYS, "TrusteeNTStyleName").agg(
         F.bit_or("AllowRights").alias("_a"), F.bit_or("DenyRights").alias("_d"))
     return eav.select(*RESOURCE_KEYS, "TrusteeNTStyleName", *_decoded(F.col("_a"), F.col("_d")))
 
 
 def trustee_share_access(acl: DataFrame, sid_holders: DataFrame, hot: list | None = None,
-                         buckets: int = 1) -> DataFrame:
+                         buckets: int = 1, partitions: int | None = None) -> DataFrame:
     """G-3: host/gate-wide rights per SID (HostID, GateID, Sid, HOST, AllowRights, DenyRights).
 
     ``sid_holders`` is (HolderSid, MemberSid) from :func:`holders`: the entries
@@ -75,7 +76,7 @@ def trustee_share_access(acl: DataFrame, sid_holders: DataFrame, hot: list | Non
     """
     per_trustee = aggregate_acl(acl, ["HostID", "GateID", "TrusteeSid"]) \
         .withColumnRenamed("TrusteeSid", "HolderSid")
-    expanded = skew_join(sid_holders, per_trustee, "HolderSid", hot, buckets)
+    expanded = skew_join(sid_holders, per_trustee, "HolderSid", hot, buckets, partitions=partitions)
     out = expanded.groupBy("HostID", "GateID", F.col("MemberSid").alias("Sid")).agg(
         F.bit_or("AllowRights").alias("AllowRights"), F.bit_or("DenyRights").alias("DenyRights"))
     return out.select("HostID", "GateID", "Sid", F.col("HostID").alias("HOST"), "AllowRights", "DenyRights")
@@ -99,7 +100,7 @@ def trustee_sids_batch(principals: DataFrame, local_trustees: DataFrame, request
 
 
 def permission_entries(acl: DataFrame, sid_holders: DataFrame, traversal: DataFrame, principals: DataFrame,
-                       hot: list | None = None, buckets: int = 1) -> DataFrame:
+                       hot: list | None = None, buckets: int = 1, partitions: int | None = None) -> DataFrame:
     """G-4: one row per ACL entry that reaches a SID, with where it comes from.
 
     Columns: HostID, GateID, ResourceID, Sid, SourceTrusteePath,
@@ -107,7 +108,7 @@ def permission_entries(acl: DataFrame, sid_holders: DataFrame, traversal: DataFr
     letters and their masks as text.
     """
     entries = acl.withColumnRenamed("TrusteeSid", "HolderSid")
-    reach = skew_join(sid_holders, entries, "HolderSid", hot, buckets)
+    reach = skew_join(sid_holders, entries, "HolderSid", hot, buckets, partitions=partitions)
     paths = traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("ResourcePath"))
     names = principals.select(F.col("ObjectSid").alias("HolderSid"), F.col("NTAccount").alias("_src"))
     r = reach.join(paths, RESOURCE_KEYS).join(names, "HolderSid", "left")

@@ -39,7 +39,7 @@ def hot_keys(df: DataFrame, key: str, min_share: float = DEFAULT_MIN_SHARE,
 
 
 def skew_join(fan: DataFrame, other: DataFrame, key: str, hot: list | None, buckets: int,
-              how: str = "inner") -> DataFrame:
+              how: str = "inner", partitions: int | None = None) -> DataFrame:
     """Equi-join on ``key`` with hot keys of ``fan`` spread over ``buckets`` salts.
 
     ``fan`` is the side whose hot keys carry many rows; each of its rows keeps
@@ -50,6 +50,11 @@ def skew_join(fan: DataFrame, other: DataFrame, key: str, hot: list | None, buck
     if how not in ("inner", "left"):
         raise ValueError("skew_join supports inner and left (fan-preserving) joins")
     fan_s, other_s, keys = salt(fan, other, key, hot, buckets)
+    if partitions:
+        # Expansion joins (output >> input): AQE sizes partitions by the small
+        # inputs and would coalesce them into a few tasks that then produce
+        # most of the output. A numbered repartition keeps the join wide.
+        fan_s, other_s = fan_s.repartition(partitions, *keys), other_s.repartition(partitions, *keys)
     joined = fan_s.join(other_s, keys, how)
     return joined.drop("_salt") if len(keys) > 1 else joined
 

@@ -56,6 +56,16 @@ class GovernanceCatalog:
         replicated side stays small (replication cost grows with buckets)."""
         return max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), MAX_SALT_BUCKETS))
 
+    @property
+    def expansion_partitions(self) -> int:
+        """Partitions for joins whose output dwarfs their input (ACL x membership).
+
+        AQE would size them by the small inputs; at least two tasks per core
+        (and never fewer than the shuffle width) keeps the expansion spread.
+        """
+        shuffle = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(shuffle, 2 * self.spark.sparkContext.defaultParallelism)
+
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
@@ -176,16 +186,19 @@ class GovernanceCatalog:
 
     @cached_property
     def effective_access(self) -> DataFrame:
-        return access.effective_access(self.acl, self.trustee_names, self.hot_holders, self.buckets)
+        return access.effective_access(self.acl, self.trustee_names, self.hot_holders, self.buckets,
+                                       self.expansion_partitions)
 
     def effective_access_for(self, acl_subset: DataFrame) -> DataFrame:
+        # restricted ACL (one path or a few): AQE may size this join by its inputs
         return access.effective_access(acl_subset, self.trustee_names, self.hot_holders, self.buckets)
 
     @cached_property
     def trustee_share_access(self) -> DataFrame:
-        return access.trustee_share_access(self.acl, self.sid_holders, self.hot_holders, self.buckets)
+        return access.trustee_share_access(self.acl, self.sid_holders, self.hot_holders, self.buckets,
+                                           self.expansion_partitions)
 
     @cached_property
     def permission_entries(self) -> DataFrame:
         return access.permission_entries(self.acl, self.sid_holders, self.traversal, self.principals,
-                                         self.hot_holders, self.buckets)
+                                         self.hot_holders, self.buckets, self.expansion_partitions)

@@ -38,17 +38,75 @@ def hot_keys(df: DataFrame, key: str, min_share: float = DEFAULT_MIN_SHARE,
     return [r[key] for r in top if r["_n"] >= threshold]
 
 
-def skew_join(fan: DataFrame, other: DataFrame, key: str, hot: list | None, buckets: int,
+def hot_plan(left: DataFrame, right: DataFrame, key: str, min_share: float = DEFAULT_MIN_SHARE,
+             min_rows: int = DEFAULT_MIN_ROWS) -> dict:
+    """Which side to split for each hot key of a join: ``{key: True}`` splits
+    ``left`` (and replicates ``right``'s rows of that key), ``False`` the reverse.
+
+    Hot keys are found on both inputs; then both sides are counted for those
+    keys only (bounded: at most ``2 / min_share`` keys) and the larger side of
+    each key is the one split, so replication always copies the smaller side.
+    """
+    keys = list(dict.fromkeys(hot_keys(left, key, min_share, min_rows) + hot_keys(right, key, min_share, min_rows)))
+    if not keys:
+        return {}
+
+    def counts(df: DataFrame) -> dict:
+        rows = df.filter(F.col(key).isin(keys)).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).collect()
+        return {r[key]: r["_n"] for r in rows}
+
+    lc, rc = counts(left), counts(right)
+    return {k: lc.get(k, 0) >= rc.get(k, 0) for k in keys}
+
+
+def _as_plan(hot) -> dict:
+    if not hot:
+        return {}
+    return dict(hot) if isinstance(hot, dict) else {k: True for k in hot}
+
+
+def salt(fan: DataFrame, other: DataFrame, key: str, hot, buckets: int
+         ) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The two sides of :func:`skew_join` with their salt columns, plus the join keys.
+
+    ``hot`` is a list of keys (split ``fan``) or a :func:`hot_plan` dict. A
+    split row gets one salt from a hash of its content; the other side's rows
+    of that key are replicated once per salt; all other rows get salt 0.
+    """
+    plan = _as_plan(hot)
+    if not plan or buckets <= 1:
+        return fan, other, [key]
+    split_fan = [k for k, v in plan.items() if v]
+    split_other = [k for k, v in plan.items() if not v]
+    every = F.sequence(F.lit(0), F.lit(buckets - 1))
+
+    def salted(df: DataFrame, split: list, replicate: list) -> DataFrame:
+        content = [F.col(c) for c in df.columns if c != key] or [F.col(key)]
+        one = F.array(F.pmod(F.xxhash64(*content), F.lit(buckets)).cast("int"))
+        arr = F.array(F.lit(0))
+        if replicate:
+            arr = F.when(F.col(key).isin(replicate), every).otherwise(arr)
+        if split:
+            arr = F.when(F.col(key).isin(split), one).otherwise(arr)
+        return df.withColumn("_salt", F.explode(arr))
+
+    return salted(fan, split_fan, split_other), salted(other, split_other, split_fan), [key, "_salt"]
+
+
+def skew_join(fan: DataFrame, other: DataFrame, key: str, hot, buckets: int,
               how: str = "inner", partitions: int | None = None) -> DataFrame:
-    """Equi-join on ``key`` with hot keys of ``fan`` spread over ``buckets`` salts.
+    """Equi-join on ``key`` with hot keys spread over ``buckets`` salts.
 
-    ``fan`` is the side whose hot keys carry many rows; each of its rows keeps
-    exactly one salt, and ``other``'s rows for hot keys are replicated once per
-    salt, so inner and fan-preserving left joins give exactly the plain
-    join's rows.
+    With a list, ``fan`` is the side whose hot keys carry many rows; with a
+    :func:`hot_plan` dict each hot key splits its larger side. Each split row
+    keeps exactly one salt and the other side's rows of that key are
+    replicated once per salt, so inner joins (and left joins that only
+    split/replicate as planned on the right) give exactly the plain join.
     """
     if how not in ("inner", "left"):
-        raise ValueError("skew_join supports inner and left (fan-preserving) joins")
+        raise ValueError("skew_join supports inner and left joins")
+    if how == "left" and any(v is False for v in _as_plan(hot).values()):
+        raise ValueError("a left join may only split its left side")
     fan_s, other_s, keys = salt(fan, other, key, hot, buckets)
     if partitions:
         # Expansion joins (output >> input): AQE sizes partitions by the small
@@ -59,23 +117,6 @@ def skew_join(fan: DataFrame, other: DataFrame, key: str, hot: list | None, buck
     return joined.drop("_salt") if len(keys) > 1 else joined
 
 
-def salt(fan: DataFrame, other: DataFrame, key: str, hot: list | None, buckets: int
-         ) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The two sides of :func:`skew_join` with their salt columns, plus the join keys.
-
-    For callers that want to partition/aggregate the salted side themselves
-    before joining (one exchange instead of two).
-    """
-    if not hot or buckets <= 1:
-        return fan, other, [key]
-    is_hot = F.col(key).isin(hot)
-    content = [F.col(c) for c in fan.columns if c != key] or [F.col(key)]
-    fan_s = fan.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*content), F.lit(buckets)))
-                           .otherwise(F.lit(0)).cast("int"))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
-    return fan_s, other.withColumn("_salt", F.explode(salts)), [key, "_salt"]
-
-
 def bounded_rows(df: DataFrame, max_rows: int) -> list[Row] | None:
     """Collect ``df`` only if it has at most ``max_rows`` rows, else ``None``.
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from grantlens.operators import access
 from grantlens.operators.closure import membership_closure
 from grantlens.operators.content import content_matches
-from grantlens.operators.skew import hot_keys
+from grantlens.operators.skew import hot_plan
 from grantlens.sources import governance as gov
 from grantlens.sources.raw import read_table
 from grantlens.session import ensure_checkpoint_dir
@@ -180,9 +180,14 @@ class GovernanceCatalog:
         return self.materialize(access.trustee_names(self.closure, self.principals))
 
     @cached_property
-    def hot_holders(self) -> list:
-        """Trustee SIDs that reach a large share of all (trustee, principal) pairs."""
-        return hot_keys(self.trustee_names, "TrusteeSid")
+    def hot_holders(self) -> dict:
+        """Salt plan for joins of trustee SIDs (membership side) with the ACL.
+
+        Hot SIDs are found on both sides: a group reaching a third of all
+        principals, or a trustee on a third of all ACL entries. Per SID the
+        larger side is split, the smaller replicated (see skew.hot_plan).
+        """
+        return hot_plan(self.trustee_names, self.acl.select("TrusteeSid"), "TrusteeSid")
 
     @cached_property
     def effective_access(self) -> DataFrame:

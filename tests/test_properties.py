@@ -116,3 +116,16 @@ def test_prefix_join_equals_brute_force_startswith(spark):
         want = sorted((i, s) for i, h, p in rows for hh, s in shares
                       if h == hh and (p == s or p.startswith(s + B) if strict else p.startswith(s)))
         assert got == want and want
+
+
+def test_two_sided_salt_plan_splits_larger_side(spark):
+    from grantlens.operators.skew import hot_plan
+    # "admins": few members, most ACL rows -> split the ACL side; "everyone": many members, few ACL rows
+    members = spark.createDataFrame([("everyone", f"u{i}") for i in range(300)] + [("admins", "u1"), ("admins", "u2")],
+                                    "k string, m string")
+    acl = spark.createDataFrame([("admins", f"r{i}") for i in range(400)] + [("everyone", "r1"), ("x", "r2")],
+                                "k string, r string")
+    plan = hot_plan(members, acl, "k", min_share=0.2, min_rows=10)
+    assert plan == {"everyone": True, "admins": False}
+    salted = skew_join(members, acl, "k", plan, buckets=8, partitions=4)
+    assert sorted(salted.collect()) == sorted(members.join(acl, "k").collect())

@@ -123,9 +123,15 @@ def trustee_access_batch(cat, requests: DataFrame, levels_down: int = 0, per_res
     pairs = _sid_pairs(cat, sids)
     keys = ["HostID", "GateID"] + (["ResourceID"] if per_resource else [])
     acl = cat.acl.withColumnRenamed("TrusteeSid", "HolderSid")
+    if pair_rows is not None:
+        acl = _in_list(acl, "HolderSid", pair_rows)
+    # Fold each holder's entries to one mask per host/gate (or resource) before
+    # the expansion: a group inherited by every trustee then multiplies by its
+    # host/gates, not by its raw entry count.
+    acl = access.aggregate_acl(acl, ["HolderSid", *keys])
     if pair_rows is not None:
         pairs = _local(cat.spark, pair_rows, pairs.schema)
-        reach = _in_list(acl, "HolderSid", pair_rows).join(F.broadcast(pairs), "HolderSid")
+        reach = acl.join(F.broadcast(pairs), "HolderSid")
     else:
         # A group above everyone (the directory root, "everyone") is in every
         # trustee's pair list: salt those holders across tasks.
@@ -200,12 +206,14 @@ def permission_source_batch(cat, requests: DataFrame, lookup: DataFrame | None =
             acl = _in_list(acl, c, lookup_rows)
     if pair_rows is not None:
         acl = _in_list(acl, "HolderSid", pair_rows)
-    if lookup_rows is not None and pair_rows is not None:
-        reach = acl.join(F.broadcast(lookup), RESOURCE_KEYS).join(F.broadcast(pairs), "HolderSid") \
-            .join(F.broadcast(req), ["Trustee", "Path"])
-    else:
-        reach = skew_join(pairs, acl.join(lookup, RESOURCE_KEYS), "HolderSid", cat.hot_holders, cat.buckets) \
-            .join(req, ["Trustee", "Path"])
+    # Key both sides by the request first, so the final equi-join is on
+    # (Trustee, Path, HolderSid): entries are matched only with pairs of the
+    # same request (no requests x requests product, no hot single key).
+    small = lookup_rows is not None and pair_rows is not None
+    hint = F.broadcast if small else (lambda d: d)
+    on_path = lookup.join(hint(req), "Path")
+    of_trustee = pairs.join(hint(req), "Trustee")
+    reach = acl.join(hint(on_path), RESOURCE_KEYS).join(hint(of_trustee), ["Trustee", "Path", "HolderSid"])
     paths = cat.traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("ResourcePath"))
     names = cat.principals.select(F.col("ObjectSid").alias("HolderSid"), F.col("NTAccount").alias("_src"))
     r = reach.join(paths, RESOURCE_KEYS).join(names, "HolderSid", "left")

@@ -129,3 +129,14 @@ def test_two_sided_salt_plan_splits_larger_side(spark):
     assert plan == {"everyone": True, "admins": False}
     salted = skew_join(members, acl, "k", plan, buckets=8, partitions=4)
     assert sorted(salted.collect()) == sorted(members.join(acl, "k").collect())
+
+
+def test_permission_source_batch_equals_single_calls(spark):
+    cat = _cat(spark)
+    reqs = [(R.TRUSTEE, "\\\\NATION_3\\data"), ("DOM10\\Customer#000000237", "\\\\NATION_3\\data"),
+            (R.TRUSTEE, "\\\\NATION_7\\data2")]
+    batch = fs.permission_source_batch(cat, spark.createDataFrame(reqs, "Trustee string, Path string")).collect()
+    singles = []
+    for t, p in reqs:
+        singles += [(t, p) + tuple(r) for r in fs.permission_source(cat, t, p).collect()]
+    assert sorted(tuple(r) for r in batch) == sorted(singles) and singles

@@ -195,8 +195,11 @@ class GovernanceCatalog:
                                        self.expansion_partitions)
 
     def effective_access_for(self, acl_subset: DataFrame) -> DataFrame:
-        # restricted ACL (one path or a few): AQE may size this join by its inputs
-        return access.effective_access(acl_subset, self.trustee_names, self.hot_holders, self.buckets)
+        # A restricted ACL (one path or a few) is small: only split the membership
+        # side of hot SIDs and replicate the few ACL rows, never the reverse
+        # (the two-sided plan was decided on the full ACL).
+        split_members = [k for k, split_left in self.hot_holders.items() if split_left]
+        return access.effective_access(acl_subset, self.trustee_names, split_members, self.buckets)
 
     @cached_property
     def trustee_share_access(self) -> DataFrame:

@@ -87,7 +87,9 @@ class GovernanceCatalog:
 
     @cached_property
     def acl(self) -> DataFrame:
-        return gov.acl(self.raw("lineitem"), self.raw("orders"), self.raw("nation"))
+        # Written once: every access question starts from it, and deriving it
+        # repeats a lineitem scan and an orders join per question.
+        return self.materialize(gov.acl(self.raw("lineitem"), self.raw("orders"), self.raw("nation")))
 
     @cached_property
     def fs_exceptions(self) -> DataFrame:

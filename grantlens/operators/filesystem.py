@@ -353,3 +353,12 @@ def lookup_diagnosis(cat, requests: DataFrame) -> DataFrame:
               .when(F.col("Trustee").isNotNull() & (tm == 0), F.lit("trustee unknown")) \
               .otherwise(F.lit("no access found"))
     return r.select("Path", "Trustee", rm.alias("ResourceMatches"), tm.alias("TrusteeMatches"), reason.alias("Reason"))
+
+
+def diagnose(cat, resource_path: str, trustee: str | None = None) -> DataFrame:
+    """F-9 for one question: one row (Path, Trustee, ResourceMatches, TrusteeMatches, Reason)."""
+    path = normalize_unc(resource_path)
+    if trustee is not None:
+        check_trustee(trustee)
+    req = cat.spark.createDataFrame([(path, trustee)], "Path string, Trustee string")
+    return lookup_diagnosis(cat, req)

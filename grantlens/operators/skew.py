@@ -19,6 +19,13 @@ DEFAULT_MIN_SHARE = 0.02
 DEFAULT_MIN_ROWS = 1000
 
 
+def share_for(partitions: int, factor: float = 4.0) -> float:
+    """Hot-key share threshold for a shuffle of ``partitions``: a key is hot
+    when it holds more than ``factor`` average partitions' worth of rows
+    (capped at the default 2 %). At 2,000 partitions that is 0.2 %."""
+    return min(DEFAULT_MIN_SHARE, factor / max(1, partitions))
+
+
 def hot_keys(df: DataFrame, key: str, min_share: float = DEFAULT_MIN_SHARE,
              min_rows: int = DEFAULT_MIN_ROWS) -> list:
     """Keys holding at least ``min_share`` of the rows (and ``min_rows``).

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from grantlens.operators import access
 from grantlens.operators.closure import membership_closure
 from grantlens.operators.content import content_matches
-from grantlens.operators.skew import hot_plan
+from grantlens.operators.skew import hot_plan, share_for
 from grantlens.sources import governance as gov
 from grantlens.sources.raw import read_table
 from grantlens.session import ensure_checkpoint_dir
@@ -140,7 +140,8 @@ class GovernanceCatalog:
 
     @cached_property
     def closure(self) -> DataFrame:
-        return membership_closure(self.direct_members, buckets=self.buckets)
+        share = share_for(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return membership_closure(self.direct_members, buckets=self.buckets, min_share=share)
 
     @cached_property
     def ad_permissions(self) -> DataFrame:
@@ -189,7 +190,8 @@ class GovernanceCatalog:
         principals, or a trustee on a third of all ACL entries. Per SID the
         larger side is split, the smaller replicated (see skew.hot_plan).
         """
-        return hot_plan(self.trustee_names, self.acl.select("TrusteeSid"), "TrusteeSid")
+        share = share_for(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return hot_plan(self.trustee_names, self.acl.select("TrusteeSid"), "TrusteeSid", min_share=share)
 
     @cached_property
     def effective_access(self) -> DataFrame:

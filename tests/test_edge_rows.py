@@ -151,3 +151,11 @@ def test_fingerprint_log_lines(spark):
     assert len(got[2]) == 153 and got[2].endswith("...")
     assert got[3] == "mail ?@? now"
     assert got[4] == ""
+
+
+def test_diagnose_single_question(spark):
+    cat = mini_catalog(spark)
+    r = fs.diagnose(cat, "//H1/data", "CORP\\nobody").collect()
+    assert [(x.ResourceMatches, x.TrusteeMatches, x.Reason) for x in r] == [(1, 0, "trustee unknown")]
+    r = fs.diagnose(cat, "\\\\H9\\none").collect()
+    assert [(x.ResourceMatches, x.TrusteeMatches, x.Reason) for x in r] == [(0, None, "path unknown")]

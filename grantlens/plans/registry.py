@@ -181,7 +181,7 @@ def q_trustee_share_access(spark, d):
 _MASK = "'0x' || lpad(hex({m}), 8, '0')"
 
 
-def _perm_columns(prefix: str = "") -> str:
+def _perm_columns() -> str:
     return f"""coalesce(pr.NTAccount, ps.HolderSid) AS SourceTrusteePath, t.NetworkPath AS ResourcePath,
        CASE WHEN ps.HolderSid = ps.sid THEN 'Direct' ELSE 'Group' END AS PermissionSourceType,
        {R('ps.AllowRights')} AS AllowRightsDescription, {_MASK.format(m='ps.AllowRights')} AS AllowMaskDescription,

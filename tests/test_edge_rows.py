@@ -159,3 +159,10 @@ def test_diagnose_single_question(spark):
     assert [(x.ResourceMatches, x.TrusteeMatches, x.Reason) for x in r] == [(1, 0, "trustee unknown")]
     r = fs.diagnose(cat, "\\\\H9\\none").collect()
     assert [(x.ResourceMatches, x.TrusteeMatches, x.Reason) for x in r] == [(0, None, "path unknown")]
+
+
+def test_trustee_sids_union_is_distinct(spark):
+    from grantlens.operators.access import trustee_sids
+    cat = mini_catalog(spark)
+    assert [r.sid for r in trustee_sids(cat.principals, cat.local_trustees, "CORP\\staff").collect()] == ["S-g1"]
+    assert trustee_sids(cat.principals, cat.local_trustees, "CORP\\nobody").count() == 0

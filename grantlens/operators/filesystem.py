@@ -173,15 +173,18 @@ def resource_access_batch(cat, lookup: DataFrame, lookup_rows=None) -> DataFrame
     acl = _restrict(cat.acl, lookup, RESOURCE_KEYS, lookup_rows)
     eav = cat.effective_access_for(acl)
     ri = lookup.select("Path", *RESOURCE_KEYS)
-    stv = cat.traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("FolderFullPath"))
+    stv = _restrict(cat.traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("FolderFullPath")),
+                    lookup, RESOURCE_KEYS, lookup_rows)
     return ri.join(eav, RESOURCE_KEYS).join(stv, RESOURCE_KEYS, "left") \
         .filter(F.col("TrusteeNTStyleName").isNotNull()) \
         .select("Path", "FolderFullPath", "TrusteeNTStyleName", "AllowRightsDescription", "DenyRightsDescription")
 
 
 def resource_access(cat, resource_path: str) -> DataFrame:
-    lookup = path_lookup(cat.traversal, resource_path).withColumnRenamed("NetworkPath", "Path")
-    rows = bounded_rows(lookup.select(*RESOURCE_KEYS), MAX_LOOKUP_KEYS)
+    lookup = path_lookup(cat.traversal, resource_path).select(F.col("NetworkPath").alias("Path"), *RESOURCE_KEYS)
+    rows = bounded_rows(lookup, MAX_LOOKUP_KEYS)
+    if rows is not None:
+        lookup = _local(cat.spark, rows, lookup.schema)
     return resource_access_batch(cat, lookup, rows).drop("Path").orderBy("TrusteeNTStyleName")
 
 
@@ -307,8 +310,11 @@ def share_roots(traversal: DataFrame, path: str | None = None) -> DataFrame:
 def unused_access(cat, resource_path: str, days_inactive: int = 90, as_of=None,
                   strict_prefix: bool = False) -> DataFrame:
     check_positive(days_inactive, "days_inactive")
-    shares = share_roots(cat.traversal, resource_path)
-    rows = bounded_rows(shares.select(*RESOURCE_KEYS), MAX_LOOKUP_KEYS)
+    shares = share_roots(cat.traversal, resource_path) \
+        .select("Path", *RESOURCE_KEYS, "HostName", "ShareName", "NetworkPath")
+    rows = bounded_rows(shares, MAX_LOOKUP_KEYS)
+    if rows is not None:  # reuse the looked-up rows instead of re-deriving them per use
+        shares = _local(cat.spark, rows, shares.schema)
     lengths = [len(normalize_unc(resource_path))]
     return unused_access_batch(cat, shares, days_inactive, as_of, strict_prefix, rows, lengths).drop("Path") \
         .orderBy("HostName", "ShareName", "TrusteeNTStyleName")

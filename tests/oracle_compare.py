@@ -44,16 +44,25 @@ def rows_of(columns, rows):
     return sorted(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
+# Spark simple type -> DuckDB type name, for the schema part of the comparison.
+TYPE_MAP = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
+            "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     sdf = fn(spark, sf_dir)
     s_cols = sdf.columns
+    s_types = {f.name: TYPE_MAP.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
     s_rows = [tuple(r) for r in sdf.collect()]
+    d_types = {c: str(t) for c, t in zip(*(lambda r: (r.columns, r.types))(con.sql(sql)))}
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
     problems = []
     if sorted(s_cols) != sorted(d_cols):
         problems.append(f"columns differ: spark={s_cols} duck={d_cols}")
+    elif s_types != d_types:
+        problems.append(f"types differ: {[(c, s_types[c], d_types[c]) for c in s_cols if s_types[c] != d_types[c]]}")
     if len(s_rows) != len(d_rows):
         problems.append(f"row count spark={len(s_rows)} duck={len(d_rows)}")
     if not problems:

@@ -109,7 +109,7 @@ def _letters(allow: Column, deny: Column) -> list[Column]:
 
 
 def trustee_access_batch(cat, requests: DataFrame, levels_down: int = 0, per_resource: bool = False,
-                         pair_rows=None) -> DataFrame:
+                         pair_rows=None, salt_holders: bool = True) -> DataFrame:
     """Get-TrusteeAccess for a DataFrame of trustee names (column ``Trustee``).
 
     Rewrites the reference's CROSS JOIN + per-row function as an equi-join
@@ -132,10 +132,12 @@ def trustee_access_batch(cat, requests: DataFrame, levels_down: int = 0, per_res
     if pair_rows is not None:
         pairs = _local(cat.spark, pair_rows, pairs.schema)
         reach = acl.join(F.broadcast(pairs), "HolderSid")
-    else:
+    elif salt_holders:
         # A group above everyone (the directory root, "everyone") is in every
         # trustee's pair list: salt those holders across tasks.
         reach = skew_join(pairs, acl, "HolderSid", cat.hot_holders, cat.buckets)
+    else:
+        reach = acl.join(pairs, "HolderSid")
     share = reach.groupBy("Trustee", "sid", *keys).agg(F.bit_or("AllowRights").alias("_a"), F.bit_or("DenyRights").alias("_d"))
     folders = cat.traversal.filter((F.col("NestedLevel") == levels_down) & (F.col("ResourceType") == 3)) \
         .select(*keys, "NetworkPath")
@@ -147,9 +149,10 @@ def trustee_access(cat, trustee: str, levels_down: int = 0, per_resource: bool =
     """Get-TrusteeAccess for one ``Domain\\Name`` (columns as the reference)."""
     check_trustee(trustee)
     req = cat.spark.createDataFrame([(trustee,)], "Trustee string")
-    sids = access.trustee_sids_batch(cat.principals, cat.local_trustees, req)
-    rows = bounded_rows(_sid_pairs(cat, sids), MAX_LOOKUP_KEYS)
-    return trustee_access_batch(cat, req, levels_down, per_resource, pair_rows=rows).drop("Trustee")
+    # One trustee's SID pairs are its groups: small, and AQE's runtime size
+    # check broadcasts them. (Collecting them first would only feed a filter
+    # on TrusteeSid, which prunes no file layout here; measured slower.)
+    return trustee_access_batch(cat, req, levels_down, per_resource, salt_holders=False).drop("Trustee")
 
 
 # -- lookups -----------------------------------------------------------------

@@ -123,20 +123,18 @@ def trustee_access_batch(cat, requests: DataFrame, levels_down: int = 0, per_res
     pairs = _sid_pairs(cat, sids)
     keys = ["HostID", "GateID"] + (["ResourceID"] if per_resource else [])
     acl = cat.acl.withColumnRenamed("TrusteeSid", "HolderSid")
-    if pair_rows is not None:
-        acl = _in_list(acl, "HolderSid", pair_rows)
-    # Fold each holder's entries to one mask per host/gate (or resource) before
-    # the expansion: a group inherited by every trustee then multiplies by its
-    # host/gates, not by its raw entry count.
-    acl = access.aggregate_acl(acl, ["HolderSid", *keys])
     if pair_rows is not None:
         pairs = _local(cat.spark, pair_rows, pairs.schema)
-        reach = acl.join(F.broadcast(pairs), "HolderSid")
+        reach = _in_list(acl, "HolderSid", pair_rows).join(F.broadcast(pairs), "HolderSid")
     elif salt_holders:
-        # A group above everyone (the directory root, "everyone") is in every
-        # trustee's pair list: salt those holders across tasks.
+        # Many trustees: fold each holder's entries to one mask per host/gate (or
+        # resource) first, so a group inherited by every trustee multiplies by
+        # its host/gates, not its raw entry count; and salt such groups.
+        acl = access.aggregate_acl(acl, ["HolderSid", *keys])
         reach = skew_join(pairs, acl, "HolderSid", cat.hot_holders, cat.buckets)
     else:
+        # One trustee: its few pairs (broadcast by AQE) cut the ACL first; only
+        # the reached entries are aggregated, never the whole ACL.
         reach = acl.join(pairs, "HolderSid")
     share = reach.groupBy("Trustee", "sid", *keys).agg(F.bit_or("AllowRights").alias("_a"), F.bit_or("DenyRights").alias("_d"))
     folders = cat.traversal.filter((F.col("NestedLevel") == levels_down) & (F.col("ResourceType") == 3)) \

@@ -130,6 +130,7 @@ def trustee_access_batch(cat, requests: DataFrame, levels_down: int = 0, per_res
         # Many trustees: fold each holder's entries to one mask per host/gate (or
         # resource) first, so a group inherited by every trustee multiplies by
         # its host/gates, not its raw entry count; and salt such groups.
+        acl = acl.join(pairs.select("HolderSid").distinct(), "HolderSid", "left_semi")  # only reached holders
         acl = access.aggregate_acl(acl, ["HolderSid", *keys])
         reach = skew_join(pairs, acl, "HolderSid", cat.hot_holders, cat.buckets)
     else:

@@ -202,6 +202,37 @@ def q_permission_source(spark, d):
     return fs.permission_source(cat(spark, d), TRUSTEE, SHARE_PATH)
 
 
+@query("permission_source_local_batch", W("g_principals", "g_local_trustees", "g_closure", "g_acl", "g_traversal")
+       .rstrip() + f""",
+req AS (SELECT DISTINCT l.NTDomain || chr(92) || l.NTName AS Trustee, chr(92) || chr(92) || n.n_name || chr(92) || 'data' AS Path
+        FROM g_local_trustees l JOIN nation n ON l.NTDomain = 'HOST' || CAST(n.n_nationkey AS VARCHAR)),
+ts_sid AS (
+  SELECT DISTINCT Trustee, sid FROM (
+    SELECT r.Trustee, p.ObjectSid AS sid FROM req r JOIN g_principals p ON p.NTAccount = r.Trustee
+    UNION ALL
+    SELECT r.Trustee, l.SID FROM req r JOIN g_local_trustees l ON l.NTDomain || chr(92) || l.NTName = r.Trustee)),
+ts_pairs AS (
+  SELECT c.GroupSid AS HolderSid, s.sid, s.Trustee FROM g_closure c JOIN ts_sid s ON c.MemberSid = s.sid
+  UNION
+  SELECT sid, sid, Trustee FROM ts_sid),
+ri AS (SELECT r.Trustee, r.Path, t.HostID, t.GateID, t.ResourceID FROM req r JOIN g_traversal t ON t.NetworkPath = r.Path),
+ps AS (SELECT ri.Trustee, ri.Path, x.HostID, x.GateID, x.ResourceID, p.sid, x.TrusteeSid AS HolderSid,
+              x.AllowRights, x.DenyRights
+       FROM ri JOIN g_acl x ON x.HostID = ri.HostID AND x.GateID = ri.GateID AND x.ResourceID = ri.ResourceID
+       JOIN ts_pairs p ON p.Trustee = ri.Trustee AND p.HolderSid = x.TrusteeSid)
+SELECT ps.Trustee, ps.Path, {_perm_columns()}
+FROM ps
+JOIN g_traversal t ON t.HostID = ps.HostID AND t.GateID = ps.GateID AND t.ResourceID = ps.ResourceID
+LEFT JOIN g_principals pr ON pr.ObjectSid = ps.HolderSid""")
+def q_permission_source_local_batch(spark, d):
+    c = cat(spark, d)
+    n = c.raw("nation").select(F.concat(F.lit("HOST"), F.col("n_nationkey").cast("string")).alias("NTDomain"),
+                               F.concat(F.lit("\\\\"), "n_name", F.lit("\\data")).alias("Path"))
+    req = c.local_trustees.join(n, "NTDomain").select(
+        F.concat("NTDomain", F.lit("\\"), "NTName").alias("Trustee"), "Path").distinct()
+    return fs.permission_source_batch(c, req)
+
+
 @query("permission_entries", W("g_acl", "g_holders", "g_traversal", "g_principals") + f"""
 SELECT ps.HostID, ps.GateID, ps.ResourceID, ps.sid AS Sid, {_perm_columns()}
 FROM (SELECT x.HostID, x.GateID, x.ResourceID, h.MemberSid AS sid, x.TrusteeSid AS HolderSid, x.AllowRights,

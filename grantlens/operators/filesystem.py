@@ -63,9 +63,9 @@ def sensitive_data(matches: DataFrame, traversal: DataFrame) -> DataFrame:
     """
     per_resource = matches.groupBy("HostID", F.col("ParentResourceID").alias("ResourceID"), "CriteriaName") \
         .agg(F.sum("MatchCount").alias("_m"))
-    stv = traversal.select("HostID", "ResourceID", "HostName", "ShareName") \
+    named = traversal.select("HostID", "ResourceID", "HostName", "ShareName") \
         .filter(F.col("HostName").isNotNull() & F.col("ShareName").isNotNull())
-    joined = per_resource.join(stv, ["HostID", "ResourceID"])
+    joined = per_resource.join(named, ["HostID", "ResourceID"])
     return joined.groupBy("HostName", "ShareName", "CriteriaName") \
         .agg(F.sum("_m").cast("bigint").alias("TotalMatches")) \
         .orderBy(F.desc("TotalMatches"))
@@ -173,11 +173,11 @@ def resource_access_batch(cat, lookup: DataFrame, lookup_rows=None) -> DataFrame
     The ACL is cut to those resources before it is expanded over membership.
     """
     acl = _restrict(cat.acl, lookup, RESOURCE_KEYS, lookup_rows)
-    eav = cat.effective_access_for(acl)
-    ri = lookup.select("Path", *RESOURCE_KEYS)
-    stv = _restrict(cat.traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("FolderFullPath")),
+    access_rows = cat.effective_access_for(acl)
+    asked = lookup.select("Path", *RESOURCE_KEYS)
+    folder_paths = _restrict(cat.traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("FolderFullPath")),
                     lookup, RESOURCE_KEYS, lookup_rows)
-    return ri.join(eav, RESOURCE_KEYS).join(stv, RESOURCE_KEYS, "left") \
+    return asked.join(access_rows, RESOURCE_KEYS).join(folder_paths, RESOURCE_KEYS, "left") \
         .filter(F.col("TrusteeNTStyleName").isNotNull()) \
         .select("Path", "FolderFullPath", "TrusteeNTStyleName", "AllowRightsDescription", "DenyRightsDescription")
 
@@ -270,28 +270,28 @@ def unused_access_batch(cat, shares: DataFrame, days_inactive: int = 90, as_of=N
     """
     check_positive(days_inactive, "days_inactive")
     cutoff = _as_of_literal(as_of) - F.make_dt_interval(F.lit(days_inactive))
-    ts = shares.select("Path", *RESOURCE_KEYS, "HostName", "ShareName", F.col("NetworkPath").alias("SharePath"))
+    roots = shares.select("Path", *RESOURCE_KEYS, "HostName", "ShareName", F.col("NetworkPath").alias("SharePath"))
 
     host_keys = ["HostID", "GateID"]
-    act = _restrict(cat.daily_activity, ts, host_keys, share_rows)
+    act = _restrict(cat.daily_activity, roots, host_keys, share_rows)
     # Only the last day per (folder, user) matters: fold the daily rows before
     # attaching paths (partial aggregation, no hot-user rows in later joins).
     act = act.groupBy(*host_keys, "FolderID", "UserNTStyleName").agg(F.max("ActivityDate").alias("ActivityDate"))
     folders = cat.traversal.select(*host_keys, F.col("ResourceID").alias("FolderID"),
                                    F.col("NetworkPath").alias("FolderPath"))
-    folders = _restrict(folders, ts, host_keys, share_rows)
+    folders = _restrict(folders, roots, host_keys, share_rows)
     act = act.join(folders, host_keys + ["FolderID"])
     # Activity inside the share: plain prefix by default (the reference lets
     # \\h\data claim \\h\data2), the share or below its separator if strict.
-    act = prefix_join(act, "FolderPath", ts.select("Path", *host_keys, "SharePath"), "SharePath", host_keys,
+    act = prefix_join(act, "FolderPath", roots.select("Path", *host_keys, "SharePath"), "SharePath", host_keys,
                       strict=strict_prefix, lengths=path_lengths)
     last = act.groupBy("Path", *host_keys, F.col("UserNTStyleName").alias("TrusteeNTStyleName")) \
         .agg(F.max("ActivityDate").alias("LastActivityDate"))
 
-    acl = _restrict(cat.acl, ts, RESOURCE_KEYS, share_rows)
-    eav = cat.effective_access_for(acl)
+    acl = _restrict(cat.acl, roots, RESOURCE_KEYS, share_rows)
+    access_rows = cat.effective_access_for(acl)
     users = cat.users.select(F.col("NTAccount").alias("TrusteeNTStyleName"))
-    res = ts.join(eav, RESOURCE_KEYS) \
+    res = roots.join(access_rows, RESOURCE_KEYS) \
         .join(last, ["Path", *host_keys, "TrusteeNTStyleName"], "left") \
         .join(users, "TrusteeNTStyleName", "left_semi") \
         .filter(F.col("LastActivityDate").isNull() | (F.col("LastActivityDate") < cutoff))

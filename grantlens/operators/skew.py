@@ -26,9 +26,9 @@ def share_for(partitions: int, factor: float = 4.0) -> float:
     return min(DEFAULT_MIN_SHARE, factor / max(1, partitions))
 
 
-def hot_keys(df: DataFrame, key: str, min_share: float = DEFAULT_MIN_SHARE,
-             min_rows: int = DEFAULT_MIN_ROWS) -> list:
-    """Keys holding at least ``min_share`` of the rows (and ``min_rows``).
+def hot_key_counts(df: DataFrame, key: str, min_share: float = DEFAULT_MIN_SHARE,
+                   min_rows: int = DEFAULT_MIN_ROWS) -> dict:
+    """{key: rows} for the keys holding at least ``min_share`` of the rows (and ``min_rows``).
 
     One partial-aggregated count per key, of which only the top
     ``ceil(1 / min_share) + 1`` keys reach the driver: at most ``1 / min_share``
@@ -39,10 +39,15 @@ def hot_keys(df: DataFrame, key: str, min_share: float = DEFAULT_MIN_SHARE,
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     top = counts.filter(F.col("_n") >= min_rows).orderBy(F.desc("_n")).limit(limit).collect()
     if not top:
-        return []
-    total = df.count()
-    threshold = max(total * min_share, min_rows)
-    return [r[key] for r in top if r["_n"] >= threshold]
+        return {}
+    threshold = max(df.count() * min_share, min_rows)
+    return {r[key]: r["_n"] for r in top if r["_n"] >= threshold}
+
+
+def hot_keys(df: DataFrame, key: str, min_share: float = DEFAULT_MIN_SHARE,
+             min_rows: int = DEFAULT_MIN_ROWS) -> list:
+    """The hot keys of ``df`` (see :func:`hot_key_counts`), largest first."""
+    return list(hot_key_counts(df, key, min_share, min_rows))
 
 
 def hot_plan(left: DataFrame, right: DataFrame, key: str, min_share: float = DEFAULT_MIN_SHARE,
@@ -50,19 +55,25 @@ def hot_plan(left: DataFrame, right: DataFrame, key: str, min_share: float = DEF
     """Which side to split for each hot key of a join: ``{key: True}`` splits
     ``left`` (and replicates ``right``'s rows of that key), ``False`` the reverse.
 
-    Hot keys are found on both inputs; then both sides are counted for those
-    keys only (bounded: at most ``2 / min_share`` keys) and the larger side of
-    each key is the one split, so replication always copies the smaller side.
+    Hot keys are found on both inputs; a key hot on one side only is counted
+    on the other side too (bounded: at most ``2 / min_share`` keys), and the
+    larger side of each key is the one split, so replication always copies
+    the smaller side.
     """
-    keys = list(dict.fromkeys(hot_keys(left, key, min_share, min_rows) + hot_keys(right, key, min_share, min_rows)))
+    lc = hot_key_counts(left, key, min_share, min_rows)
+    rc = hot_key_counts(right, key, min_share, min_rows)
+    keys = list(dict.fromkeys([*lc, *rc]))
     if not keys:
         return {}
 
-    def counts(df: DataFrame) -> dict:
-        rows = df.filter(F.col(key).isin(keys)).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).collect()
-        return {r[key]: r["_n"] for r in rows}
+    def fill(df: DataFrame, have: dict) -> dict:
+        missing = [k for k in keys if k not in have]
+        if missing:
+            rows = df.filter(F.col(key).isin(missing)).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).collect()
+            have = {**have, **{r[key]: r["_n"] for r in rows}}
+        return have
 
-    lc, rc = counts(left), counts(right)
+    lc, rc = fill(left, lc), fill(right, rc)
     return {k: lc.get(k, 0) >= rc.get(k, 0) for k in keys}
 
 

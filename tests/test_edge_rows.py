@@ -166,3 +166,21 @@ def test_trustee_sids_union_is_distinct(spark):
     cat = mini_catalog(spark)
     assert [r.sid for r in trustee_sids(cat.principals, cat.local_trustees, "CORP\\staff").collect()] == ["S-g1"]
     assert trustee_sids(cat.principals, cat.local_trustees, "CORP\\nobody").count() == 0
+
+
+def test_unknown_path_or_trustee_gives_empty_results(spark):
+    cat = mini_catalog(spark)
+    assert fs.resource_access(cat, "\\\\NOPE\\x").count() == 0
+    assert fs.unused_access(cat, "\\\\NOPE\\x", 10, as_of=AS_OF).count() == 0
+    assert fs.trustee_access(cat, "CORP\\nobody", 1).count() == 0
+    assert fs.permission_source(cat, "CORP\\nobody", SHARE).count() == 0
+
+
+def test_prefix_join_fallback_beyond_length_bound(spark, monkeypatch):
+    from grantlens.operators import prefix
+    rows = spark.createDataFrame([(1, "\\\\h\\data2\\x"), (1, "\\\\h\\data"), (1, "\\\\h\\other")], "HostID int, p string")
+    targets = spark.createDataFrame([(1, "\\\\h\\data"), (1, "\\\\h\\d")], "HostID int, t string")
+    want = sorted((r.p, r.t) for r in prefix.prefix_join(rows, "p", targets, "t", ["HostID"]).collect())
+    monkeypatch.setattr(prefix, "MAX_DISTINCT_LENGTHS", 1)  # two lengths > bound: keys + startswith
+    got = sorted((r.p, r.t) for r in prefix.prefix_join(rows, "p", targets, "t", ["HostID"]).collect())
+    assert got == want and len(want) == 4

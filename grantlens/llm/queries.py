@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from . import line_dedup
+from .bpe import op6_bpe
+from .line_dedup import op9_line_dedup
 from .ngram_join import op2_ngram_jaccard
 
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op6_bpe": op6_bpe,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
+}

@@ -19,19 +19,21 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = U(0x9E3779B97F4A7C15)
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+SECOND = U(0xC6A4A7935BD1E995)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i (mod 2**64) for i < n."""
-    if len(_powers[0]) < n:
-        size = 1 << n.bit_length()
-        inverse = U(pow(int(BASE), -1, 1 << 64))
-        for k, b in enumerate((BASE, inverse)):
-            p = np.full(size, b, U)
+def _power(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i (mod 2**64) for i < n."""
+    kept = _powers.get(int(base))
+    if kept is None or len(kept[0]) < n:
+        kept = []
+        for b in (base, U(pow(int(base), -1, 1 << 64))):
+            p = np.full(1 << n.bit_length(), b, U)
             p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=U)
-    return _powers[0], _powers[1]
+            kept.append(np.cumprod(p, dtype=U))
+        _powers[int(base)] = kept = tuple(kept)
+    return kept
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,9 +43,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def ranges_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def ranges_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
     """64-bit hash of data[s:e] for each range; equal bytes have equal hashes wherever they stand."""
-    power, inverse = _power(len(data) + 1)
+    power, inverse = _power(len(data) + 1, base)
     sums = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * power[: len(data)], dtype=U, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
@@ -68,6 +70,28 @@ class Block:
         starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         return ranges_hash(low, starts, ends), np.searchsorted(starts, self.offsets), starts
 
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, first, last, bounds): each line's bytes, those without white space at both ends, and
+        bounds[d]:bounds[d + 1], the lines of document d (an empty document has one empty line)."""
+        cuts = np.flatnonzero(self.data == 10)
+        per = np.diff(np.searchsorted(cuts, self.offsets)) + 1
+        bounds = np.concatenate([[0], np.cumsum(per)])
+        starts, ends = np.empty(bounds[-1], np.int64), np.empty(bounds[-1], np.int64)
+        head, tail = np.zeros(bounds[-1], bool), np.zeros(bounds[-1], bool)
+        head[bounds[:-1]], tail[bounds[1:] - 1] = True, True
+        starts[head], starts[~head] = self.offsets[:-1], cuts + 1
+        ends[tail], ends[~tail] = self.offsets[1:], cuts
+        full = np.flatnonzero(~SPACE[self.data])
+        a, b = np.searchsorted(full, starts), np.searchsorted(full, ends)
+        some = b > a
+        first, last = starts.copy(), starts.copy()
+        first[some], last[some] = full[a[some]], full[b[some] - 1] + 1
+        return starts, ends, first, last, bounds
+
+    def code_points(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+        return total[ends] - total[starts]
+
 
 def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
     """The documents of a string column in blocks of about ``size`` bytes."""

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import chat, line_dedup, secrets
 from .bpe import op6_bpe
+from .chat import op7_chat_format
 from .line_dedup import op9_line_dedup
 from .ngram_join import op2_ngram_jaccard
+from .secrets import op5_secrets
 
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
+    "op7_chat_format": op7_chat_format,
     "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op5_secrets": secrets.ORACLE_SQL,
+    "op7_chat_format": chat.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
 }

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from . import chat, line_dedup, secrets
+from .ann import op10_permutation_ann
 from .bpe import op6_bpe
 from .chat import op7_chat_format
 from .line_dedup import op9_line_dedup
 from .ngram_join import op2_ngram_jaccard
+from .quality import op8_quality
 from .secrets import op5_secrets
 
 QUERIES = {
@@ -14,7 +16,9 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op7_chat_format": op7_chat_format,
+    "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
+    "op10_permutation_ann": op10_permutation_ann,
 }
 
 ORACLE: dict[str, str] = {

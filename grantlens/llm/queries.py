@@ -6,12 +6,14 @@ from . import chat, line_dedup, secrets
 from .ann import op10_permutation_ann
 from .bpe import op6_bpe
 from .chat import op7_chat_format
+from .langid import op1_language_id
 from .line_dedup import op9_line_dedup
 from .ngram_join import op2_ngram_jaccard
 from .quality import op8_quality
 from .secrets import op5_secrets
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,

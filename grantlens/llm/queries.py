@@ -6,8 +6,10 @@ from . import chat, line_dedup, secrets
 from .ann import op10_permutation_ann
 from .bpe import op6_bpe
 from .chat import op7_chat_format
+from .decontaminate import op3_decontamination
 from .langid import op1_language_id
 from .line_dedup import op9_line_dedup
+from .maxent_lm import op4_lm_scoring
 from .ngram_join import op2_ngram_jaccard
 from .quality import op8_quality
 from .secrets import op5_secrets
@@ -15,6 +17,8 @@ from .secrets import op5_secrets
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_decontamination": op3_decontamination,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op7_chat_format": op7_chat_format,

@@ -16,6 +16,8 @@ U = np.uint64
 BLOCK_BYTES = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: White space and ASCII punctuation: what remains are runs of letters, digits and non-ASCII characters.
+NO_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = U(0x9E3779B97F4A7C15)
@@ -58,16 +60,18 @@ class Block:
         self.data, self.offsets, self.first = data, offsets, first
         self.docs = len(offsets) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes, bounds, starts): word hashes in order; bounds[d]:bounds[d + 1] are those of document d; start bytes."""
+    def words(self, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, bounds, starts): word hashes in order; bounds[d]:bounds[d + 1] are those of document d; start bytes.
+        ``space`` marks the bytes between words."""
         low = LOWER[self.data]
-        full = ~SPACE[low]
+        full = ~space[low]
         first = np.zeros(len(low) + 1, bool)
         first[self.offsets] = True
         begin, end = full.copy(), full.copy()
         begin[1:] &= ~full[:-1] | first[1:-1]
         end[:-1] &= ~full[1:] | first[1:-1]
         starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        self.low, self.word_ends = low, ends
         return ranges_hash(low, starts, ends), np.searchsorted(starts, self.offsets), starts
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .shared import Workspace
 from .textblocks import LOWER, SECOND, blocks, longs, ranges_hash
@@ -63,7 +64,7 @@ def _without(digest: bool):
                         counts[1, i] = b - a - stay.sum()
                         text = b"\n".join(whole[starts[k] : ends[k]] for k in np.flatnonzero(stay) + a)
                     out[i] = hashlib.sha256(text).hexdigest() if digest else bytes(text).decode()
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.string()), pa.array(counts[0]), pa.array(counts[1])], names=["doc_id", "kept", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(counts[0]), pa.array(counts[1]), batch.column(3)], names=["doc_id", "kept", "n_lines", "n_dropped", "rest"])
 
     return run
 
@@ -110,17 +111,19 @@ class LineRuns:
         return out
 
 
-def dedup_lines(docs: DataFrame, batches: int = BATCHES, digest: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int = BATCHES, digest: bool = False, rest: tuple[str, ...] = ()) -> DataFrame:
     """Documents without the lines that a smaller doc_id has: doc_id, kept (text, or its SHA-256 with ``digest``),
-    n_lines, n_dropped. The work goes in ``batches`` ranges of doc_id, as new documents would arrive.
+    n_lines, n_dropped and ``rest``, a struct of the columns named there. The work goes in ``batches`` ranges of doc_id,
+    as new documents would arrive.
 
     Defined results: a null or empty text has one empty line; keys under ten code points never drop; a line repeated
     within its smallest document stays; rows that repeat a doc_id count as one document; a row without doc_id keeps all
     its lines and owns none; other columns are ignored; an empty table gives an empty result.
     """
     space = Workspace(docs.sparkSession, "lines")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = space.store(docs.filter("doc_id is not null").mapInArrow(_keys, "doc_id long, h1 long, h2 long"), "lines")
+    carried = F.struct(*[docs[c] for c in rest]) if rest else F.lit(None).cast("boolean")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("rest"))
+    lines = space.store(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_keys, "doc_id long, h1 long, h2 long"), "lines")
     cuts = lines.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).head()[0] or []
     edges = [None, *sorted(set(cuts)), None]
     runs = LineRuns(space)
@@ -133,7 +136,9 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, digest: bool = False) -
             part = part.filter(F.col("doc_id") <= high)
         drops.append(runs.add(part))
     gone = LineRuns._union(drops).groupBy("doc_id").agg(F.collect_list("h1").alias("gone"))
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_without(digest), "doc_id long, kept string, n_lines long, n_dropped long")
+    rows = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone", "rest")
+    schema = StructType([StructField("doc_id", LongType()), StructField("kept", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType()), rows.schema["rest"]])
+    return rows.mapInArrow(_without(digest), schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

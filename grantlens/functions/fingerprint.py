@@ -17,16 +17,24 @@ FINGERPRINT_MAX_LENGTH = 150
 FINGERPRINT_ELLIPSIS = "..."
 
 
-def fingerprint(text: Column | str, max_length: int = FINGERPRINT_MAX_LENGTH) -> Column:
-    """Mask the whole text with the rules, then cut the result at ``max_length``.
+def masked(text: Column | str) -> Column:
+    """The whole text under the masking rules; an empty or NULL input gives ''.
 
-    Runs as chained JVM ``regexp_replace`` calls (no Python UDF). An empty or
-    NULL input gives ''.
+    Runs as chained JVM ``regexp_replace`` calls (no Python UDF).
     """
     col = F.col(text) if isinstance(text, str) else text
-    out = col
+    out = F.coalesce(col, F.lit(""))
     for pattern, repl in FINGERPRINT_RULES:
         out = F.regexp_replace(out, pattern, repl)
-    cut = F.when(F.length(out) > max_length,
-                 F.concat(F.substring(out, 1, max_length), F.lit(FINGERPRINT_ELLIPSIS))).otherwise(out)
-    return F.when(col.isNull() | (col == ""), F.lit("")).otherwise(cut)
+    return out
+
+
+def shortened(text: Column, max_length: int = FINGERPRINT_MAX_LENGTH) -> Column:
+    """``text`` cut at ``max_length`` characters, with an ellipsis if it was longer (a label, never a key)."""
+    return F.when(F.length(text) > max_length,
+                  F.concat(F.substring(text, 1, max_length), F.lit(FINGERPRINT_ELLIPSIS))).otherwise(text)
+
+
+def fingerprint(text: Column | str, max_length: int = FINGERPRINT_MAX_LENGTH) -> Column:
+    """The masked text as it is shown in a log: :func:`masked`, then :func:`shortened`."""
+    return shortened(masked(text), max_length)

@@ -54,7 +54,7 @@ def like_to_regex(pattern: str) -> str:
         else:
             out.append(re.escape(ch))
         i += 1
-    return "(?s)^" + "".join(out) + "$"
+    return r"(?s)\A" + "".join(out) + r"\z"  # \z: a trailing line break is part of the text
 
 
 def as_text(col: Column, dtype: DataType) -> Column:

@@ -30,9 +30,14 @@ def rights_letters(mask: Column | str) -> Column:
 
 
 def mask_text(mask: Column | str) -> Column:
-    """Mask as fixed-width hexadecimal text, e.g. ``0x00000021``."""
+    """Mask as fixed-width hexadecimal text, e.g. ``0x00000021``.
+
+    Masks are 32 bits; one with the top bit set is a negative int and is read
+    as unsigned (``0x80000000``).
+    """
     m = F.col(mask) if isinstance(mask, str) else mask
-    return F.concat(F.lit("0x"), F.lpad(F.hex(m), 8, "0"))
+    unsigned = m.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.concat(F.lit("0x"), F.lpad(F.hex(unsigned), 8, "0"))
 
 
 def effective_allow(allow: Column, deny: Column) -> Column:

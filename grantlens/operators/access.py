@@ -50,25 +50,21 @@ def _decoded(allow: Column, deny: Column) -> list[Column]:
             rights_letters(eff).alias("AllowRightsDescription"), rights_letters(deny).alias("DenyRightsDescription")]
 
 
-def effective_access(acl: DataFrame, names: DataFrame, hot: list | None = None, buckets: int = 1,
-                     partitions: int | None = None) -> DataFrame:
+def effective_access(acl: DataFrame, names: DataFrame, plan: dict) -> DataFrame:
     """G-5: (HostID, GateID, ResourceID, TrusteeNTStyleName, AllowRights, DenyRights, descriptions).
 
-    ``names`` is :func:`trustee_names`; ``hot`` the hot TrusteeSids of it.
+    ``names`` is :func:`trustee_names`; ``plan`` splits its hot TrusteeSids (skew.hot_plan).
     Allow is the OR of all reaching allows minus the OR of all denies.
     """
-    # Pre-aggregate with map-side combine, then the salted expansion. (Folding
-    # the pre-aggregation into the join's exchange saves one shuffle but loses
-    # the map-side combine; measured slower at sf0.1.)
+    # Pre-aggregate with map-side combine, then the salted expansion.
     per_trustee = aggregate_acl(acl, RESOURCE_KEYS + ["TrusteeSid"])
-    expanded = skew_join(names, per_trustee, "TrusteeSid", hot, buckets, partitions=partitions)
+    expanded = skew_join(names, per_trustee, "TrusteeSid", plan)
     eav = expanded.groupBy(*RESOURCE_KEYS, "TrusteeNTStyleName").agg(
         F.bit_or("AllowRights").alias("_a"), F.bit_or("DenyRights").alias("_d"))
     return eav.select(*RESOURCE_KEYS, "TrusteeNTStyleName", *_decoded(F.col("_a"), F.col("_d")))
 
 
-def trustee_share_access(acl: DataFrame, sid_holders: DataFrame, hot: list | None = None,
-                         buckets: int = 1, partitions: int | None = None) -> DataFrame:
+def trustee_share_access(acl: DataFrame, sid_holders: DataFrame, plan: dict) -> DataFrame:
     """G-3: host/gate-wide rights per SID (HostID, GateID, Sid, HOST, AllowRights, DenyRights).
 
     ``sid_holders`` is (HolderSid, MemberSid) from :func:`holders`: the entries
@@ -76,50 +72,45 @@ def trustee_share_access(acl: DataFrame, sid_holders: DataFrame, hot: list | Non
     """
     per_trustee = aggregate_acl(acl, ["HostID", "GateID", "TrusteeSid"]) \
         .withColumnRenamed("TrusteeSid", "HolderSid")
-    expanded = skew_join(sid_holders, per_trustee, "HolderSid", hot, buckets, partitions=partitions)
+    expanded = skew_join(sid_holders, per_trustee, "HolderSid", plan)
     out = expanded.groupBy("HostID", "GateID", F.col("MemberSid").alias("Sid")).agg(
         F.bit_or("AllowRights").alias("AllowRights"), F.bit_or("DenyRights").alias("DenyRights"))
     return out.select("HostID", "GateID", "Sid", F.col("HostID").alias("HOST"), "AllowRights", "DenyRights")
 
 
-def trustee_sids(principals: DataFrame, local_trustees: DataFrame, trustee: Column | str) -> DataFrame:
-    """UNION (distinct) of directory SIDs named ``trustee`` and host-local ones."""
-    t = F.lit(trustee) if isinstance(trustee, str) else trustee
-    d = principals.filter(F.col("NTAccount") == t).select(F.col("ObjectSid").alias("sid"))
-    loc = local_trustees.filter(F.concat(F.col("NTDomain"), F.lit("\\"), F.col("NTName")) == t) \
-        .select(F.col("SID").alias("sid"))
-    return d.union(loc).distinct()
-
-
-def trustee_sids_batch(principals: DataFrame, local_trustees: DataFrame, requests: DataFrame) -> DataFrame:
-    """(Trustee, sid) for a DataFrame of trustee names (column ``Trustee``)."""
-    d = principals.select(F.col("NTAccount").alias("Trustee"), F.col("ObjectSid").alias("sid"))
-    loc = local_trustees.select(F.concat(F.col("NTDomain"), F.lit("\\"), F.col("NTName")).alias("Trustee"),
+def trustee_sids_batch(principals: DataFrame, local_trustees: DataFrame, requests: DataFrame,
+                       ignore_case: bool = False) -> DataFrame:
+    """(Trustee, sid) for a DataFrame of trustee names (column ``Trustee``): directory and host-local SIDs."""
+    fold = F.lower if ignore_case else (lambda c: c)
+    d = principals.select(fold(F.col("NTAccount")).alias("_name"), F.col("ObjectSid").alias("sid"))
+    loc = local_trustees.select(fold(F.concat(F.col("NTDomain"), F.lit("\\"), F.col("NTName"))).alias("_name"),
                                 F.col("SID").alias("sid"))
-    return requests.select("Trustee").distinct().join(d.union(loc), "Trustee").distinct()
+    asked = requests.select("Trustee").distinct().withColumn("_name", fold(F.col("Trustee")))
+    return asked.join(d.union(loc), "_name").select("Trustee", "sid").distinct()
 
 
 def permission_entries(acl: DataFrame, sid_holders: DataFrame, traversal: DataFrame, principals: DataFrame,
-                       hot: list | None = None, buckets: int = 1, partitions: int | None = None) -> DataFrame:
+                       plan: dict) -> DataFrame:
     """G-4: one row per ACL entry that reaches a SID, with where it comes from.
 
     Columns: HostID, GateID, ResourceID, Sid, SourceTrusteePath,
     ResourcePath, PermissionSourceType (Direct / Group), the allow and deny
-    letters and their masks as text.
+    letters and their masks as text. Paths, names and texts are joined to the
+    entries first; the expansion over membership comes last.
     """
-    entries = acl.withColumnRenamed("TrusteeSid", "HolderSid")
-    reach = skew_join(sid_holders, entries, "HolderSid", hot, buckets, partitions=partitions)
     paths = traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("ResourcePath"))
     names = principals.select(F.col("ObjectSid").alias("HolderSid"), F.col("NTAccount").alias("_src"))
-    r = reach.join(paths, RESOURCE_KEYS).join(names, "HolderSid", "left")
-    return r.select(
-        *RESOURCE_KEYS, F.col("MemberSid").alias("Sid"),
-        F.coalesce(F.col("_src"), F.col("HolderSid")).alias("SourceTrusteePath"),
-        "ResourcePath",
-        F.when(F.col("HolderSid") == F.col("MemberSid"), F.lit("Direct")).otherwise(F.lit("Group"))
-         .alias("PermissionSourceType"),
-        rights_letters("AllowRights").alias("AllowRightsDescription"),
-        mask_text("AllowRights").alias("AllowMaskDescription"),
-        rights_letters("DenyRights").alias("DenyRightsDescription"),
-        mask_text("DenyRights").alias("DenyMaskDescription"),
-    )
+    entries = acl.withColumnRenamed("TrusteeSid", "HolderSid").join(paths, RESOURCE_KEYS) \
+        .join(names, "HolderSid", "left").select(
+            *RESOURCE_KEYS, "HolderSid", F.coalesce(F.col("_src"), F.col("HolderSid")).alias("SourceTrusteePath"),
+            "ResourcePath",
+            rights_letters("AllowRights").alias("AllowRightsDescription"),
+            mask_text("AllowRights").alias("AllowMaskDescription"),
+            rights_letters("DenyRights").alias("DenyRightsDescription"),
+            mask_text("DenyRights").alias("DenyMaskDescription"))
+    reach = skew_join(sid_holders, entries, "HolderSid", plan)
+    kind = F.when(F.col("HolderSid") == F.col("MemberSid"), F.lit("Direct")).otherwise(F.lit("Group"))
+    return reach.select(
+        *RESOURCE_KEYS, F.col("MemberSid").alias("Sid"), "SourceTrusteePath", "ResourcePath",
+        kind.alias("PermissionSourceType"), "AllowRightsDescription", "AllowMaskDescription",
+        "DenyRightsDescription", "DenyMaskDescription")

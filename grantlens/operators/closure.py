@@ -1,11 +1,16 @@
 """G-1: transitive group membership with the smallest nesting depth.
 
-Breadth-first, semi-naive: round d joins only the pairs first found at depth
-d-1 with the direct edges and keeps the pairs never seen before
-(``left_anti``). Cycles therefore terminate, and the first depth at which a
-pair appears is its minimum. Each round's new pairs are written with a
-reliable ``checkpoint()`` to ``spark.checkpoint.dir`` so lineage stays one
-round deep and a lost executor re-reads files instead of replaying rounds.
+Only groups can be expanded, so the breadth-first walk runs over the
+group-in-group edges alone: round d joins the pairs first found at depth d-1
+with those edges and keeps the pairs never seen before (``left_anti``). Cycles
+therefore terminate, and the first depth at which a pair appears is its
+minimum. Members that are no groups (the bulk of a directory) are attached
+once at the end, at one level more than the group that lists them.
+
+Each round's new pairs are written with a reliable ``checkpoint()`` to
+``spark.checkpoint.dir`` so lineage stays one round deep and a lost executor
+re-reads files instead of replaying rounds. The walk ends when a round finds
+nothing new, and at no other point.
 """
 
 from __future__ import annotations
@@ -15,42 +20,34 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantlens.operators.skew import DEFAULT_MIN_ROWS, DEFAULT_MIN_SHARE, hot_keys, skew_join
+from grantlens.operators.skew import DEFAULT_MIN_ROWS, DEFAULT_MIN_SHARE, hot_plan, skew_join
 from grantlens.session import ensure_checkpoint_dir
 
 
 def membership_closure(edges: DataFrame, group_col: str = "GroupSid", member_col: str = "MemberSid",
-                       buckets: int | None = None, min_share: float = DEFAULT_MIN_SHARE,
-                       min_rows: int = DEFAULT_MIN_ROWS, max_rounds: int | None = None) -> DataFrame:
+                       min_share: float = DEFAULT_MIN_SHARE, min_rows: int = DEFAULT_MIN_ROWS) -> DataFrame:
     """(GroupSid, MemberSid, MinNestingLevel) for every reachable pair; direct = 1.
 
     One ``isEmpty`` action per round decides termination; no data is
-    collected. Groups with huge direct membership are salted (see skew.py).
+    collected. Groups that are hot on either side of the last join (huge
+    direct membership, or many groups above them) are salted (see skew.py).
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    if buckets is None:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Distinct edges, written once (balanced: the distinct shuffles on the
-    # pair), then the hot groups (huge direct membership) among them.
     e0 = edges.select(F.col(group_col).alias("MidSid"), F.col(member_col).alias("MemberSid")) \
               .where(F.col("MidSid").isNotNull() & F.col("MemberSid").isNotNull()).distinct() \
               .checkpoint(eager=True)
-    hot = hot_keys(e0, "MidSid", min_share=min_share, min_rows=min_rows)
-    # (A checkpoint does not carry its hash partitioning into later plans under
-    # AQE, so pre-partitioning the edges would not save the per-round shuffle;
-    # the salted join spreads hot groups instead.)
-
-    def expand(front: DataFrame) -> DataFrame:
-        f = front.select("GroupSid", F.col("MemberSid").alias("MidSid"))
-        return skew_join(e0, f, "MidSid", hot, buckets).select("GroupSid", "MemberSid")
+    groups = e0.select(F.col("MidSid").alias("MemberSid")).distinct()
+    nested = e0.join(groups, "MemberSid", "left_semi").select("MidSid", "MemberSid").checkpoint(eager=True)
+    leaves = e0.join(groups, "MemberSid", "left_anti").select("MidSid", "MemberSid").checkpoint(eager=True)
 
-    frontier = e0.select(F.col("MidSid").alias("GroupSid"), "MemberSid")
+    frontier = nested.select(F.col("MidSid").alias("GroupSid"), "MemberSid")
     levels = [frontier.withColumn("MinNestingLevel", F.lit(1))]
     seen = frontier
     depth = 1
-    while max_rounds is None or depth < max_rounds:
-        new = expand(frontier).distinct().join(seen, ["GroupSid", "MemberSid"], "left_anti")
+    while True:
+        step = frontier.select("GroupSid", F.col("MemberSid").alias("MidSid")).join(nested, "MidSid")
+        new = step.select("GroupSid", "MemberSid").distinct().join(seen, ["GroupSid", "MemberSid"], "left_anti")
         new = new.checkpoint(eager=True)
         if new.isEmpty():
             break
@@ -58,8 +55,12 @@ def membership_closure(edges: DataFrame, group_col: str = "GroupSid", member_col
         levels.append(new.withColumn("MinNestingLevel", F.lit(depth)))
         seen = seen.unionByName(new)
         frontier = new
-    # The rounds are already written; merge their partitions narrowly (no
-    # shuffle, no second write) so later scans run one task per shuffle
-    # partition instead of one per round and partition.
     closed = reduce(DataFrame.unionByName, levels)
-    return closed.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    above = closed.select("GroupSid", F.col("MemberSid").alias("MidSid"), F.col("MinNestingLevel").alias("_d"))
+    hot = hot_plan(leaves, above, "MidSid", min_share=min_share, min_rows=min_rows)
+    far = skew_join(leaves, above, "MidSid", hot).select(
+        "GroupSid", "MemberSid", (F.col("_d") + 1).alias("MinNestingLevel"))
+    direct = leaves.select(F.col("MidSid").alias("GroupSid"), "MemberSid", F.lit(1).alias("MinNestingLevel"))
+    members = direct.unionByName(far).groupBy("GroupSid", "MemberSid") \
+        .agg(F.min("MinNestingLevel").alias("MinNestingLevel"))
+    return closed.unionByName(members).checkpoint(eager=True)

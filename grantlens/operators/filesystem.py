@@ -2,10 +2,12 @@
 
 Each single-path / single-trustee operator has a batch form taking a
 DataFrame of requests, so one job answers many (the request key becomes an
-extra column). Single calls resolve their lookup with :func:`bounded_rows`:
-when the lookup is small (the normal case) its keys become literal filters
-that reach the parquet scans of the big views; beyond the bound the same
-plan runs as joins.
+extra column). Single calls are the batch form with one request: paths and
+trustees stay DataFrames, and AQE sizes the joins at run time; nothing is
+collected while a plan is built. Requests are read the same way in both
+forms: paths are normalised (``//server/share/`` is ``\\\\server\\share``) and
+malformed trustees or paths match nothing in a batch, where a single call
+raises.
 """
 
 from __future__ import annotations
@@ -16,40 +18,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.functions.rights import mask_text, rights_letters
-from grantlens.functions.validate import check_non_negative, check_positive, check_trustee, normalize_unc
+from grantlens.functions.validate import (check_non_negative, check_positive, check_trustee, normalize_unc,
+                                          normalized_unc)
 from grantlens.operators import access
 from grantlens.operators.prefix import prefix_join
-from grantlens.operators.skew import bounded_rows, skew_join
+from grantlens.operators.skew import skew_join
 
 RESOURCE_KEYS = access.RESOURCE_KEYS
-MAX_LOOKUP_KEYS = 10_000
 
 
-def _restrict(df: DataFrame, keys_df: DataFrame, cols: list[str], rows=None) -> DataFrame:
-    """Rows of ``df`` whose ``cols`` appear in ``keys_df``.
+def _restrict(df: DataFrame, keys_df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows of ``df`` whose ``cols`` appear in ``keys_df``."""
+    return df.join(keys_df.select(*cols).distinct(), cols, "left_semi")
 
-    With collected ``rows`` the per-column IN lists prune the scan; the
-    semi join against a local relation of those rows keeps it exact.
-    """
-    if rows is None:
-        return df.join(keys_df.select(*cols).distinct(), cols, "left_semi")
-    if not rows:
-        return df.limit(0)
-    for c in cols:
-        df = df.filter(F.col(c).isin(sorted({r[c] for r in rows})))
-    local = df.sparkSession.createDataFrame([tuple(r[c] for c in cols) for r in rows],
-                                            keys_df.select(*cols).schema)
-    return df.join(F.broadcast(local.distinct()), cols, "left_semi")
-
-
-def _local(spark, rows, schema) -> DataFrame:
-    """A bounded, already-collected lookup as a DataFrame (safe to broadcast)."""
-    return spark.createDataFrame([tuple(r[f.name] for f in schema.fields) for r in rows], schema)
 
-
-def _in_list(df: DataFrame, col: str, rows) -> DataFrame:
-    """Literal IN filter from collected rows (reaches the parquet scan)."""
-    return df.filter(F.col(col).isin(sorted({r[col] for r in rows})))
+def _folded(col: Column, ignore_case: bool) -> Column:
+    return F.lower(col) if ignore_case else col
 
 
 # -- F-1 ---------------------------------------------------------------------
@@ -77,8 +61,9 @@ def open_shares(traversal: DataFrame, exceptions: DataFrame, within_share: bool
 
     Default keeps the reference's host/gate-wide count; ``within_share``
     counts only resources whose path lies strictly below the share.
-    Exceptions are de-duplicated per resource before the (host, gate) join,
-    whose key has few values, so that side is pre-aggregated.
+    Flagged resources are counted once per (host, gate); a share path on one
+    host/gate takes that count. Only paths that several host/gates have need
+    the distinct over their resources.
     """
     shares = traversal.filter((F.col("NestedLevel") == 0) & (F.col("ResourceType") == 2)) \
         .select("NetworkPath", "HostID", "GateID").distinct()
@@ -88,10 +73,16 @@ def open_shares(traversal: DataFrame, exceptions: DataFrame, within_share: bool
         paths = traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("_rp"))
         j = prefix_join(flagged.join(paths, RESOURCE_KEYS), "_rp", shares, "NetworkPath", ["HostID", "GateID"],
                         strict=True).filter(F.col("_rp") != F.col("NetworkPath"))
+        counts = j.groupBy("NetworkPath").agg(F.countDistinct("ResourceID").alias("_n"))
     else:
-        j = shares.join(flagged, ["HostID", "GateID"])
-    return j.groupBy(F.col("NetworkPath").alias("SharePath")) \
-        .agg(F.countDistinct("ResourceID").alias("ExceptionFolderCountInShare")) \
+        gates = shares.groupBy("NetworkPath").agg(F.count(F.lit(1)).alias("_gates"))
+        shares = shares.join(gates, "NetworkPath")
+        per_gate = flagged.groupBy("HostID", "GateID").agg(F.count(F.lit(1)).alias("_n"))
+        one = shares.filter("_gates = 1").join(per_gate, ["HostID", "GateID"]).select("NetworkPath", "_n")
+        several = shares.filter("_gates > 1").join(flagged, ["HostID", "GateID"]) \
+            .groupBy("NetworkPath").agg(F.countDistinct("ResourceID").alias("_n"))
+        counts = one.unionByName(several)
+    return counts.select(F.col("NetworkPath").alias("SharePath"), F.col("_n").alias("ExceptionFolderCountInShare")) \
         .orderBy("SharePath")
 
 
@@ -109,7 +100,7 @@ def _letters(allow: Column, deny: Column) -> list[Column]:
 
 
 def trustee_access_batch(cat, requests: DataFrame, levels_down: int = 0, per_resource: bool = False,
-                         pair_rows=None, salt_holders: bool = True) -> DataFrame:
+                         salt_holders: bool = True, ignore_case: bool = False) -> DataFrame:
     """Get-TrusteeAccess for a DataFrame of trustee names (column ``Trustee``).
 
     Rewrites the reference's CROSS JOIN + per-row function as an equi-join
@@ -119,20 +110,17 @@ def trustee_access_batch(cat, requests: DataFrame, levels_down: int = 0, per_res
     on ResourceID too instead of spreading host/gate-wide rights.
     """
     check_non_negative(levels_down, "levels_down")
-    sids = access.trustee_sids_batch(cat.principals, cat.local_trustees, requests)
+    sids = access.trustee_sids_batch(cat.principals, cat.local_trustees, requests, ignore_case)
     pairs = _sid_pairs(cat, sids)
     keys = ["HostID", "GateID"] + (["ResourceID"] if per_resource else [])
     acl = cat.acl.withColumnRenamed("TrusteeSid", "HolderSid")
-    if pair_rows is not None:
-        pairs = _local(cat.spark, pair_rows, pairs.schema)
-        reach = _in_list(acl, "HolderSid", pair_rows).join(F.broadcast(pairs), "HolderSid")
-    elif salt_holders:
+    if salt_holders:
         # Many trustees: fold each holder's entries to one mask per host/gate (or
         # resource) first, so a group inherited by every trustee multiplies by
         # its host/gates, not its raw entry count; and salt such groups.
         acl = acl.join(pairs.select("HolderSid").distinct(), "HolderSid", "left_semi")  # only reached holders
         acl = access.aggregate_acl(acl, ["HolderSid", *keys])
-        reach = skew_join(pairs, acl, "HolderSid", cat.hot_holders, cat.buckets)
+        reach = skew_join(pairs, acl, "HolderSid", cat.hot_holders)
     else:
         # One trustee: its few pairs (broadcast by AQE) cut the ACL first; only
         # the reached entries are aggregated, never the whole ACL.
@@ -144,85 +132,69 @@ def trustee_access_batch(cat, requests: DataFrame, levels_down: int = 0, per_res
         "Trustee", F.lit("FileSystem").alias("DataSource"), "NetworkPath", *_letters(F.col("_a"), F.col("_d")))
 
 
-def trustee_access(cat, trustee: str, levels_down: int = 0, per_resource: bool = False) -> DataFrame:
+def trustee_access(cat, trustee: str, levels_down: int = 0, per_resource: bool = False,
+                   ignore_case: bool = False) -> DataFrame:
     """Get-TrusteeAccess for one ``Domain\\Name`` (columns as the reference)."""
     check_trustee(trustee)
     req = cat.spark.createDataFrame([(trustee,)], "Trustee string")
     # One trustee's SID pairs are its groups: small, and AQE's runtime size
-    # check broadcasts them. (Collecting them first would only feed a filter
-    # on TrusteeSid, which prunes no file layout here; measured slower.)
-    return trustee_access_batch(cat, req, levels_down, per_resource, salt_holders=False).drop("Trustee")
+    # check broadcasts them.
+    return trustee_access_batch(cat, req, levels_down, per_resource, salt_holders=False,
+                                ignore_case=ignore_case).drop("Trustee")
 
 
 # -- lookups -----------------------------------------------------------------
-def path_lookup(traversal: DataFrame, path: str) -> DataFrame:
+def path_lookup(traversal: DataFrame, path: str, ignore_case: bool = False) -> DataFrame:
     """G-2: traversal rows of one UNC path (HostID, GateID, ResourceID, NestedLevel, ...)."""
-    return traversal.filter(F.col("NetworkPath") == F.lit(normalize_unc(path)))
+    want = normalize_unc(path)
+    return traversal.filter(_folded(F.col("NetworkPath"), ignore_case) == _folded(F.lit(want), ignore_case))
 
 
-def path_lookup_batch(traversal: DataFrame, requests: DataFrame) -> DataFrame:
-    """Traversal rows for a DataFrame of paths (column ``Path``, already normalised)."""
-    return requests.select("Path").distinct().join(
-        traversal.withColumnRenamed("NetworkPath", "Path"), "Path")
+def path_lookup_batch(traversal: DataFrame, requests: DataFrame, ignore_case: bool = False) -> DataFrame:
+    """Traversal rows for a DataFrame of paths (column ``Path``, read as :func:`normalize_unc` reads one)."""
+    asked = requests.select("Path").distinct().withColumn("_p", _folded(normalized_unc("Path"), ignore_case))
+    rows = traversal.withColumn("_p", _folded(F.col("NetworkPath"), ignore_case))
+    return asked.join(rows, "_p").drop("_p")
 
 
 # -- F-5 ---------------------------------------------------------------------
-def resource_access_batch(cat, lookup: DataFrame, lookup_rows=None) -> DataFrame:
-    """Get-ResourceAccess for the looked-up resources (``lookup`` has Path + keys).
+def resource_access_batch(cat, lookup: DataFrame) -> DataFrame:
+    """Get-ResourceAccess for the looked-up resources (``lookup`` has Path, NetworkPath + keys).
 
     The ACL is cut to those resources before it is expanded over membership.
     """
-    acl = _restrict(cat.acl, lookup, RESOURCE_KEYS, lookup_rows)
-    access_rows = cat.effective_access_for(acl)
-    asked = lookup.select("Path", *RESOURCE_KEYS)
-    folder_paths = _restrict(cat.traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("FolderFullPath")),
-                    lookup, RESOURCE_KEYS, lookup_rows)
-    return asked.join(access_rows, RESOURCE_KEYS).join(folder_paths, RESOURCE_KEYS, "left") \
-        .filter(F.col("TrusteeNTStyleName").isNotNull()) \
+    asked = lookup.select("Path", F.col("NetworkPath").alias("FolderFullPath"), *RESOURCE_KEYS)
+    reached = cat.effective_access_for(_restrict(cat.acl, lookup, RESOURCE_KEYS))
+    return asked.join(reached, RESOURCE_KEYS).filter(F.col("TrusteeNTStyleName").isNotNull()) \
         .select("Path", "FolderFullPath", "TrusteeNTStyleName", "AllowRightsDescription", "DenyRightsDescription")
 
 
-def resource_access(cat, resource_path: str) -> DataFrame:
-    lookup = path_lookup(cat.traversal, resource_path).select(F.col("NetworkPath").alias("Path"), *RESOURCE_KEYS)
-    rows = bounded_rows(lookup, MAX_LOOKUP_KEYS)
-    if rows is not None:
-        lookup = _local(cat.spark, rows, lookup.schema)
-    return resource_access_batch(cat, lookup, rows).drop("Path").orderBy("TrusteeNTStyleName")
+def resource_access(cat, resource_path: str, ignore_case: bool = False, explain_empty: bool = False) -> DataFrame:
+    lookup = path_lookup(cat.traversal, resource_path, ignore_case).withColumn("Path", F.col("NetworkPath"))
+    answer = resource_access_batch(cat, lookup).drop("Path")
+    if explain_empty:
+        return with_reason(cat, answer, resource_path, None, ignore_case)
+    return answer.orderBy("TrusteeNTStyleName")
 
 
 # -- F-4 ---------------------------------------------------------------------
-def permission_source_batch(cat, requests: DataFrame, lookup: DataFrame | None = None,
-                            pairs: DataFrame | None = None, lookup_rows=None, pair_rows=None) -> DataFrame:
+def permission_source_batch(cat, requests: DataFrame, ignore_case: bool = False) -> DataFrame:
     """Get-TrusteePermissionSource for (Trustee, Path) requests.
 
     The reference joins lookup x trustee SIDs on a constant; here both are
     keyed by the request, so the join is an equi-join on the request id.
-    ``lookup`` / ``pairs`` may be passed in already resolved (single calls).
+    Paths and source names are joined to the asked resources' entries before
+    the entries meet the trustees' groups, so the expansion comes last.
     """
     req = requests.select("Trustee", "Path").distinct()
-    if lookup is None:
-        lookup = path_lookup_batch(cat.traversal, req.select("Path")).select("Path", *RESOURCE_KEYS)
-    if pairs is None:
-        sids = access.trustee_sids_batch(cat.principals, cat.local_trustees, req.select("Trustee"))
-        pairs = _sid_pairs(cat, sids)
-    acl = cat.acl.withColumnRenamed("TrusteeSid", "HolderSid")
-    if lookup_rows is not None:
-        for c in RESOURCE_KEYS:
-            acl = _in_list(acl, c, lookup_rows)
-    if pair_rows is not None:
-        acl = _in_list(acl, "HolderSid", pair_rows)
-    # Key both sides by the request first, so the final equi-join is on
-    # (Trustee, Path, HolderSid): entries are matched only with pairs of the
-    # same request (no requests x requests product, no hot single key).
-    small = lookup_rows is not None and pair_rows is not None
-    hint = F.broadcast if small else (lambda d: d)
-    on_path = lookup.join(hint(req), "Path")
-    of_trustee = pairs.join(hint(req), "Trustee")
-    reach = acl.join(hint(on_path), RESOURCE_KEYS).join(hint(of_trustee), ["Trustee", "Path", "HolderSid"])
-    paths = cat.traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("ResourcePath"))
+    lookup = path_lookup_batch(cat.traversal, req, ignore_case) \
+        .select("Path", F.col("NetworkPath").alias("ResourcePath"), *RESOURCE_KEYS)
+    pairs = _sid_pairs(cat, access.trustee_sids_batch(cat.principals, cat.local_trustees, req, ignore_case))
     names = cat.principals.select(F.col("ObjectSid").alias("HolderSid"), F.col("NTAccount").alias("_src"))
-    r = reach.join(paths, RESOURCE_KEYS).join(names, "HolderSid", "left")
-    return r.filter(F.col("ResourcePath").isNotNull()).select(
+    entries = _restrict(cat.acl.withColumnRenamed("TrusteeSid", "HolderSid"), lookup, RESOURCE_KEYS) \
+        .join(names, "HolderSid", "left").join(lookup, RESOURCE_KEYS).join(req, "Path")
+    r = entries.join(pairs, ["Trustee", "HolderSid"])
+    return r.select(
         "Trustee", "Path",
         F.coalesce(F.col("_src"), F.col("HolderSid")).alias("SourceTrusteePath"),
         "ResourcePath",
@@ -235,18 +207,13 @@ def permission_source_batch(cat, requests: DataFrame, lookup: DataFrame | None =
     )
 
 
-def permission_source(cat, trustee: str, resource_path: str) -> DataFrame:
+def permission_source(cat, trustee: str, resource_path: str, ignore_case: bool = False,
+                      explain_empty: bool = False) -> DataFrame:
     check_trustee(trustee)
     path = normalize_unc(resource_path)
     req = cat.spark.createDataFrame([(trustee, path)], "Trustee string, Path string")
-    lookup = path_lookup(cat.traversal, path).select(F.col("NetworkPath").alias("Path"), *RESOURCE_KEYS)
-    # The path lookup is collected (bounded): its keys cut the ACL and, on the
-    # persisted layout, prune to one host. The trustee's SID pairs are left to
-    # AQE's size-checked broadcast (collecting them measured slower).
-    lookup_rows = bounded_rows(lookup, MAX_LOOKUP_KEYS)
-    if lookup_rows is not None:
-        lookup = _local(cat.spark, lookup_rows, lookup.schema)
-    return permission_source_batch(cat, req, lookup, None, lookup_rows, None).drop("Trustee", "Path")
+    answer = permission_source_batch(cat, req, ignore_case).drop("Trustee", "Path")
+    return with_reason(cat, answer, path, trustee, ignore_case) if explain_empty else answer
 
 
 # -- F-6 ---------------------------------------------------------------------
@@ -258,7 +225,7 @@ def _as_of_literal(as_of: datetime | str | None) -> Column:
 
 
 def unused_access_batch(cat, shares: DataFrame, days_inactive: int = 90, as_of=None,
-                        strict_prefix: bool = False, share_rows=None, path_lengths=None) -> DataFrame:
+                        strict_prefix: bool = False) -> DataFrame:
     """Get-UnusedAccess for target share rows (``shares``: Path + traversal columns).
 
     LastActivity: activity on the share's host/gate whose folder path starts
@@ -272,26 +239,24 @@ def unused_access_batch(cat, shares: DataFrame, days_inactive: int = 90, as_of=N
     cutoff = _as_of_literal(as_of) - F.make_dt_interval(F.lit(days_inactive))
     roots = shares.select("Path", *RESOURCE_KEYS, "HostName", "ShareName", F.col("NetworkPath").alias("SharePath"))
 
+    # Which folders lie in which share is settled on the traversal alone, once;
+    # activity then meets it on the folder's own key.
     host_keys = ["HostID", "GateID"]
-    act = _restrict(cat.daily_activity, roots, host_keys, share_rows)
-    # Only the last day per (folder, user) matters: fold the daily rows before
-    # attaching paths (partial aggregation, no hot-user rows in later joins).
-    act = act.groupBy(*host_keys, "FolderID", "UserNTStyleName").agg(F.max("ActivityDate").alias("ActivityDate"))
-    folders = cat.traversal.select(*host_keys, F.col("ResourceID").alias("FolderID"),
-                                   F.col("NetworkPath").alias("FolderPath"))
-    folders = _restrict(folders, roots, host_keys, share_rows)
-    act = act.join(folders, host_keys + ["FolderID"])
-    # Activity inside the share: plain prefix by default (the reference lets
-    # \\h\data claim \\h\data2), the share or below its separator if strict.
-    act = prefix_join(act, "FolderPath", roots.select("Path", *host_keys, "SharePath"), "SharePath", host_keys,
-                      strict=strict_prefix, lengths=path_lengths)
-    last = act.groupBy("Path", *host_keys, F.col("UserNTStyleName").alias("TrusteeNTStyleName")) \
+    folders = _restrict(cat.traversal.select(*host_keys, F.col("ResourceID").alias("FolderID"),
+                                             F.col("NetworkPath").alias("FolderPath")), roots, host_keys)
+    inside = prefix_join(folders, "FolderPath", roots.select("Path", *host_keys, "SharePath"), "SharePath", host_keys,
+                         strict=strict_prefix).select("Path", *host_keys, "FolderID").distinct()
+    # Only the last day per (folder, user) matters: fold the daily rows first
+    # (partial aggregation, no hot-user rows in the join).
+    act = cat.daily_activity.groupBy(*host_keys, "FolderID", "UserNTStyleName") \
+        .agg(F.max("ActivityDate").alias("ActivityDate"))
+    last = act.join(inside, [*host_keys, "FolderID"]) \
+        .groupBy("Path", *host_keys, F.col("UserNTStyleName").alias("TrusteeNTStyleName")) \
         .agg(F.max("ActivityDate").alias("LastActivityDate"))
 
-    acl = _restrict(cat.acl, roots, RESOURCE_KEYS, share_rows)
-    access_rows = cat.effective_access_for(acl)
+    reached = cat.effective_access_for(_restrict(cat.acl, roots, RESOURCE_KEYS))
     users = cat.users.select(F.col("NTAccount").alias("TrusteeNTStyleName"))
-    res = roots.join(access_rows, RESOURCE_KEYS) \
+    res = roots.join(reached, RESOURCE_KEYS) \
         .join(last, ["Path", *host_keys, "TrusteeNTStyleName"], "left") \
         .join(users, "TrusteeNTStyleName", "left_semi") \
         .filter(F.col("LastActivityDate").isNull() | (F.col("LastActivityDate") < cutoff))
@@ -299,25 +264,20 @@ def unused_access_batch(cat, shares: DataFrame, days_inactive: int = 90, as_of=N
                       "DenyRightsDescription", "LastActivityDate")
 
 
-def share_roots(traversal: DataFrame, path: str | None = None) -> DataFrame:
+def share_roots(traversal: DataFrame, path: str | None = None, ignore_case: bool = False) -> DataFrame:
     """Target shares: lookup rows at NestedLevel 0 (all share roots when no path)."""
-    t = traversal.filter(F.col("NestedLevel") == 0)
-    if path is not None:
-        t = t.filter(F.col("NetworkPath") == F.lit(normalize_unc(path)))
-    return t.withColumn("Path", F.col("NetworkPath"))
+    t = traversal if path is None else path_lookup(traversal, path, ignore_case)
+    return t.filter(F.col("NestedLevel") == 0).withColumn("Path", F.col("NetworkPath"))
 
 
-def unused_access(cat, resource_path: str, days_inactive: int = 90, as_of=None,
-                  strict_prefix: bool = False) -> DataFrame:
+def unused_access(cat, resource_path: str, days_inactive: int = 90, as_of=None, strict_prefix: bool = False,
+                  ignore_case: bool = False, explain_empty: bool = False) -> DataFrame:
     check_positive(days_inactive, "days_inactive")
-    shares = share_roots(cat.traversal, resource_path) \
-        .select("Path", *RESOURCE_KEYS, "HostName", "ShareName", "NetworkPath")
-    rows = bounded_rows(shares, MAX_LOOKUP_KEYS)
-    if rows is not None:  # reuse the looked-up rows instead of re-deriving them per use
-        shares = _local(cat.spark, rows, shares.schema)
-    lengths = [len(normalize_unc(resource_path))]
-    return unused_access_batch(cat, shares, days_inactive, as_of, strict_prefix, rows, lengths).drop("Path") \
-        .orderBy("HostName", "ShareName", "TrusteeNTStyleName")
+    shares = share_roots(cat.traversal, resource_path, ignore_case)
+    answer = unused_access_batch(cat, shares, days_inactive, as_of, strict_prefix).drop("Path")
+    if explain_empty:
+        return with_reason(cat, answer, resource_path, None, ignore_case)
+    return answer.orderBy("HostName", "ShareName", "TrusteeNTStyleName")
 
 
 # -- F-7, F-8 ------------------------------------------------------------------
@@ -332,25 +292,26 @@ def shadow_access(shadow: DataFrame) -> DataFrame:
 
 
 # -- F-9 ---------------------------------------------------------------------
-def lookup_diagnosis(cat, requests: DataFrame) -> DataFrame:
+def lookup_diagnosis(cat, requests: DataFrame, ignore_case: bool = False) -> DataFrame:
     """Why a path/trustee question came back empty, for (Path, Trustee) requests.
 
     Counts path matches (lookup) and trustee matches (directory UNION ALL
     local accounts, so duplicates count twice, as in the reference), then
     picks the first reason: path unknown, trustee unknown, nothing found.
-    A NULL Trustee means the question had no trustee.
+    A NULL Trustee means the question had no trustee. ``Path`` and ``Trustee``
+    come back as they were asked.
     """
     req = requests.select("Path", "Trustee").distinct()
-    # Semi-join to the asked paths/names first: only matching rows are counted,
-    # not every path of the traversal.
-    asked_paths = req.select("Path").distinct()
-    asked_names = req.select("Trustee").where(F.col("Trustee").isNotNull()).distinct()
-    paths = cat.traversal.select(F.col("NetworkPath").alias("Path")).join(asked_paths, "Path", "left_semi") \
-        .groupBy("Path").agg(F.count(F.lit(1)).alias("ResourceMatches"))
-    d = cat.principals.select(F.col("NTAccount").alias("Trustee"))
-    loc = cat.local_trustees.select(F.concat(F.col("NTDomain"), F.lit("\\"), F.col("NTName")).alias("Trustee"))
-    names = d.unionAll(loc).join(asked_names, "Trustee", "left_semi") \
-        .groupBy("Trustee").agg(F.count(F.lit(1)).alias("TrusteeMatches"))
+    # Join the asked paths/names first: only matching rows are counted, not
+    # every path of the traversal.
+    paths = path_lookup_batch(cat.traversal, req, ignore_case).groupBy("Path") \
+        .agg(F.count(F.lit(1)).alias("ResourceMatches"))
+    d = cat.principals.select(F.col("NTAccount").alias("_name"))
+    loc = cat.local_trustees.select(F.concat(F.col("NTDomain"), F.lit("\\"), F.col("NTName")).alias("_name"))
+    known = d.unionAll(loc).withColumn("_t", _folded(F.col("_name"), ignore_case))
+    asked = req.select("Trustee").where(F.col("Trustee").isNotNull()).distinct() \
+        .withColumn("_t", _folded(F.col("Trustee"), ignore_case))
+    names = asked.join(known, "_t").groupBy("Trustee").agg(F.count(F.lit(1)).alias("TrusteeMatches"))
     r = req.join(paths, "Path", "left").join(names, "Trustee", "left")
     rm = F.coalesce(F.col("ResourceMatches"), F.lit(0).cast("bigint"))
     tm = F.when(F.col("Trustee").isNull(), F.lit(None).cast("bigint")) \
@@ -361,10 +322,21 @@ def lookup_diagnosis(cat, requests: DataFrame) -> DataFrame:
     return r.select("Path", "Trustee", rm.alias("ResourceMatches"), tm.alias("TrusteeMatches"), reason.alias("Reason"))
 
 
-def diagnose(cat, resource_path: str, trustee: str | None = None) -> DataFrame:
+def diagnose(cat, resource_path: str, trustee: str | None = None, ignore_case: bool = False) -> DataFrame:
     """F-9 for one question: one row (Path, Trustee, ResourceMatches, TrusteeMatches, Reason)."""
     path = normalize_unc(resource_path)
     if trustee is not None:
         check_trustee(trustee)
     req = cat.spark.createDataFrame([(path, trustee)], "Path string, Trustee string")
-    return lookup_diagnosis(cat, req)
+    return lookup_diagnosis(cat, req, ignore_case)
+
+
+def with_reason(cat, answer: DataFrame, resource_path: str, trustee: str | None,
+                ignore_case: bool = False) -> DataFrame:
+    """The answer of one question with a ``Reason`` column: NULL on its rows, and if it
+    has none, one row of NULLs that says why (F-9)."""
+    why = diagnose(cat, resource_path, trustee, ignore_case).select(F.lit(1).alias("_one"), "Reason")
+    some = answer.limit(1).select(F.lit(1).alias("_one"))
+    empty = why.join(some, "_one", "left_anti").select(
+        *[F.lit(None).cast(t).alias(c) for c, t in answer.dtypes], "Reason")
+    return answer.withColumn("Reason", F.lit(None).cast("string")).unionByName(empty)

@@ -5,11 +5,12 @@ join: joined on (host, gate) and filtered with ``startswith``, every folder
 row meets every share of its server, so a server with thousands of shares
 multiplies the folder rows by thousands before the filter.
 
-Here each folder path is cut at the distinct lengths of the target paths (a
-bounded list, collected once) and the cuts are equi-joined with the targets
-on (keys, path). A row fans out to at most ``#distinct lengths`` rows, the
-join keys are as selective as the paths themselves, and the result is
-exactly the ``startswith`` result:
+Here each path is cut at the lengths that occur among the targets of its own
+keys (one array per host/gate, joined as a table, so nothing is collected and
+no bound is needed) and the cuts are equi-joined with the targets on
+(keys, path). A row fans out to at most as many rows as there are such
+lengths within its own length, the join keys are as selective as the paths
+themselves, and the result is exactly the ``startswith`` result:
 
 * plain prefix: cut == target;
 * strict (the target itself or below its separator): cut == target and the
@@ -21,42 +22,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DISTINCT_LENGTHS = 512
 SEP = "\\"
 
 
-def target_lengths(targets: DataFrame, path_col: str) -> list[int] | None:
-    """Distinct lengths of the target paths, or None beyond the bound."""
-    rows = targets.select(F.length(path_col).alias("n")).distinct().limit(MAX_DISTINCT_LENGTHS + 1).collect()
-    if len(rows) > MAX_DISTINCT_LENGTHS:
-        return None
-    return sorted(r["n"] for r in rows if r["n"] is not None)
-
-
 def prefix_join(rows: DataFrame, path_col: str, targets: DataFrame, target_path_col: str, keys: list[str],
-                strict: bool = False, lengths: list[int] | None = None) -> DataFrame:
-    """Rows paired with every target (same ``keys``) whose path is a prefix of theirs.
-
-    ``lengths`` may be given (already collected); otherwise they are read
-    from ``targets``. Beyond :data:`MAX_DISTINCT_LENGTHS` the join falls back
-    to keys + ``startswith`` (correct, without the fan-out bound).
-    """
-    if lengths is None:
-        lengths = target_lengths(targets, target_path_col)
-    path = F.col(path_col)
-    target = F.col(target_path_col)
-    if lengths is None:
-        j = rows.join(targets, keys)
-        inside = path.startswith(target)
-        if strict:
-            inside = (path == target) | path.startswith(F.concat(target, F.lit(SEP)))
-        return j.filter(inside)
-    if not lengths:
-        return rows.join(targets, keys).limit(0)
-    cuts = F.array_distinct(F.array(*[F.substring(path, 1, n) for n in lengths]))
-    exploded = rows.withColumn("_cut", F.explode(cuts))
-    j = exploded.join(targets.withColumn("_cut", target), [*keys, "_cut"])
+                strict: bool = False) -> DataFrame:
+    """Rows paired with every target (same ``keys``) whose path is a prefix of theirs."""
+    path, target = F.col(path_col), F.col(target_path_col)
+    lengths = targets.groupBy(*keys).agg(F.collect_set(F.length(target)).alias("_lengths"))
+    own = F.filter("_lengths", lambda n: n <= F.length(path))
+    cuts = rows.join(lengths, keys).withColumn("_cut", F.explode(F.transform(own, lambda n: F.substr(path, F.lit(1), n))))
+    j = cuts.drop("_lengths").join(targets.withColumn("_cut", target), [*keys, "_cut"])
     if strict:
-        nxt = F.substring(path, F.length(target) + 1, 1)
+        nxt = F.substr(path, F.length(target) + 1, F.lit(1))
         j = j.filter((nxt == "") | (nxt == F.lit(SEP)))
     return j.drop("_cut")

@@ -4,15 +4,15 @@ A membership group such as "everyone" can hold a third of all members, and
 the same group can appear on millions of ACL entries. Joining on such a key
 puts one group's whole product into one task. We detect hot keys with one
 aggregate (the key list is bounded: at most ``1 / min_share`` keys can pass
-the threshold), then split the hot key's rows on the fan-out side into
-``buckets`` salts and replicate only the hot rows of the other side.
+the threshold), then split the hot key's rows on the larger side into as many
+salts as its own rows need and replicate only the hot rows of the other side.
 Salts come from a hash of row content, never from ``rand()``, so a task that
 is re-run after an executor loss produces the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MIN_SHARE = 0.02
@@ -52,13 +52,14 @@ def hot_keys(df: DataFrame, key: str, min_share: float = DEFAULT_MIN_SHARE,
 
 def hot_plan(left: DataFrame, right: DataFrame, key: str, min_share: float = DEFAULT_MIN_SHARE,
              min_rows: int = DEFAULT_MIN_ROWS) -> dict:
-    """Which side to split for each hot key of a join: ``{key: True}`` splits
-    ``left`` (and replicates ``right``'s rows of that key), ``False`` the reverse.
+    """How to split each hot key of a join: ``{key: n}``, n > 0 splits ``left``'s rows
+    of that key over n salts (and replicates ``right``'s), n < 0 the reverse.
 
     Hot keys are found on both inputs; a key hot on one side only is counted
-    on the other side too (bounded: at most ``2 / min_share`` keys), and the
-    larger side of each key is the one split, so replication always copies
-    the smaller side.
+    on the other side too (bounded: at most ``2 / min_share`` keys). The
+    larger side of each key is split, so replication always copies the
+    smaller one. The number of salts follows from the key's own rows: as many
+    as average shuffle partitions of its side they would fill.
     """
     lc = hot_key_counts(left, key, min_share, min_rows)
     rc = hot_key_counts(right, key, min_share, min_rows)
@@ -74,73 +75,56 @@ def hot_plan(left: DataFrame, right: DataFrame, key: str, min_share: float = DEF
         return have
 
     lc, rc = fill(left, lc), fill(right, rc)
-    return {k: lc.get(k, 0) >= rc.get(k, 0) for k in keys}
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = {True: max(1, left.count() // partitions), False: max(1, right.count() // partitions)}
+    plan = {}
+    for k in keys:
+        on_left = lc.get(k, 0) >= rc.get(k, 0)
+        n = max(2, -(-(lc if on_left else rc)[k] // each[on_left]))
+        plan[k] = n if on_left else -n
+    return plan
 
 
-def _as_plan(hot) -> dict:
-    if not hot:
-        return {}
-    return dict(hot) if isinstance(hot, dict) else {k: True for k in hot}
-
-
-def salt(fan: DataFrame, other: DataFrame, key: str, hot, buckets: int
-         ) -> tuple[DataFrame, DataFrame, list[str]]:
+def salt(fan: DataFrame, other: DataFrame, key: str, plan: dict) -> tuple[DataFrame, DataFrame, list[str]]:
     """The two sides of :func:`skew_join` with their salt columns, plus the join keys.
 
-    ``hot`` is a list of keys (split ``fan``) or a :func:`hot_plan` dict. A
-    split row gets one salt from a hash of its content; the other side's rows
-    of that key are replicated once per salt; all other rows get salt 0.
+    ``plan`` is a :func:`hot_plan`. A split row gets one salt from a hash of
+    its content; the other side's rows of that key are replicated once per
+    salt; all other rows get salt 0.
     """
-    plan = _as_plan(hot)
-    if not plan or buckets <= 1:
+    if not plan:
         return fan, other, [key]
-    split_fan = [k for k, v in plan.items() if v]
-    split_other = [k for k, v in plan.items() if not v]
-    every = F.sequence(F.lit(0), F.lit(buckets - 1))
 
-    def salted(df: DataFrame, split: list, replicate: list) -> DataFrame:
+    def salted(df: DataFrame, split: dict, replicate: dict) -> DataFrame:
         content = [F.col(c) for c in df.columns if c != key] or [F.col(key)]
-        one = F.array(F.pmod(F.xxhash64(*content), F.lit(buckets)).cast("int"))
         arr = F.array(F.lit(0))
-        if replicate:
-            arr = F.when(F.col(key).isin(replicate), every).otherwise(arr)
-        if split:
-            arr = F.when(F.col(key).isin(split), one).otherwise(arr)
+        # Keys with the same number of salts share one branch of the expression.
+        for n in sorted(set(replicate.values())):
+            same = [k for k, v in replicate.items() if v == n]
+            arr = F.when(F.col(key).isin(same), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(arr)
+        for n in sorted(set(split.values())):
+            same = [k for k, v in split.items() if v == n]
+            one = F.array(F.pmod(F.xxhash64(*content), F.lit(n)).cast("int"))
+            arr = F.when(F.col(key).isin(same), one).otherwise(arr)
         return df.withColumn("_salt", F.explode(arr))
 
+    split_fan = {k: n for k, n in plan.items() if n > 0}
+    split_other = {k: -n for k, n in plan.items() if n < 0}
     return salted(fan, split_fan, split_other), salted(other, split_other, split_fan), [key, "_salt"]
 
 
-def skew_join(fan: DataFrame, other: DataFrame, key: str, hot, buckets: int,
-              how: str = "inner", partitions: int | None = None) -> DataFrame:
-    """Equi-join on ``key`` with hot keys spread over ``buckets`` salts.
+def skew_join(fan: DataFrame, other: DataFrame, key: str, plan: dict, how: str = "inner") -> DataFrame:
+    """Equi-join on ``key`` with hot keys spread over salts as :func:`hot_plan` says.
 
-    With a list, ``fan`` is the side whose hot keys carry many rows; with a
-    :func:`hot_plan` dict each hot key splits its larger side. Each split row
-    keeps exactly one salt and the other side's rows of that key are
-    replicated once per salt, so inner joins (and left joins that only
-    split/replicate as planned on the right) give exactly the plain join.
+    Each split row keeps exactly one salt and the other side's rows of that
+    key are replicated once per salt, so inner joins (and left joins that only
+    split the left side) give exactly the plain join. The shuffle is the
+    join's own, so AQE can still split what stays large.
     """
     if how not in ("inner", "left"):
         raise ValueError("skew_join supports inner and left joins")
-    if how == "left" and any(v is False for v in _as_plan(hot).values()):
+    if how == "left" and any(n < 0 for n in plan.values()):
         raise ValueError("a left join may only split its left side")
-    fan_s, other_s, keys = salt(fan, other, key, hot, buckets)
-    if partitions:
-        # Expansion joins (output >> input): AQE sizes partitions by the small
-        # inputs and would coalesce them into a few tasks that then produce
-        # most of the output. A numbered repartition keeps the join wide.
-        fan_s, other_s = fan_s.repartition(partitions, *keys), other_s.repartition(partitions, *keys)
+    fan_s, other_s, keys = salt(fan, other, key, plan)
     joined = fan_s.join(other_s, keys, how)
     return joined.drop("_salt") if len(keys) > 1 else joined
-
-
-def bounded_rows(df: DataFrame, max_rows: int) -> list[Row] | None:
-    """Collect ``df`` only if it has at most ``max_rows`` rows, else ``None``.
-
-    Used for lookups (a path, a trustee's SIDs) whose result is normally a
-    handful of rows: the caller turns them into literal filters that reach the
-    parquet scan, and falls back to a join when the bound is exceeded.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None

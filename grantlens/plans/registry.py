@@ -60,10 +60,10 @@ def query(name: str, sql: str | None = None):
 @query("sensitive_data", W("g_content_matches", "g_traversal") + """
 SELECT t.HostName, t.ShareName, m.CriteriaName, CAST(sum(m.MatchCount) AS BIGINT) AS TotalMatches
 FROM g_content_matches m
-JOIN g_traversal t ON t.HostID = m.HostID AND t.ResourceID = m.ParentResourceID
-WHERE t.HostName IS NOT NULL AND t.ShareName IS NOT NULL
-GROUP BY 1, 2, 3
-ORDER BY 4 DESC""")
+LEFT JOIN g_traversal t ON t.HostID = m.HostID AND t.ResourceID = m.ParentResourceID
+GROUP BY t.HostName, t.ShareName, m.CriteriaName
+HAVING t.HostName IS NOT NULL AND t.ShareName IS NOT NULL
+ORDER BY TotalMatches DESC""")
 def q_sensitive_data(spark, d):
     c = cat(spark, d)
     return fs.sensitive_data(c.content_matches, c.traversal)
@@ -75,25 +75,26 @@ def q_content_matches(spark, d):
 
 
 # ---------------------------------------------------------------- F-2
+# Share by share: every flagged resource of the share's own servers, without any count per server in between.
 _OPEN_SHARES = """
-, roots AS (SELECT DISTINCT NetworkPath, HostID, GateID FROM g_traversal WHERE NestedLevel = 0 AND ResourceType = 2),
-flagged AS (SELECT DISTINCT HostID, GateID, ResourceID FROM g_fs_exceptions WHERE ParentType = 1)
-SELECT roots.NetworkPath AS SharePath, count(DISTINCT flagged.ResourceID) AS ExceptionFolderCountInShare
-FROM roots JOIN flagged USING (HostID, GateID) {extra}
-{cond}
-GROUP BY 1
-ORDER BY 1"""
+SELECT s.NetworkPath AS SharePath, count(DISTINCT e.ResourceID) AS ExceptionFolderCountInShare
+FROM g_traversal s
+LEFT JOIN g_fs_exceptions e ON e.ParentType = 1 AND e.HostID = s.HostID AND e.GateID = s.GateID {inside}
+WHERE s.ResourceType = 2 AND s.NestedLevel = 0
+GROUP BY s.NetworkPath
+HAVING count(e.ResourceID) > 0
+ORDER BY SharePath"""
 
 
-@query("open_shares", W("g_traversal", "g_fs_exceptions").rstrip() + _OPEN_SHARES.format(extra="", cond=""))
+@query("open_shares", W("g_traversal", "g_fs_exceptions") + _OPEN_SHARES.format(inside=""))
 def q_open_shares(spark, d):
     c = cat(spark, d)
     return fs.open_shares(c.traversal, c.fs_exceptions)
 
 
-@query("open_shares_within", W("g_traversal", "g_fs_exceptions").rstrip() + _OPEN_SHARES.format(
-    extra="JOIN g_traversal below USING (HostID, GateID, ResourceID)",
-    cond="WHERE starts_with(below.NetworkPath, roots.NetworkPath || chr(92))"))
+@query("open_shares_within", W("g_traversal", "g_fs_exceptions") + _OPEN_SHARES.format(
+    inside="""AND EXISTS (SELECT 1 FROM g_traversal x WHERE x.HostID = e.HostID AND x.GateID = e.GateID
+      AND x.ResourceID = e.ResourceID AND starts_with(x.NetworkPath, s.NetworkPath || chr(92)))"""))
 def q_open_shares_within(spark, d):
     c = cat(spark, d)
     return fs.open_shares(c.traversal, c.fs_exceptions, within_share=True)
@@ -176,7 +177,7 @@ def q_trustee_share_access(spark, d):
 
 
 # ---------------------------------------------------------------- F-4 / G-4
-_MASK = "'0x' || lpad(hex({m}), 8, '0')"
+_MASK = "'0x' || lpad(hex(CAST({m} AS BIGINT) & 4294967295), 8, '0')"
 
 
 def _perm_columns() -> str:
@@ -201,7 +202,8 @@ def q_permission_source(spark, d):
 
 @query("permission_source_local_batch", W("g_principals", "g_local_trustees", "g_closure", "g_acl", "g_traversal")
        .rstrip() + f""",
-req AS (SELECT DISTINCT l.NTDomain || chr(92) || l.NTName AS Trustee, chr(92) || chr(92) || n.n_name || chr(92) || 'data' AS Path
+req AS (SELECT DISTINCT l.NTDomain || chr(92) || l.NTName AS Trustee, chr(92) || chr(92) || n.n_name || chr(92) || 'data' AS Plain,
+               '//' || n.n_name || '/data/' AS Path
         FROM g_local_trustees l JOIN nation n ON l.NTDomain = 'HOST' || CAST(n.n_nationkey AS VARCHAR)),
 ts_sid AS (
   SELECT DISTINCT Trustee, sid FROM (
@@ -212,7 +214,7 @@ ts_pairs AS (
   SELECT c.GroupSid AS HolderSid, s.sid, s.Trustee FROM g_closure c JOIN ts_sid s ON c.MemberSid = s.sid
   UNION
   SELECT sid, sid, Trustee FROM ts_sid),
-ri AS (SELECT r.Trustee, r.Path, t.HostID, t.GateID, t.ResourceID FROM req r JOIN g_traversal t ON t.NetworkPath = r.Path),
+ri AS (SELECT r.Trustee, r.Path, t.HostID, t.GateID, t.ResourceID FROM req r JOIN g_traversal t ON t.NetworkPath = r.Plain),
 ps AS (SELECT ri.Trustee, ri.Path, x.HostID, x.GateID, x.ResourceID, p.sid, x.TrusteeSid AS HolderSid,
               x.AllowRights, x.DenyRights
        FROM ri JOIN g_acl x ON x.HostID = ri.HostID AND x.GateID = ri.GateID AND x.ResourceID = ri.ResourceID
@@ -224,7 +226,7 @@ LEFT JOIN g_principals pr ON pr.ObjectSid = ps.HolderSid""")
 def q_permission_source_local_batch(spark, d):
     c = cat(spark, d)
     n = c.raw("nation").select(F.concat(F.lit("HOST"), F.col("n_nationkey").cast("string")).alias("NTDomain"),
-                               F.concat(F.lit("\\\\"), "n_name", F.lit("\\data")).alias("Path"))
+                               F.concat(F.lit("//"), "n_name", F.lit("/data/")).alias("Path"))
     req = c.local_trustees.join(n, "NTDomain").select(
         F.concat("NTDomain", F.lit("\\"), "NTName").alias("Trustee"), "Path").distinct()
     return fs.permission_source_batch(c, req)
@@ -242,13 +244,15 @@ def q_permission_entries(spark, d):
 
 
 # ---------------------------------------------------------------- F-5 / G-5
-def _resource_access_sql(path: str) -> str:
-    return W("g_traversal", "g_effective_access").rstrip() + f""",
-asked AS (SELECT HostID, GateID, ResourceID FROM g_traversal WHERE NetworkPath = {_sql_text(path)})
+def _resource_access_sql(path: str, condition: str = "asked.NetworkPath = {}") -> str:
+    """Left joins from the asked resource, as the question is put; unmatched rows go in WHERE."""
+    return W("g_traversal", "g_effective_access") + f"""
 SELECT f.NetworkPath AS FolderFullPath, a.TrusteeNTStyleName, a.AllowRightsDescription, a.DenyRightsDescription
-FROM asked JOIN g_effective_access a USING (HostID, GateID, ResourceID)
-LEFT JOIN g_traversal f USING (HostID, GateID, ResourceID)
-ORDER BY 2"""
+FROM g_traversal asked
+LEFT JOIN g_effective_access a ON a.HostID = asked.HostID AND a.GateID = asked.GateID AND a.ResourceID = asked.ResourceID
+LEFT JOIN g_traversal f ON f.HostID = a.HostID AND f.GateID = a.GateID AND f.ResourceID = a.ResourceID
+WHERE {condition.format(_sql_text(path))} AND a.TrusteeNTStyleName IS NOT NULL
+ORDER BY a.TrusteeNTStyleName"""
 
 
 @query("resource_access", _resource_access_sql(SHARE_PATH))
@@ -278,42 +282,38 @@ def q_effective_access(spark, d):
 
 
 # ---------------------------------------------------------------- F-6 / G-6
-def _unused_sql(path_filter: str, strict: bool, batch: bool) -> str:
-    inside = ("(f.NetworkPath = r.NetworkPath OR starts_with(f.NetworkPath, r.NetworkPath || chr(92)))" if strict
-              else "starts_with(f.NetworkPath, r.NetworkPath)")
-    path_col = "r.NetworkPath AS Path, " if batch else ""
-    return W("g_traversal", "g_effective_access", "g_daily_activity", "g_users").rstrip() + f""",
-roots AS (SELECT HostID, GateID, ResourceID, HostName, ShareName, NetworkPath
-          FROM g_traversal WHERE NestedLevel = 0 {path_filter}),
-last_seen AS (
-  SELECT r.ResourceID AS RootID, d.HostID, d.GateID, d.UserNTStyleName, max(d.ActivityDate) AS LastActivityDate
-  FROM g_daily_activity d
-  JOIN roots r ON r.HostID = d.HostID AND r.GateID = d.GateID
-  JOIN g_traversal f ON f.HostID = d.HostID AND f.GateID = d.GateID AND f.ResourceID = d.FolderID
-  WHERE {inside}
-  GROUP BY 1, 2, 3, 4)
-SELECT {path_col}r.HostName, r.ShareName, a.TrusteeNTStyleName, a.AllowRightsDescription, a.DenyRightsDescription,
-       l.LastActivityDate
-FROM roots r
-JOIN g_effective_access a USING (HostID, GateID, ResourceID)
-LEFT JOIN last_seen l
-  ON l.RootID = r.ResourceID AND l.HostID = a.HostID AND l.GateID = a.GateID AND l.UserNTStyleName = a.TrusteeNTStyleName
-WHERE a.TrusteeNTStyleName IN (SELECT NTAccount FROM g_users)
-  AND coalesce(l.LastActivityDate < TIMESTAMP '{AS_OF.isoformat(sep=" ")}' - INTERVAL {DAYS} DAY, TRUE)
-ORDER BY r.HostName, r.ShareName, a.TrusteeNTStyleName"""
-
-
-@query("unused_access", _unused_sql(f"AND NetworkPath = {_sql_text(SHARE_PATH)}", strict=False, batch=False))
+def _unused_sql(asked: str, strict: bool, batch: bool) -> str:
+    """One pass from the access rows: every activity of the user in the share is left-joined, and the groups whose
+    latest one is missing or too old stay."""
+    below = "starts_with(f.NetworkPath, s.NetworkPath || chr(92))"
+    inside = f"({below} OR f.NetworkPath = s.NetworkPath)" if strict else "starts_with(f.NetworkPath, s.NetworkPath)"
+    first = "s.NetworkPath AS Path, " if batch else ""
+    return W("g_traversal", "g_effective_access", "g_daily_activity", "g_users") + f"""
+SELECT {first}s.HostName, s.ShareName, a.TrusteeNTStyleName, a.AllowRightsDescription, a.DenyRightsDescription,
+       max(CASE WHEN f.ResourceID IS NOT NULL THEN d.ActivityDate END) AS LastActivityDate
+FROM g_effective_access a
+JOIN g_traversal s ON s.ResourceID = a.ResourceID AND s.HostID = a.HostID AND s.GateID = a.GateID
+LEFT JOIN g_daily_activity d
+  ON d.UserNTStyleName = a.TrusteeNTStyleName AND d.HostID = s.HostID AND d.GateID = s.GateID
+LEFT JOIN g_traversal f ON f.ResourceID = d.FolderID AND f.HostID = d.HostID AND f.GateID = d.GateID AND {inside}
+WHERE s.NestedLevel = 0 AND {asked} AND EXISTS (SELECT 1 FROM g_users u WHERE u.NTAccount = a.TrusteeNTStyleName)
+GROUP BY s.NetworkPath, s.ResourceID, s.HostID, s.GateID, s.HostName, s.ShareName, a.TrusteeNTStyleName,
+         a.AllowRightsDescription, a.DenyRightsDescription
+HAVING LastActivityDate IS NULL OR LastActivityDate < TIMESTAMP '{AS_OF.isoformat(sep=" ")}' - INTERVAL {DAYS} DAY
+ORDER BY s.HostName, s.ShareName, a.TrusteeNTStyleName"""
+
+
+@query("unused_access", _unused_sql(f"s.NetworkPath = {_sql_text(SHARE_PATH)}", strict=False, batch=False))
 def q_unused_access(spark, d):
     return fs.unused_access(cat(spark, d), SHARE_PATH, DAYS, as_of=AS_OF)
 
 
-@query("unused_access_strict", _unused_sql(f"AND NetworkPath = {_sql_text(SHARE_PATH)}", strict=True, batch=False))
+@query("unused_access_strict", _unused_sql(f"s.NetworkPath = {_sql_text(SHARE_PATH)}", strict=True, batch=False))
 def q_unused_access_strict(spark, d):
     return fs.unused_access(cat(spark, d), SHARE_PATH, DAYS, as_of=AS_OF, strict_prefix=True)
 
 
-@query("unused_access_all_shares", _unused_sql("", strict=False, batch=True))
+@query("unused_access_all_shares", _unused_sql("TRUE", strict=False, batch=True))
 def q_unused_access_all_shares(spark, d):
     c = cat(spark, d)
     return fs.unused_access_batch(c, fs.share_roots(c.traversal), DAYS, as_of=AS_OF)
@@ -336,7 +336,7 @@ def q_shadow_access(spark, d):
 
 
 _DIAG_REQUESTS = [(SHARE_PATH, TRUSTEE), ("\\\\NOHOST\\data", TRUSTEE), (SHARE_PATH, "DOM0\\nobody"),
-                  (FOLDER_PATH, None)]
+                  (FOLDER_PATH, None), (FOLDER_PATH_SLASHED, TRUSTEE), ("no network path", TRUSTEE)]
 
 
 def _diag_values() -> str:
@@ -351,7 +351,8 @@ SELECT r.Path, r.Trustee, CAST(coalesce(pm.n, 0) AS BIGINT) AS ResourceMatches,
             WHEN r.Trustee IS NOT NULL AND coalesce(tm.n, 0) = 0 THEN 'trustee unknown'
             ELSE 'no access found' END AS Reason
 FROM (SELECT DISTINCT * FROM (VALUES {_diag_values()}) AS v(Path, Trustee)) r
-LEFT JOIN (SELECT NetworkPath, count(*) AS n FROM g_traversal GROUP BY NetworkPath) pm ON pm.NetworkPath = r.Path
+LEFT JOIN (SELECT NetworkPath, count(*) AS n FROM g_traversal GROUP BY NetworkPath) pm
+  ON pm.NetworkPath = CASE WHEN starts_with(r.Path, '//') THEN chr(92) || chr(92) || rtrim(replace(substr(r.Path, 3), '/', chr(92)), chr(92)) ELSE r.Path END
 LEFT JOIN (SELECT Trustee, count(*) AS n FROM (
              SELECT NTAccount AS Trustee FROM g_principals
              UNION ALL SELECT NTDomain || chr(92) || NTName FROM g_local_trustees) GROUP BY Trustee) tm
@@ -361,6 +362,53 @@ def q_lookup_diagnosis(spark, d):
     return fs.lookup_diagnosis(cat(spark, d), req)
 
 
+# Empty answers explain themselves; names and paths in another letter case are found on request.
+NO_PATH = "\\\\NOHOST\\data"
+NO_TRUSTEE = "DOM0\\nobody"
+
+
+def _explained_sql(columns: list[tuple[str, str]], path: str, trustee: str | None) -> str:
+    nulls = ", ".join(f"CAST(NULL AS {t}) AS {c}" for c, t in columns)
+    who = "FALSE" if trustee is None else f"""NOT EXISTS (SELECT 1 FROM g_principals WHERE NTAccount = {_sql_text(trustee)})
+  AND NOT EXISTS (SELECT 1 FROM g_local_trustees WHERE NTDomain || chr(92) || NTName = {_sql_text(trustee)})"""
+    return W("g_traversal", "g_principals", "g_local_trustees") + f"""
+SELECT {nulls}, CASE WHEN NOT EXISTS (SELECT 1 FROM g_traversal WHERE NetworkPath = {_sql_text(path)}) THEN 'path unknown'
+  WHEN {who} THEN 'trustee unknown' ELSE 'no access found' END AS Reason"""
+
+
+_SOURCE_COLS = [(c, "VARCHAR") for c in (
+    "SourceTrusteePath", "ResourcePath", "PermissionSourceType", "AllowRightsDescription", "AllowMaskDescription",
+    "DenyRightsDescription", "DenyMaskDescription")]
+
+
+@query("permission_source_unknown_trustee", _explained_sql(_SOURCE_COLS, SHARE_PATH, NO_TRUSTEE))
+def q_permission_source_unknown_trustee(spark, d):
+    return fs.permission_source(cat(spark, d), NO_TRUSTEE, SHARE_PATH, explain_empty=True)
+
+
+@query("resource_access_unknown_path", _explained_sql([(c, "VARCHAR") for c in (
+    "FolderFullPath", "TrusteeNTStyleName", "AllowRightsDescription", "DenyRightsDescription")], NO_PATH, None))
+def q_resource_access_unknown_path(spark, d):
+    return fs.resource_access(cat(spark, d), NO_PATH, explain_empty=True)
+
+
+@query("unused_access_unknown_path", _explained_sql([(c, "VARCHAR") for c in (
+    "HostName", "ShareName", "TrusteeNTStyleName", "AllowRightsDescription", "DenyRightsDescription")]
+    + [("LastActivityDate", "TIMESTAMP")], NO_PATH, None))
+def q_unused_access_unknown_path(spark, d):
+    return fs.unused_access(cat(spark, d), NO_PATH, DAYS, as_of=AS_OF, explain_empty=True)
+
+
+@query("trustee_access_ignore_case", _TRUSTEE_ACCESS)
+def q_trustee_access_ignore_case(spark, d):
+    return fs.trustee_access(cat(spark, d), TRUSTEE.lower(), levels_down=LEVEL, ignore_case=True)
+
+
+@query("resource_access_ignore_case", _resource_access_sql(SHARE_PATH, "lower(asked.NetworkPath) = lower({})"))
+def q_resource_access_ignore_case(spark, d):
+    return fs.resource_access(cat(spark, d), SHARE_PATH.upper(), ignore_case=True)
+
+
 # ---------------------------------------------------------------- G-1, A-1
 @query("membership_closure", W("g_closure") + "SELECT * FROM g_closure")
 def q_membership_closure(spark, d):
@@ -567,26 +615,30 @@ def q_primary_key_check(spark, d):
 
 
 FK_CHECKS = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"),
-             ("events", "user_id", "customer", "c_custkey"), ("documents", "doc_id", "labels", "doc_id")]
+             ("events", "user_id", "customer", "c_custkey"), ("documents", "doc_id", "labels", "doc_id"),
+             ("lineitem", "l_orderkey,l_partkey", "lineitem", "l_orderkey,l_suppkey")]
 
 
 def _fk_sql() -> str:
     parts = []
     for ct, cc, pt, pc in FK_CHECKS:
+        pairs = list(zip(cc.split(","), pc.split(",")))
+        match = " AND ".join(f"p.{y} = c.{x}" for x, y in pairs)
+        whole = " AND ".join(f"c.{x} IS NOT NULL" for x, _ in pairs)
+        key = "(" + ", ".join(f"c.{x}" for x, _ in pairs) + ")"
         parts.append(f"""SELECT '{ct}' AS child_table, '{cc}' AS child_column, '{pt}' AS parent_table,
-  '{pc}' AS parent_column, CAST(count(*) AS BIGINT) AS child_rows,
-  CAST(count(*) FILTER (WHERE p.k IS NULL) AS BIGINT) AS orphan_rows,
-  count(DISTINCT c.{cc}) FILTER (WHERE p.k IS NULL) AS orphan_keys,
-  count(*) FILTER (WHERE p.k IS NULL) = 0 AS is_valid
-FROM {ct} c LEFT JOIN (SELECT DISTINCT {pc} AS k FROM {pt}) p ON c.{cc} = p.k WHERE c.{cc} IS NOT NULL""")
+  '{pc}' AS parent_column, count(*) AS child_rows, count(*) FILTER (WHERE NOT found) AS orphan_rows,
+  count(DISTINCT k) FILTER (WHERE NOT found) AS orphan_keys, count(*) FILTER (WHERE NOT found) = 0 AS is_valid
+FROM (SELECT {key} AS k, EXISTS (SELECT 1 FROM {pt} p WHERE {match}) AS found FROM {ct} c WHERE {whole})""")
     return "\nUNION ALL\n".join(parts)
 
 
 @query("foreign_key_check", _fk_sql())
 def q_foreign_key_check(spark, d):
     c = cat(spark, d)
-    return reduce(DataFrame.unionByName, [checks.foreign_key_check(c.raw(ct), ct, cc, c.raw(pt), pt, pc)
-                                          for ct, cc, pt, pc in FK_CHECKS])
+    return reduce(DataFrame.unionByName, [
+        checks.foreign_key_check(c.raw(ct), ct, cc.split(","), c.raw(pt), pt, pc.split(","))
+        for ct, cc, pt, pc in FK_CHECKS])
 
 
 SQL_PARAMS_TEXT = ("SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, "
@@ -602,16 +654,17 @@ def q_sql_params(spark, d):
     return checks.run_sql(spark, SQL_PARAMS_TEXT, SQL_PARAMS, {"lineitem": c.raw("lineitem")})
 
 
-def _fingerprint_sql(col: str) -> str:
-    x = col
+def _masked_sql(col: str) -> str:
+    x = f"coalesce({col}, '')"
     for pat, rep in [("'[^']*'", "'?'"), ('"[^"]*"', '"?"'), (r"\b\d+\.?\d*\b", "?"),
                      (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "?@?")]:
         x = f"regexp_replace({x}, {_sq(pat)}, {_sq(rep)}, 'g')"
-    return (f"CASE WHEN {col} IS NULL OR {col} = '' THEN '' WHEN length({x}) > 150 "
-            f"THEN substr({x}, 1, 150) || '...' ELSE {x} END")
+    return x
 
 
-@query("query_fingerprints", f"SELECT {_fingerprint_sql('url')} AS fingerprint, count(*) AS n FROM pages GROUP BY 1")
+@query("query_fingerprints", f"""SELECT fingerprint, n,
+  CASE WHEN length(fingerprint) > 150 THEN substr(fingerprint, 1, 150) || '...' ELSE fingerprint END AS label
+FROM (SELECT {_masked_sql('url')} AS fingerprint, count(*) AS n FROM pages GROUP BY 1)""")
 def q_query_fingerprints(spark, d):
     return checks.query_fingerprints(cat(spark, d).raw("pages"), "url")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +20,8 @@ SCALE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Checkpoint files go when the driver no longer refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -50,9 +54,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only for local runs.
 
-    On a cluster the directory must be shared storage named by
-    ``spark.checkpoint.dir``; a machine-local temporary folder would not
-    survive the loss of an executor, so we refuse to invent one there.
+    The directory is the one that ``spark.checkpoint.dir`` names. Where it is
+    unset, a local master (tests, one machine) gets a folder that goes with
+    the process; a cluster is refused, as a machine-local folder would not
+    survive the loss of an executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -67,5 +72,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "spark.checkpoint.dir is not set; point it at shared storage (HDFS/S3/ABFS) "
             "so iterative jobs can cut lineage and survive executor loss")
     local_dir = tempfile.mkdtemp(prefix="grantlens-ckpt-")
+    atexit.register(shutil.rmtree, local_dir, ignore_errors=True)
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir()

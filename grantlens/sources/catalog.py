@@ -21,8 +21,18 @@ from grantlens.sources import governance as gov
 from grantlens.sources.raw import read_table
 from grantlens.session import ensure_checkpoint_dir
 
-_CATALOGS: dict[tuple[str, str], "GovernanceCatalog"] = {}
-MAX_SALT_BUCKETS = 64
+_CATALOGS: dict[tuple[str, str], tuple[str, "GovernanceCatalog"]] = {}
+
+
+def snapshot_id(spark: SparkSession, sf_dir: str) -> str:
+    """Name, size and modification time of every table file: changes when a new scan lands."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, out = fs.listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return "\n".join(sorted(out))
 
 
 class GovernanceCatalog:
@@ -35,10 +45,13 @@ class GovernanceCatalog:
 
     @classmethod
     def for_dir(cls, spark: SparkSession, sf_dir: str) -> "GovernanceCatalog":
+        """The catalog of a directory, shared by the application's questions. A directory whose files have
+        changed gets a new one, so an answer never mixes two snapshots."""
         key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-        if key not in _CATALOGS:
-            _CATALOGS[key] = cls(spark, sf_dir)
-        return _CATALOGS[key]
+        now = snapshot_id(spark, sf_dir)
+        if key not in _CATALOGS or _CATALOGS[key][0] != now:
+            _CATALOGS[key] = (now, cls(spark, sf_dir))
+        return _CATALOGS[key][1]
 
     @classmethod
     def from_persisted(cls, spark: SparkSession, root: str, sf_dir: str | None = None) -> "GovernanceCatalog":
@@ -50,22 +63,6 @@ class GovernanceCatalog:
         from grantlens.sources.layout import load_views
         return cls(spark, sf_dir, **load_views(spark, root))
 
-    @property
-    def buckets(self) -> int:
-        """Salt buckets for hot keys: the shuffle width, capped so a hot key's
-        replicated side stays small (replication cost grows with buckets)."""
-        return max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), MAX_SALT_BUCKETS))
-
-    @property
-    def expansion_partitions(self) -> int:
-        """Partitions for joins whose output dwarfs their input (ACL x membership).
-
-        AQE would size them by the small inputs; at least two tasks per core
-        (and never fewer than the shuffle width) keeps the expansion spread.
-        """
-        shuffle = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return max(shuffle, 2 * self.spark.sparkContext.defaultParallelism)
-
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
@@ -141,7 +138,7 @@ class GovernanceCatalog:
     @cached_property
     def closure(self) -> DataFrame:
         share = share_for(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        return membership_closure(self.direct_members, buckets=self.buckets, min_share=share)
+        return membership_closure(self.direct_members, min_share=share)
 
     @cached_property
     def ad_permissions(self) -> DataFrame:
@@ -195,22 +192,20 @@ class GovernanceCatalog:
 
     @cached_property
     def effective_access(self) -> DataFrame:
-        return access.effective_access(self.acl, self.trustee_names, self.hot_holders, self.buckets,
-                                       self.expansion_partitions)
+        return access.effective_access(self.acl, self.trustee_names, self.hot_holders)
 
     def effective_access_for(self, acl_subset: DataFrame) -> DataFrame:
         # A restricted ACL (one path or a few) is small: only split the membership
         # side of hot SIDs and replicate the few ACL rows, never the reverse
         # (the two-sided plan was decided on the full ACL).
-        split_members = [k for k, split_left in self.hot_holders.items() if split_left]
-        return access.effective_access(acl_subset, self.trustee_names, split_members, self.buckets)
+        split_members = {k: n for k, n in self.hot_holders.items() if n > 0}
+        return access.effective_access(acl_subset, self.trustee_names, split_members)
 
     @cached_property
     def trustee_share_access(self) -> DataFrame:
-        return access.trustee_share_access(self.acl, self.sid_holders, self.hot_holders, self.buckets,
-                                           self.expansion_partitions)
+        return access.trustee_share_access(self.acl, self.sid_holders, self.hot_holders)
 
     @cached_property
     def permission_entries(self) -> DataFrame:
         return access.permission_entries(self.acl, self.sid_holders, self.traversal, self.principals,
-                                         self.hot_holders, self.buckets, self.expansion_partitions)
+                                         self.hot_holders)

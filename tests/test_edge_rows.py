@@ -114,6 +114,8 @@ def test_backslash_and_bracket_patterns(spark):
     assert sorted(r.s for r in df.filter(like(F.col("s"), "[AB]%")).collect()) == ["Alice", "Bob"]
     assert sorted(r.s for r in df.filter(like(F.col("s"), "[^AB]%")).collect()) == ["CORP\\Admin1", "CORP\\Bob", "Carl"]
     assert [r.s for r in df.filter(like(F.col("s"), "")).collect()] == [""]
+    broken = spark.createDataFrame([("Bob\n",), ("Bob",)], "s string")
+    assert [r.s for r in broken.filter(like(F.col("s"), "[AB]ob")).collect()] == ["Bob"]
     assert [r.s for r in df.filter(like(F.col("s"), "corp\\admin%", ignore_case=True)).collect()] == ["CORP\\Admin1"]
 
 
@@ -153,6 +155,14 @@ def test_fingerprint_log_lines(spark):
     assert got[4] == ""
 
 
+def test_fingerprints_group_on_the_whole_text(spark):
+    from grantlens.operators.checks import query_fingerprints
+    same = "select " + ", ".join(f"c{chr(97 + i % 26)}" for i in range(60))
+    df = spark.createDataFrame([(same + " from a",), (same + " from b",), (same + " from b",)], "q string")
+    got = query_fingerprints(df, "q").collect()
+    assert sorted(r.n for r in got) == [1, 2] and len({r.label for r in got}) == 1
+
+
 def test_diagnose_single_question(spark):
     cat = mini_catalog(spark)
     r = fs.diagnose(cat, "//H1/data", "CORP\\nobody").collect()
@@ -162,10 +172,42 @@ def test_diagnose_single_question(spark):
 
 
 def test_trustee_sids_union_is_distinct(spark):
-    from grantlens.operators.access import trustee_sids
+    from grantlens.operators.access import trustee_sids_batch
+    cat = mini_catalog(spark)
+    req = spark.createDataFrame([("CORP\\staff",), ("CORP\\nobody",)], "Trustee string")
+    got = trustee_sids_batch(cat.principals, cat.local_trustees, req).collect()
+    assert [(r.Trustee, r.sid) for r in got] == [("CORP\\staff", "S-g1")]
+
+
+def test_other_letter_case_on_request(spark):
+    cat = mini_catalog(spark)
+    assert fs.trustee_access(cat, "corp\\STAFF", 1).count() == 0
+    assert fs.trustee_access(cat, "corp\\STAFF", 1, ignore_case=True).count() == 2
+    want = sorted(fs.permission_source(cat, "CORP\\bob", SHARE).collect())
+    assert sorted(fs.permission_source(cat, "corp\\BOB", SHARE.lower(), ignore_case=True).collect()) == want and want
+    for one in (fs.resource_access, lambda *a, **k: fs.unused_access(*a, 10, as_of=AS_OF, **k)):
+        assert sorted(one(cat, SHARE.lower(), ignore_case=True).collect()) == sorted(one(cat, SHARE).collect())
+    assert fs.diagnose(cat, SHARE.lower(), "corp\\Alice", ignore_case=True).head().Reason == "no access found"
+
+
+def test_empty_answers_explain_themselves(spark):
+    cat = mini_catalog(spark)
+    assert [r.Reason for r in fs.permission_source(cat, "CORP\\nobody", SHARE, explain_empty=True).collect()] == ["trustee unknown"]
+    assert [r.Reason for r in fs.resource_access(cat, "//H9/x", explain_empty=True).collect()] == ["path unknown"]
+    assert [r.Reason for r in fs.unused_access(cat, FOLDER, 10, as_of=AS_OF, explain_empty=True).collect()] == ["no access found"]
+    full = fs.resource_access(cat, SHARE, explain_empty=True).collect()
+    assert {r.Reason for r in full} == {None} and len(full) == fs.resource_access(cat, SHARE).count()
+
+
+def test_batch_reads_paths_as_single_calls_do(spark):
     cat = mini_catalog(spark)
-    assert [r.sid for r in trustee_sids(cat.principals, cat.local_trustees, "CORP\\staff").collect()] == ["S-g1"]
-    assert trustee_sids(cat.principals, cat.local_trustees, "CORP\\nobody").count() == 0
+    req = spark.createDataFrame([("CORP\\bob", "//H1/data/"), ("nobackslash", "//H1/data"), ("CORP\\bob", "H1/data")],
+                                "Trustee string, Path string")
+    got = fs.permission_source_batch(cat, req).collect()
+    assert {(r.Trustee, r.Path) for r in got} == {("CORP\\bob", "//H1/data/")}
+    assert sorted(tuple(r)[2:] for r in got) == sorted(tuple(r) for r in fs.permission_source(cat, "CORP\\bob", SHARE).collect())
+    why = {r.Path: r.Reason for r in fs.lookup_diagnosis(cat, req.filter("Trustee <> 'nobackslash'")).collect()}
+    assert why == {"//H1/data/": "no access found", "H1/data": "path unknown"}
 
 
 def test_unknown_path_or_trustee_gives_empty_results(spark):
@@ -176,11 +218,13 @@ def test_unknown_path_or_trustee_gives_empty_results(spark):
     assert fs.permission_source(cat, "CORP\\nobody", SHARE).count() == 0
 
 
-def test_prefix_join_fallback_beyond_length_bound(spark, monkeypatch):
-    from grantlens.operators import prefix
-    rows = spark.createDataFrame([(1, "\\\\h\\data2\\x"), (1, "\\\\h\\data"), (1, "\\\\h\\other")], "HostID int, p string")
-    targets = spark.createDataFrame([(1, "\\\\h\\data"), (1, "\\\\h\\d")], "HostID int, t string")
-    want = sorted((r.p, r.t) for r in prefix.prefix_join(rows, "p", targets, "t", ["HostID"]).collect())
-    monkeypatch.setattr(prefix, "MAX_DISTINCT_LENGTHS", 1)  # two lengths > bound: keys + startswith
-    got = sorted((r.p, r.t) for r in prefix.prefix_join(rows, "p", targets, "t", ["HostID"]).collect())
-    assert got == want and len(want) == 4
+def test_share_path_on_several_hosts_counts_resources_once(spark):
+    # one path on two hosts that flag the same id and one more: 2, not 3; a path on one host takes its count
+    trav = spark.createDataFrame([(1, 0, 1, "H", "d", "P", 0, 2), (2, 0, 1, "H", "d", "P", 0, 2),
+                                  (3, 0, 1, "G", "d", "Q", 0, 2)],
+                                 "HostID int, GateID int, ResourceID long, HostName string, ShareName string, "
+                                 "NetworkPath string, NestedLevel int, ResourceType int")
+    exc = spark.createDataFrame([(1, 0, 7, 1), (2, 0, 7, 1), (2, 0, 8, 1), (3, 0, 9, 1), (3, 0, 9, 1), (3, 0, 5, 2)],
+                                "HostID int, GateID int, ResourceID long, ParentType int")
+    got = {r.SharePath: r.ExceptionFolderCountInShare for r in fs.open_shares(trav, exc).collect()}
+    assert got == {"P": 2, "Q": 1}

@@ -45,6 +45,20 @@ def test_sql_runs_queries_only(spark):
     with pytest.raises(ValueError):
         checks.run_sql(spark, "DROP VIEW t_parity")
     assert spark.catalog.tableExists("t_parity")
+    for text in ("INSERT INTO t_parity SELECT 1", "INSERT OVERWRITE t_parity SELECT 1", "WITH x AS (SELECT 1) INSERT INTO t_parity SELECT * FROM x",
+                 "FROM t_parity INSERT INTO a SELECT id INSERT INTO b SELECT id",
+                 "INSERT OVERWRITE DIRECTORY '/tmp/never' USING parquet SELECT 1", "SET x = 1", "CREATE TABLE z AS SELECT 1"):
+        with pytest.raises(ValueError):
+            checks.run_sql(spark, text)
+    with pytest.raises(ValueError):
+        checks.run_sql(object(), "SELECT 1")  # the parser cannot be asked
+
+
+def test_composite_foreign_key(spark):
+    child = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, None)], "x int, y string")
+    parent = spark.createDataFrame([(1, "a"), (2, "b")], "p int, q string")
+    r = checks.foreign_key_check(child, "c", ["x", "y"], parent, "p", ["p", "q"]).head()
+    assert (r.child_column, r.child_rows, r.orphan_rows, r.orphan_keys, r.is_valid) == ("x,y", 3, 2, 1, False)
 
 
 def test_schema_tool_name_check(spark):

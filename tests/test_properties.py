@@ -42,12 +42,19 @@ def test_closure_matches_bfs_on_random_graphs(spark):
         assert got == bfs_closure(edges)
 
 
+def test_closure_of_a_long_chain_is_complete(spark):
+    edges = [(f"g{i}", f"g{i + 1}") for i in range(7)] + [("g7", "u")]
+    df = spark.createDataFrame(edges, "GroupSid string, MemberSid string")
+    got = {(r.GroupSid, r.MemberSid): r.MinNestingLevel for r in membership_closure(df).collect()}
+    assert got == bfs_closure(edges) and got[("g0", "u")] == 8
+
+
 def test_closure_with_salted_hot_group(spark):
-    # one group holds most members: forced hot, salted over 4 buckets; same answer as BFS
+    # one group holds most members: forced hot and salted; same answer as BFS
     edges = [("root", f"u{i}") for i in range(300)] + [("top", "root"), ("root", "sub"), ("sub", "u1")]
     df = spark.createDataFrame(edges, "GroupSid string, MemberSid string")
     got = {(r.GroupSid, r.MemberSid): r.MinNestingLevel
-           for r in membership_closure(df, buckets=4, min_share=0.1, min_rows=10).collect()}
+           for r in membership_closure(df, min_share=0.1, min_rows=10).collect()}
     assert got == bfs_closure(edges)
 
 
@@ -56,11 +63,11 @@ def test_skew_join_equals_plain_join(spark):
     other = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("cold", "c"), ("none", "d")], "k string, w string")
     hot = hot_keys(fan, "k", min_share=0.5, min_rows=10)
     assert hot == ["hot"]
-    salted = skew_join(fan, other, "k", hot, buckets=8)
+    salted = skew_join(fan, other, "k", {"hot": 8})
     plain = fan.join(other, "k")
     assert sorted(salted.collect()) == sorted(plain.collect())
     assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
-    left = skew_join(fan.union(spark.createDataFrame([("x", 9)], "k string, v int")), other, "k", hot, 8, how="left")
+    left = skew_join(fan.union(spark.createDataFrame([("x", 9)], "k string, v int")), other, "k", {"hot": 8}, how="left")
     assert left.count() == 200 * 2 + 2 + 1
 
 
@@ -84,6 +91,7 @@ def test_resource_and_unused_batch_equal_single_calls(spark):
     cat = _cat(spark)
     paths = ["\\\\NATION_3\\data", "\\\\NATION_7\\data2", "\\\\NATION_11\\data"]
     lookup = fs.path_lookup_batch(cat.traversal, spark.createDataFrame([(p,) for p in paths], "Path string"))
+    assert lookup.count() == 3
     batch = fs.resource_access_batch(cat, lookup).collect()
     singles = []
     for p in paths:
@@ -126,8 +134,9 @@ def test_two_sided_salt_plan_splits_larger_side(spark):
     acl = spark.createDataFrame([("admins", f"r{i}") for i in range(400)] + [("everyone", "r1"), ("x", "r2")],
                                 "k string, r string")
     plan = hot_plan(members, acl, "k", min_share=0.2, min_rows=10)
-    assert plan == {"everyone": True, "admins": False}
-    salted = skew_join(members, acl, "k", plan, buckets=8, partitions=4)
+    # 8 shuffle partitions: 302 // 8 = 37 and 402 // 8 = 50 rows each, so 300 rows need 9 salts and 400 need 8
+    assert plan == {"everyone": 9, "admins": -8}
+    salted = skew_join(members, acl, "k", plan)
     assert sorted(salted.collect()) == sorted(members.join(acl, "k").collect())
 
 

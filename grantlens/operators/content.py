@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.sources.governance import HOST_MODULUS
@@ -15,14 +15,13 @@ DEFAULT_CRITERIA = {
 # A literal every match must contain: texts without it skip the regex (exact,
 # and a plain substring search is far cheaper than a backtracking scan).
 REQUIRED_LITERAL = {"Email": "@", "IPv4": "."}
-# Documents sit in the share roots: resource id = doc_id mod 50 (two shares per host).
-SHARE_ROOTS = 50
 
 
-def content_matches(documents: DataFrame, criteria: dict[str, str] | None = None,
+def content_matches(documents: DataFrame, resources: Column, criteria: dict[str, str] | None = None,
                     text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(DocumentID, HostID, ParentResourceID, CriteriaName, MatchCount) with MatchCount > 0.
 
+    Document k sits in resource k modulo ``resources``, their number.
     Each criterion is a literal-pattern ``regexp_count`` over the whole text
     (compiled once per task, JVM side); the per-criterion counts are
     exploded into rows. A map-only stage: no shuffle.
@@ -39,10 +38,11 @@ def content_matches(documents: DataFrame, criteria: dict[str, str] | None = None
     per = [F.struct(F.lit(name).alias("CriteriaName"), count(name, pattern).alias("MatchCount"))
            for name, pattern in crit.items()]
     d = documents.select(F.col(id_col).alias("DocumentID"), F.explode(F.array(*per)).alias("m"))
+    parent = F.col("DocumentID") % resources
     return d.select(
         "DocumentID",
-        (F.col("DocumentID") % HOST_MODULUS).cast("int").alias("HostID"),
-        (F.col("DocumentID") % SHARE_ROOTS).alias("ParentResourceID"),
+        (parent % HOST_MODULUS).cast("int").alias("HostID"),
+        parent.alias("ParentResourceID"),
         F.col("m.CriteriaName").alias("CriteriaName"),
         F.col("m.MatchCount").alias("MatchCount"),
     ).filter(F.col("MatchCount") > 0)

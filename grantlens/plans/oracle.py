@@ -126,7 +126,7 @@ SELECT ObjectSid, NTAccount, 'group', DistinguishedName, DomainCanonicalName FRO
 view("g_local_trustees", [], """
 SELECT 'S-1-5-21-2-' || CAST(s_suppkey AS VARCHAR) AS SID, 'HOST' || CAST(s_nationkey AS VARCHAR) AS NTDomain,
        s_name AS NTName
-FROM supplier WHERE s_suppkey % 4 = 0""")
+FROM supplier""")
 
 view("g_closure", ["g_direct_members"], """
 SELECT GroupSid, MemberSid, CAST(min(depth) AS INTEGER) AS MinNestingLevel FROM g_walk GROUP BY GroupSid, MemberSid""")
@@ -149,18 +149,19 @@ SELECT h.HostID, h.GateID, e.ResourceID, e.TrusteeSid, e.AllowRights, e.DenyRigh
          CAST(1 << CAST(l.l_orderkey % 6 AS INTEGER) AS INTEGER),
          CAST(CASE WHEN l.l_returnflag = 'R' THEN l.l_linenumber ELSE 0 END AS INTEGER)
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  WHERE l.l_linenumber = 3 AND l.l_quantity > 45) e
+  WHERE l.l_linenumber = 3) e
 JOIN g_hosts h ON h.HostID = e.HostID""")
 
 view("g_fs_exceptions", ["g_hosts"], """
 SELECT h.HostID, h.GateID, l.l_partkey AS ResourceID,
        CAST(CASE WHEN l.l_linestatus = 'O' THEN 1 ELSE 2 END AS INTEGER) AS ParentType
 FROM lineitem l JOIN g_hosts h ON h.HostID = CAST(l.l_partkey % 25 AS INTEGER)
-WHERE l.l_linenumber = 7""")
+WHERE l.l_linenumber >= 4""")
 
 view("g_daily_activity", ["g_users", "g_hosts"], """
 SELECT h.HostID, h.GateID, a.FolderID, a.UserNTStyleName, a.ActivityDate, a.EventCount FROM (
-  SELECT CAST(e.event_id % 200 % 25 AS INTEGER) AS HostID, e.event_id % 200 AS FolderID,
+  SELECT CAST(e.event_id % (SELECT max(p_partkey) + 1 FROM part) % 25 AS INTEGER) AS HostID,
+         e.event_id % (SELECT max(p_partkey) + 1 FROM part) AS FolderID,
          u.NTAccount AS UserNTStyleName, date_trunc('day', e.ts) AS ActivityDate, count(*) AS EventCount
   FROM events e JOIN g_users u ON e.user_id = u.PrincipalId
   GROUP BY ALL) a
@@ -170,11 +171,13 @@ EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
 IPV4_RE = r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"
 view("g_content_matches", [], f"""
 SELECT * FROM (
-  SELECT doc_id AS DocumentID, CAST(doc_id % 25 AS INTEGER) AS HostID, doc_id % 50 AS ParentResourceID,
+  SELECT doc_id AS DocumentID, CAST(doc_id % (SELECT max(p_partkey) + 1 FROM part) % 25 AS INTEGER) AS HostID,
+         doc_id % (SELECT max(p_partkey) + 1 FROM part) AS ParentResourceID,
          'Email' AS CriteriaName, CAST(len(regexp_extract_all(text, '{EMAIL_RE}')) AS BIGINT) AS MatchCount
   FROM documents
   UNION ALL
-  SELECT doc_id, CAST(doc_id % 25 AS INTEGER), doc_id % 50, 'IPv4',
+  SELECT doc_id, CAST(doc_id % (SELECT max(p_partkey) + 1 FROM part) % 25 AS INTEGER),
+         doc_id % (SELECT max(p_partkey) + 1 FROM part), 'IPv4',
          CAST(len(regexp_extract_all(text, '{IPV4_RE}')) AS BIGINT)
   FROM documents) WHERE MatchCount > 0""")
 
@@ -218,8 +221,7 @@ FROM supplier""")
 view("g_ad_exceptions", ["g_groups"], """
 SELECT 'Stale group ' || CAST(s.s_suppkey AS VARCHAR) AS Name, 'Group ' || s.s_name || ' is stale' AS Description,
        g.NTAccount AS PrincipalNTAccount, 'group' AS PrincipalObjectClassName
-FROM supplier s JOIN g_groups g ON g.ObjectSid = 'S-1-5-21-2-' || CAST(s.s_suppkey AS VARCHAR)
-WHERE s.s_suppkey % 5 = 0""")
+FROM supplier s JOIN g_groups g ON g.ObjectSid = 'S-1-5-21-2-' || CAST(s.s_suppkey AS VARCHAR)""")
 
 view("g_certificate_vulnerabilities", [], """
 SELECT 'CA' || CAST(s_nationkey AS VARCHAR) AS "Certificate Authority", 'Template' || CAST(s_suppkey AS VARCHAR) AS "Name",

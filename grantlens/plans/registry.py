@@ -536,11 +536,11 @@ def q_ad_groups(spark, d):
 
 
 @query("ad_groups_filtered", W("g_groups") + f"SELECT {_GROUP_COLS} FROM g_groups "
-       "WHERE GroupScope LIKE 'Global' AND GroupType LIKE 'Sec%' AND IsDeleted = 0 AND DirectMemberCount = 3 "
+       "WHERE GroupScope LIKE 'Global' AND GroupType LIKE 'Sec%' AND IsDeleted = 0 AND SamAccountName LIKE 'Supplier%' "
        "ORDER BY NTAccount")
 def q_ad_groups_filtered(spark, d):
     return directory.ad_groups(cat(spark, d).groups, group_scope_filter="Global", group_type_filter="Sec%",
-                               is_deleted_filter="0", direct_member_count_filter="3")
+                               is_deleted_filter="0", sam_account_name_filter="Supplier%")
 
 
 @query("ad_groups_member_count", W("g_groups") + f"SELECT {_GROUP_COLS} FROM g_groups "

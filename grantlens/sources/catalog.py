@@ -94,11 +94,11 @@ class GovernanceCatalog:
 
     @cached_property
     def daily_activity(self) -> DataFrame:
-        return gov.daily_activity(self.raw("events"), self.users, self.raw("nation"))
+        return gov.daily_activity(self.raw("events"), self.users, self.raw("nation"), self.raw("part"))
 
     @cached_property
     def content_matches(self) -> DataFrame:
-        return content_matches(self.raw("documents"))
+        return content_matches(self.raw("documents"), gov.resource_count(self.raw("part")))
 
     @cached_property
     def job_stats(self) -> DataFrame:

@@ -213,7 +213,7 @@ def principals(users_df: DataFrame, groups_df: DataFrame) -> DataFrame:
 
 def local_trustees(supplier: DataFrame) -> DataFrame:
     """Host-local accounts; they reuse directory group SIDs."""
-    return supplier.filter(F.col("s_suppkey") % 4 == 0).select(
+    return supplier.select(
         F.concat(F.lit(GROUP_SID_PREFIX), _txt("s_suppkey")).alias("SID"),
         F.concat(F.lit("HOST"), _txt("s_nationkey")).alias("NTDomain"),
         F.col("s_name").alias("NTName"))
@@ -222,15 +222,15 @@ def local_trustees(supplier: DataFrame) -> DataFrame:
 def acl(lineitem: DataFrame, orders: DataFrame, nation: DataFrame) -> DataFrame:
     """Raw ACL entries (HostID, GateID, ResourceID, TrusteeSid, AllowRights, DenyRights).
 
-    Group entries from line numbers 1-2, direct user entries from large
-    line 3 items. Allow is one bit of R W D M A L, deny R/W on returns.
+    Group entries from line numbers 1-2, direct user entries from line 3
+    (lines 4-7 are findings, see fs_exceptions). Allow is one bit of R W D M A L, deny R/W on returns.
     """
     allow = F.expr("shiftleft(1, CAST(l_orderkey % 6 AS INT))")
     deny = F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")).otherwise(F.lit(0))
     base = ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"]
     grp = lineitem.filter(F.col("l_linenumber") <= 2).select(
         *base, F.concat(F.lit(GROUP_SID_PREFIX), _txt("l_suppkey")).alias("TrusteeSid"))
-    li3 = lineitem.filter((F.col("l_linenumber") == 3) & (F.col("l_quantity") > 45)).select(*base)
+    li3 = lineitem.filter(F.col("l_linenumber") == 3).select(*base)
     usr = li3.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select(
         *base, F.concat(F.lit(USER_SID_PREFIX), _txt("o_custkey")).alias("TrusteeSid"))
     entries = grp.unionByName(usr).select(
@@ -241,22 +241,29 @@ def acl(lineitem: DataFrame, orders: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 def fs_exceptions(lineitem: DataFrame, nation: DataFrame) -> DataFrame:
-    """Flagged file-system resources (ParentType 1 = open-access finding)."""
-    e = lineitem.filter(F.col("l_linenumber") == 7).select(
+    """Flagged file-system resources from line numbers 4-7 (ParentType 1 = open-access finding)."""
+    e = lineitem.filter(F.col("l_linenumber") >= 4).select(
         _host_of("l_partkey").alias("HostID"), F.col("l_partkey").alias("ResourceID"),
         F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("ParentType"))
     return e.join(hosts(nation).select("HostID", "GateID"), "HostID").select(
         "HostID", "GateID", "ResourceID", "ParentType")
 
 
-def daily_activity(events: DataFrame, users_df: DataFrame, nation: DataFrame) -> DataFrame:
+def resource_count(part: DataFrame) -> Column:
+    """How many resource ids there are, as a scalar subquery: events and documents reach all of them."""
+    return part.agg(F.max("p_partkey") + 1).scalar()
+
+
+def daily_activity(events: DataFrame, users_df: DataFrame, nation: DataFrame, part: DataFrame) -> DataFrame:
     """Activity per (host, gate, folder, user, day) with the event count.
 
+    Event k happens in folder k modulo the number of resources.
+
     Events are rolled up per (user id, folder, day) *before* the user join:
     the partial aggregation collapses a chatty user's millions of events to a
     few rows per task, so the join never sees a hot user key.
     """
-    folder = F.col("event_id") % 200
+    folder = F.col("event_id") % resource_count(part)
     rolled = events.select("user_id", folder.alias("FolderID"),
                            F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("ActivityDate")) \
         .groupBy("user_id", "FolderID", "ActivityDate").agg(F.count(F.lit(1)).alias("EventCount"))
@@ -324,8 +331,8 @@ def ca_rights(supplier: DataFrame) -> DataFrame:
 
 
 def ad_exceptions(supplier: DataFrame, groups_df: DataFrame) -> DataFrame:
-    """Directory findings: every fifth group is reported stale."""
-    s = supplier.filter(F.col("s_suppkey") % 5 == 0).select(
+    """Directory findings: one for each group."""
+    s = supplier.select(
         F.concat(F.lit(GROUP_SID_PREFIX), _txt("s_suppkey")).alias("ObjectSid"), "s_suppkey", "s_name")
     g = groups_df.select("ObjectSid", "NTAccount")
     return s.join(g, "ObjectSid").select(

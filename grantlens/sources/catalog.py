@@ -53,6 +53,16 @@ class GovernanceCatalog:
             _CATALOGS[key] = (now, cls(spark, sf_dir))
         return _CATALOGS[key][1]
 
+    @classmethod
+    def forget(cls, spark: SparkSession, sf_dir: str) -> None:
+        """The next question about the directory starts from a new catalog."""
+        _CATALOGS.pop((spark.sparkContext.applicationId, sf_dir.rstrip("/")), None)
+
+    def build_shared(self) -> None:
+        """Write the views that every access question starts from: edges, closure, ACL, trustee names, salt plan."""
+        for name in ("direct_members", "closure", "acl", "trustee_names", "hot_holders"):
+            getattr(self, name)
+
     @classmethod
     def from_persisted(cls, spark: SparkSession, root: str, sf_dir: str | None = None) -> "GovernanceCatalog":
         """A catalog over views written by :func:`grantlens.sources.layout.persist_catalog`.

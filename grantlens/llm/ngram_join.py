@@ -5,12 +5,15 @@ set collapse to one node (its smallest doc_id). The product of the matrix with i
 
 1. Blocks of columns are ordered frequent-last. A node needs only its first ``n - ceil(t n) + 1`` columns of that order
    (any pair over the threshold meets there), which is the block that is multiplied.
-2. Within a column each node is paired with the first node of its size class (two half-shifted classes, each narrower
-   than the size bound); overlap counts add up per pair, and the pair with the greatest count per node and class is
-   verified exactly. So a group of n near copies costs 2n pairs, not n * n / 2.
-3. What is left are column entries of nodes of different components: all their pairs within the size bound and the
-   bound by positions (``min(i, j) + min(|x| - i, |y| - j)``) are verified exactly. Pairs inside a component cannot
-   change it.
+2. In each of ``ROUNDS`` rounds the entries of a column and size class (narrower than the size bound, half-shifted from
+   round to round) stand in an order that is random for every column, and each is paired with the one before it if
+   their components differ. So a group of n near copies costs a few n pairs, not n * n / 2; the links found merge it.
+3. What is left are column entries of nodes of different components. All their pairs are multiplied whose sizes and
+   places allow a link if this is their first common column (``min(|x| - i, |y| - j)`` reaches the overlap needed; a
+   linked pair's first common column passes). Pairs inside a component cannot change it.
+4. Before verification a pair's overlap over the whole block is accumulated; with ``m`` common columns in the block at
+   most ``m + max(ceil(t |x|), ceil(t |y|)) - 1`` columns can be common, and pairs below the bound go. The rest is
+   verified on the whole rows.
 
 The frequent columns (at most ``FREQUENT``, found by counts over all documents) only set the order; a shingle missing
 among them costs time, never a link. Everything is a join, window or aggregation on Spark; numpy works inside tasks.
@@ -28,9 +31,10 @@ from pyspark.sql import functions as F
 from .shared import Workspace, connected_components
 from .textblocks import U, blocks, longs, mix
 
-FREQUENT = 1 << 16  # columns known as frequent: 512 KB when sent to the tasks, whatever the input
-SEEN = 3  # occurrences of a column within COUNT_ROWS n-grams that make its count worth sending
-COUNT_ROWS = 1 << 21
+FREQUENT = 1 << 18  # columns known as frequent: 2 MB when sent to the tasks, whatever the input
+ROUNDS = 3
+SEEN = 2  # occurrences of a column within COUNT_ROWS n-grams that make its count worth sending
+COUNT_ROWS = 1 << 22
 BUCKETS = 1 << 20  # of the bitmap of nodes whose rows are needed for verification (128 KB)
 _MUL = [U(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2127599BF4325C37, 0x9FB21C651E98DF25)]
 
@@ -198,35 +202,41 @@ class JaccardJoin:
         # Streaming window functions: no column is held whole in memory.
         near = entries.withColumns({"before": F.lag("node").over(per), "after": F.lead("node").over(per)}).filter("before is not null or after is not null")
         near = space.store(near.select("column", "node", "n", "i", F.floor(F.log("n") / width).cast("int").alias("k0"), F.floor(F.log("n") / width + 0.5).cast("int").alias("k1")), "entries")
-        picks = []
-        for k in ("k0", "k1"):
-            run = Window.partitionBy("column", k).orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            lead = F.first(F.struct("node", "n", "i")).over(run)
-            pairs = near.select(F.col("node").alias("x"), "n", "i", lead.alias("y")).filter("x <> y.node")
-            pairs = pairs.select("x", "n", "i", F.col("y.node").alias("y"), F.col("y.n").alias("m"), F.col("y.i").alias("j")).filter(self._possible())
-            counts = pairs.groupBy("x", "y").agg(F.count("*").alias("c"))
-            picks.append(counts.groupBy("x").agg(F.max(F.struct(F.col("c"), (-F.col("y")).alias("y"))).alias("best")).select(F.col("x").alias("a"), (-F.col("best.y")).alias("b")))
-        one = self._verified(space, docs, picks[0].union(picks[1]).distinct(), "one")
-        comp = space.store(connected_components(space, one, "one"), "one-comp")
+        held = space.store(near.groupBy("node", "n").agg(F.collect_list("column").alias("held")), "held")
+        links, comp = None, None
+        for r in range(ROUNDS):
+            named = near if comp is None else near.join(comp, "node", "left")
+            named = named.withColumn("c", F.col("node") if comp is None else F.coalesce("component", "node"))
+            order = Window.partitionBy("column", f"k{r % 2}").orderBy(F.xxhash64("node", "column", F.lit(r)), "node")
+            pairs = named.withColumn("y", F.lag(F.struct("node", "n", "i", "c")).over(order)).filter("y.c <> c")
+            pairs = pairs.select(F.col("node").alias("x"), "n", "i", F.col("y.node").alias("y"), F.col("y.n").alias("m"), F.col("y.i").alias("j"))
+            pairs = pairs.filter(self._possible(F.least("i", "j"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            found = self._verified(space, docs, held, pairs, f"round-{r}")
+            links = found if links is None else links.union(found)
+            comp = space.store(connected_components(space, links, f"cc-{r}"), f"comp-{r}")
         named = near.join(comp, "node", "left").select("column", "node", "n", "i", F.coalesce("component", "node").alias("c"))
         sizes = named.groupBy("column", "c").agg(F.count("*").alias("s"))
         main = sizes.groupBy("column").agg(F.max(F.struct("s", "c"))["c"].alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
         mixed = space.store(named.join(main, "column"), "mixed")
+        # A pair of two nodes outside the column's main component is met from both sides; one side is enough.
         rest = mixed.filter("c <> main").select("column", F.col("node").alias("x"), "n", "i", F.col("c").alias("cx"))
-        every = mixed.select("column", F.col("node").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("cy"))
-        bound = (F.least("n", "m") * 100 >= self.percent * F.greatest("n", "m")) & F.expr("cx <> cy")
-        two = rest.join(every, "column").filter(bound).filter(self._possible()).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        two = self._verified(space, docs, two, "two")
-        return one.union(two)
-
-    def _possible(self):
-        """Greatest overlap that entries i of x and j of y still allow, against the least that the threshold needs."""
-        most = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+        every = mixed.select("column", F.col("node").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("in_main"))
+        bound = F.expr("cx <> cy and (in_main or x < y)") & (F.least("n", "m") * 100 >= self.percent * F.greatest("n", "m"))
+        two = rest.join(every, "column").filter(bound & self._possible(F.lit(0)))
+        two = two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        return links.union(self._verified(space, docs, held, two, "rest"))
+
+    def _possible(self, before):
+        """Can the overlap needed be reached if at most ``before`` columns in front of entries i of x and j of y are common?"""
+        most = before + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
         return most * (100 + self.percent) >= self.percent * (F.col("n") + F.col("m"))
 
-    def _verified(self, space: Workspace, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    def _verified(self, space: Workspace, docs: DataFrame, held: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         spark = docs.sparkSession
-        pairs = space.store(pairs, f"{name}-pairs")
+        x, y = (held.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("held").alias(f"h{k}")) for k in ("a", "b"))
+        most = F.size(F.array_intersect("ha", "hb")) + F.ceil(self.percent * F.greatest("na", "nb") / 100) - 1
+        pairs = pairs.join(x, "a").join(y, "b").filter(most * (100 + self.percent) >= self.percent * (F.col("na") + F.col("nb")))
+        pairs = space.store(pairs.select("a", "b").distinct(), f"{name}-pairs")
         bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
         both = pairs.select(bucket("a").alias("k")).union(pairs.select(bucket("b"))).distinct()
         marked = both.toPandas()["k"].to_numpy(np.int64)  # at most BUCKETS numbers

@@ -135,6 +135,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, digest: bool = False, r
         if high is not None:
             part = part.filter(F.col("doc_id") <= high)
         drops.append(runs.add(part))
+    space.keep("drops")
     gone = LineRuns._union(drops).groupBy("doc_id").agg(F.collect_list("h1").alias("gone"))
     rows = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone", "rest")
     schema = StructType([StructField("doc_id", LongType()), StructField("kept", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType()), rows.schema["rest"]])

@@ -186,6 +186,7 @@ class JaccardJoin:
         reps = space.store(rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "reps")
         links = self._links(space, docs.filter("doc_id is not null"), reps, frequent)
         comp = connected_components(space, links, "all").withColumnRenamed("component", "c")
+        space.keep("digests", "reps", "all-")
         of = reps.join(comp, "node", "left").select("h1", "h2", "n", F.coalesce("c", "node").alias("c"), "copies")
         # Rows that repeat a doc_id with other sets may name a larger node: the class is that of the smallest.
         out = rows.join(of, ["h1", "h2", "n"], "left")
@@ -202,6 +203,7 @@ class JaccardJoin:
         # Streaming window functions: no column is held whole in memory.
         near = entries.withColumns({"before": F.lag("node").over(per), "after": F.lead("node").over(per)}).filter("before is not null or after is not null")
         near = space.store(near.select("column", "node", "n", "i", F.floor(F.log("n") / width).cast("int").alias("k0"), F.floor(F.log("n") / width + 0.5).cast("int").alias("k1")), "entries")
+        space.release()
         held = space.store(near.groupBy("node", "n").agg(F.collect_list("column").alias("held")), "held")
         links, comp = None, None
         for r in range(ROUNDS):
@@ -214,6 +216,8 @@ class JaccardJoin:
             found = self._verified(space, docs, held, pairs, f"round-{r}")
             links = found if links is None else links.union(found)
             comp = space.store(connected_components(space, links, f"cc-{r}"), f"comp-{r}")
+            space.drop(f"round-{r}-rows")
+            space.release()
         named = near.join(comp, "node", "left").select("column", "node", "n", "i", F.coalesce("component", "node").alias("c"))
         sizes = named.groupBy("column", "c").agg(F.count("*").alias("s"))
         main = sizes.groupBy("column").agg(F.max(F.struct("s", "c"))["c"].alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")

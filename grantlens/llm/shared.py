@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
+        self.names: list[str] = []
         path, fs = self._fs(self.root)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
@@ -45,11 +47,25 @@ class Workspace:
     def store(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(where)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, name: str) -> None:
         path, fs = self._fs(f"{self.root}/{name}")
         fs.delete(path, True)
+        self.names.remove(name)
+
+    def keep(self, *starts: str) -> None:
+        """Drop all tables but those whose name starts so."""
+        for name in [n for n in self.names if not n.startswith(starts)]:
+            self.drop(name)
+        self.release()
+
+    def release(self) -> None:
+        """Spark deletes the shuffle files of finished steps when the driver's garbage goes; ask for that now, so that
+        they do not pile up on the executors' disks over a long operator."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def held_out(doc_id, folds: int):

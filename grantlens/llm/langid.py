@@ -288,6 +288,8 @@ class LanguageIdentifier:
         taught, aside = sample.filter("not aside or aside is null").drop("aside"), sample.filter("aside").drop("aside")
         chars = taught.select("text").mapInArrow(_characters, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(ALPHABET).toPandas()["c"].tolist()
         self.languages = [x["lang"] for x in taught.select("lang").distinct().orderBy("lang").collect()]
+        if not self.languages:
+            return self
         table = symbol_table(chars)
         counts = taught.mapInArrow(_count(spark.sparkContext.broadcast(table)), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
         by = {k: (g.sort_values("code")["code"].to_numpy(np.int64).view(U), g.sort_values("code")["n"].to_numpy(np.int64)) for k, g in counts.groupby("lang")}

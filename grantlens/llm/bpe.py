@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import shared_dir
-from .textblocks import SPACE, blocks
+from .textblocks import blocks
 
 LEXICON = 1 << 16  # words in the automaton, whatever the input
 COUNT_BYTES = 1 << 22  # bytes of text over which a task counts words before it sends them
@@ -57,6 +57,10 @@ class Vocabulary:
         for rank, m in enumerate(spec["model"]["merges"]):
             left, right = m if isinstance(m, list) else m.split(" ")
             self.merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
+        keys = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        order = np.argsort(keys)
+        self.pairs = keys[order]
+        self.ranks, self.made = (np.array([m[k] for m in self.merges.values()], np.int64)[order] for k in (0, 1))
 
     @classmethod
     def of(cls, state: dict) -> Vocabulary:
@@ -86,6 +90,49 @@ class Vocabulary:
             ids = out
         return ids
 
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """``merge`` of many words at once: in every step each word merges its pair of lowest rank wherever it stands
+        (of overlapping places the left one); words without a pair leave. Long words go one by one."""
+        out: list = [None] * len(words)
+        short = [k for k, w in enumerate(words) if 0 < len(w) <= 48]
+        for k, w in enumerate(words):
+            if not 0 < len(w) <= 48:
+                out[k] = self.merge(w)
+        if not short:
+            return out
+        lengths = np.array([len(words[k]) for k in short])
+        ids = np.array(self.byte_ids, np.int64)[np.frombuffer(b"".join(words[k] for k in short), np.uint8)]
+        names = np.array(short)  # the words still here, and where each starts
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        none = len(self.pairs)
+        while len(names):
+            ends = np.append(starts[1:], len(ids))
+            rank = np.full(len(ids), none, np.int64)
+            key = ids[:-1] << 32 | ids[1:]
+            at = np.minimum(np.searchsorted(self.pairs, key), none - 1)
+            known = self.pairs[at] == key
+            rank[:-1][known] = self.ranks[at[known]]
+            rank[ends - 1] = none
+            least = np.minimum.reduceat(rank, starts)
+            more = least < none
+            for k in np.flatnonzero(~more).tolist():
+                out[names[k]] = ids[starts[k] : ends[k]].tolist()
+            sizes = ends - starts
+            stay = np.repeat(more, sizes)
+            hit = (rank == np.repeat(least, sizes)) & stay
+            place = np.arange(len(ids))
+            first = hit.copy()
+            first[1:] &= ~hit[:-1]
+            run = np.maximum.accumulate(np.where(first, place, 0))
+            hit &= (place - run) % 2 == 0
+            where = np.flatnonzero(hit)
+            ids[where] = self.made[at[where]]
+            stay[where + 1] = False
+            sizes = np.add.reduceat(stay.astype(np.int64), starts)[more]
+            ids, names = ids[stay], names[more]
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(names) else starts[:0]
+        return out
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same over a linked list with a heap, n log n for words of any length."""
         n = len(ids)
@@ -219,31 +266,32 @@ class Transducer:
 
 
 def _frequent_words(batches):
-    """(word, count) of white-space words seen often within about COUNT_BYTES of text."""
-    counts: dict[bytes, int] = {}
-    size = 0
+    """(word, count) of white-space words seen often within about COUNT_BYTES of text. Words are told apart by their
+    hash in lower case; the first of them stands for all, which only decides what the lexicon holds."""
+    held, size = [], 0
     for batch in batches:
         for block in blocks(batch.column(0)):
-            full = ~SPACE[block.data]
             h, _, starts = block.words()
-            if len(h):
-                _, at, n = np.unique(h, return_index=True, return_counts=True)
-                for i, k in zip(starts[at], n.tolist(), strict=True):
-                    stop = i + 1
-                    while stop < len(full) and full[stop] and stop - i < 64:
-                        stop += 1
-                    word = block.data[i:stop].tobytes()
-                    counts[word] = counts.get(word, 0) + k
+            held.append((h, starts, block.word_ends, block.data))
             size += len(block.data)
             if size >= COUNT_BYTES:
-                yield _counted(counts)
-                counts, size = {}, 0
-    yield _counted(counts)
+                yield _counted(held)
+                held, size = [], 0
+    if held:
+        yield _counted(held)
 
 
-def _counted(counts):
-    often = [(w, n) for w, n in counts.items() if n >= SEEN]
-    return pa.record_batch([pa.array([w for w, _ in often], pa.binary()), pa.array([n for _, n in often], pa.int64())], names=["word", "n"])
+def _counted(held):
+    _, at, n = np.unique(np.concatenate([h for h, _, _, _ in held]), return_index=True, return_counts=True)
+    often = n >= SEEN
+    at, n = at[often], n[often]
+    edges = np.concatenate([[0], np.cumsum([len(h) for h, _, _, _ in held])])
+    part = np.searchsorted(edges, at, "right") - 1
+    words = []
+    for b, i in zip(part.tolist(), (at - edges[part]).tolist(), strict=True):
+        _, starts, ends, data = held[b]
+        words.append(data[starts[i] : min(ends[i], starts[i] + 64)].tobytes())
+    return pa.record_batch([pa.array(words, pa.binary()), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
 class Coder:
@@ -275,12 +323,13 @@ class Coder:
         new = list(set().union(*texts_words).difference(self.ids))
         raw = [w.encode() for w in new]
         first, ids = self.lexicon.first, self.lexicon.ids
-        for w, r, k in zip(new, raw, self.lexicon.numbers(raw).tolist(), strict=True):
-            if k >= 0:
-                self.ids[w] = ids[first[k] : first[k + 1]].tolist()
-            else:
-                self.ids[w] = self.vocabulary.merge(r)
-                self.merged += 1
+        numbers = self.lexicon.numbers(raw)
+        for i in np.flatnonzero(numbers >= 0).tolist():
+            self.ids[new[i]] = ids[first[numbers[i]] : first[numbers[i] + 1]].tolist()
+        unseen = np.flatnonzero(numbers < 0).tolist()
+        for i, found in zip(unseen, self.vocabulary.merge_many([raw[i] for i in unseen]), strict=True):
+            self.ids[new[i]] = found
+        self.merged += len(unseen)
 
 
 def _texts(column: pa.Array):
@@ -365,9 +414,9 @@ class BpeCodec:
         for w in often:
             for part in find(" " + bytes(w).decode("utf-8", "ignore")) + find(bytes(w).decode("utf-8", "ignore")):
                 raw = part.encode()
-                if raw not in words:
-                    words[raw] = self.vocabulary.merge(raw)
-        return Transducer.compile(words)
+                words.setdefault(raw, [])
+        order = list(words)
+        return Transducer.compile(dict(zip(order, self.vocabulary.merge_many(order), strict=True)))
 
     def _sent_file(self, docs: DataFrame) -> str:
         raw = self.lexicon(docs).to_bytes()

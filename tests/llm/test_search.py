@@ -40,6 +40,48 @@ def test_paraphrases_are_found_and_clean_texts_left(spark):
     assert got == want
 
 
+def accepted(item, text):
+    """The check of one item by brute force over all regions of a text, without any retrieval before it."""
+    cut = lambda t: [(m.group(), m.start()) for m in re.finditer("[0-9a-z\x80-\U0010ffff]+", t.lower())]
+    own, t = cut(item), [w for w, _ in cut(text)]
+    w = [x for x, _ in own]
+    ends = [i for i, c in enumerate(item) if c in ".!?\n" and i < own[-1][1]]
+    last = sum(at > ends[-1] for _, at in own) if ends else 0
+    lcs, n = decontaminate.common_subsequence, len(w)
+    room = -(-n * 96 // 64)
+    for lo in range(0, len(t), 32):
+        near = t[max(0, lo - 16) : lo + 80]
+        if lcs(w, near) >= 0.75 * n:
+            return True
+        if last and any(lcs(w, near[a : a + room]) >= 0.5 * n and lcs(w[-last:], near[a : a + room]) >= 0.8 * last for a in range(max(1, len(near) - room + 1))):
+            return True
+    return False
+
+
+def test_no_accepted_paraphrase_is_lost_when_the_rarest_words_are_replaced(spark):
+    sf = "/root/testdata/sf0.01"
+    clean = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    seen = {}
+    for r in clean:
+        for w in set(plain(r.text).split()):
+            seen[w] = seen.get(w, 0) + 1
+    rng = random.Random(7)
+    planted = []
+    for share in (0.25, 0.4):
+        for k, text in items:
+            words = re.findall(r"\w+|\W+", text)
+            inner = [i for i, w in enumerate(words[: len(words) * 3 // 4]) if w.isalnum()]
+            for i in sorted(inner, key=lambda i: seen.get(words[i].lower(), 0))[: int(share * len(plain(text).split()))]:
+                words[i] = "".join(rng.choice("qwxzkv") for _ in range(7))
+            around = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)) for n in (rng.randint(0, 90), 40)]
+            planted.append((10**6 + len(planted), f"{around[0]}\n{''.join(words)}\n{around[1]}"))
+    want = {(d, k) for d, t in planted for k, x in items if accepted(x, t)}
+    table = spark.createDataFrame([(r.doc_id, r.text) for r in clean] + planted, "doc_id long, text string")
+    found = decontaminate.Decontaminator().contaminated(table, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 60 and {(r.doc_id, r.item_id) for r in found if r.doc_id >= 10**6} == want
+
+
 def test_decontamination_edge_rows(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "same row twice in here"), (3, "same row twice in here"), (None, "one"), (4, "...")], "item_id long, text string")
     d = decontaminate.Decontaminator()

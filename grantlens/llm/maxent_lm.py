@@ -1,10 +1,13 @@
 """LM scoring by a hashed maximum-entropy model with class-factored softmax.
 
-Method. log P(token | context) = log P(class | context) + log P(token | class). The class model is a softmax over ``CLASSES``
-classes, its weights rows of one hashed table: the previous word, the previous two (n-gram features), the word before last and
-the one before that (skip features). A word's class comes from its first two bytes: their buckets are clustered by which of
-them stand next to each other in the corpus (spectral vectors of the adjacency counts). P(token | class) comes from the
-counts of all training tokens, with 0.1 added. Training covers all training texts: every task runs minibatch AdaGrad over
+Method. log P(token | context) = log P(class | context) + log P(group | class, context) + log P(token | group). The class model
+is a softmax over ``CLASSES`` classes, its weights rows of one hashed table: the previous word, the previous two (n-gram
+features), the word before last and the one before that (skip features). The word model is a softmax over the ``GROUPS`` groups
+of a class with the same features, its weights rows of a second table, hashed of feature and class: each of the ``LEAD`` most
+frequent words of a class is a group of its own, the class's other words share the rest of the groups by their hash. It starts
+from the groups' counts. A word's class comes from its first two bytes: their buckets are clustered by which of
+them stand next to each other in the corpus (spectral vectors of the adjacency counts). P(token | group) comes from the
+counts of all training tokens, with 0.1 added; a group of one word leaves nothing to it. Training covers all training texts: every task runs minibatch AdaGrad over
 its texts, and the tasks' rows are averaged by how often each row was updated. Counts are exact and cover all training texts.
 They grow with the corpus, so only the words of at least a count that leaves ``HEAD`` or fewer are sent to the tasks; the
 other words of a text are looked up by a join.
@@ -21,9 +24,13 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from .shared import Workspace, held_out
 from .textblocks import U, blocks, mix
 
-CLASSES = 32  # the last is the end of a text
+CLASSES = 32  # the last is the end of a text; the tables have as many columns, GROUPS too
+GROUPS = 32  # of a class: LEAD words and 2^TAIL_BITS groups by hash
+TAIL_BITS = 3
+LEAD = GROUPS - (1 << TAIL_BITS)
 AFFIXES = 256
 ROWS_BITS = 15
+WORD_BITS = 16
 FEATURES = 4
 HEAD = 1 << 19  # words whose counts are sent to the tasks (8 MB), whatever the input
 BATCH = 1 << 14
@@ -47,8 +54,8 @@ def tokens(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, kind, bounds + np.arange(block.docs + 1)
 
 
-def context_rows(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The FEATURES table rows of each token's context (uint16)."""
+def contexts(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The FEATURES hashes of each token's context."""
     place = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
     back = []
     for j in (1, 2, 3):
@@ -56,9 +63,28 @@ def context_rows(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         x[j:] = h[:-j] if j < len(h) else h[:0]
         x[place < j] = 0
         back.append(x)
-    shift = U(64 - ROWS_BITS)
-    found = (mix(back[0] + _SALT[0]), mix(back[0] * _SALT[1] + back[1] * _SALT[2]), mix(back[1] + _SALT[3]), mix(back[2] + _SALT[4]))
-    return np.stack([(x >> shift).astype(np.uint16) for x in found])
+    return mix(back[0] + _SALT[0]), mix(back[0] * _SALT[1] + back[1] * _SALT[2]), mix(back[1] + _SALT[3]), mix(back[2] + _SALT[4])
+
+
+def context_rows(found: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The class table's rows of each context (uint16)."""
+    return np.stack([(x >> U(64 - ROWS_BITS)).astype(np.uint16) for x in found])
+
+
+def word_rows(found: tuple[np.ndarray, ...], target: np.ndarray) -> np.ndarray:
+    """The word table's rows of each context and class (uint16)."""
+    salt = (target.astype(U) + U(1)) * _SALT[2]
+    return np.stack([(((x ^ salt) * _SALT[0]) >> U(64 - WORD_BITS)).astype(np.uint16) for x in found])
+
+
+def word_groups(h: np.ndarray, lead: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Each word's group in its class; ``lead``: sorted hashes of the words with a group of their own, which is ``rank``."""
+    out = LEAD + (h >> U(64 - TAIL_BITS)).astype(np.int64)
+    if len(lead):
+        k = np.minimum(np.searchsorted(lead, h), len(lead) - 1)
+        same = lead[k] == h
+        out[same] = rank[k[same]]
+    return out
 
 
 def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -70,6 +96,37 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.n
     return z
 
 
+def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logits less their maximum, their exponentials, the sums of these)"""
+    z = bias + weights[rows[0]]
+    for r in rows[1:]:
+        z += weights[r]
+    z -= z.max(axis=1, keepdims=True)
+    e = np.exp(z)
+    return z, e, e.sum(axis=1)
+
+
+def log_choice(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    z, _, total = softmax(weights, bias, rows)
+    return z[np.arange(len(target)), target] - np.log(total)
+
+
+def learn(w: np.ndarray, g: np.ndarray, seen: np.ndarray, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """One AdaGrad step on the rows of a minibatch; gives the slopes of the logits."""
+    _, e, total = softmax(w, bias, rows)
+    e /= total[:, None]
+    e[np.arange(len(target)), target] -= 1
+    for one in rows:
+        order = np.argsort(one, kind="stable")
+        ordered = one[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        slope, at = np.add.reduceat(e[order], first, axis=0), ordered[first]
+        g[at] += slope * slope
+        w[at] -= RATE * slope / np.sqrt(g[at])
+        seen[at] += np.diff(np.append(first, len(order)))
+    return e
+
+
 def _counts(batches):
     """Rows (kind, h, affix, n): kind 0 counts of words, kind 1 neighbouring affixes (h = first * AFFIXES + second)."""
     near = np.zeros(AFFIXES * AFFIXES, np.int64)
@@ -114,38 +171,34 @@ def cluster_affixes(near: np.ndarray, classes: int, seed: int = 5) -> np.ndarray
     return np.argmax(x @ centre.T, axis=1)
 
 
-def _train(classes):
-    """(part, weights, seen) of a task's table after its texts, in parts of PART_ROWS rows."""
+def _train(model):
+    """(part, weights, seen) of a task's tables after its texts, in parts of PART_ROWS rows; the word table's follow the
+    class table's."""
 
     def run(batches):
-        kind_class = classes.value
-        size = 1 << ROWS_BITS
-        w, g = np.zeros((size, CLASSES), np.float32), np.full((size, CLASSES), 1e-6, np.float32)
+        m = model.value
+        size, words = 1 << ROWS_BITS, 1 << WORD_BITS
+        w, g = np.zeros((size + words, CLASSES), np.float32), np.full((size + words, CLASSES), 1e-6, np.float32)
         bias, gb = np.zeros(CLASSES, np.float32), np.full(CLASSES, 1e-6, np.float32)
-        seen, steps = np.zeros(size, np.int64), 0
+        seen, steps = np.zeros(size + words, np.int64), 0
         for batch in batches:
             for block in blocks(batch.column(0)):
                 h, kind, bounds = tokens(block)
-                target = kind_class[kind]  # the end's affix -1 names the last entry
-                rows = context_rows(h, bounds)
+                target = m["classes"][kind]  # the end's affix -1 names the last entry
+                group = word_groups(h, m["lead"], m["rank"])
+                found = contexts(h, bounds)
+                rows, inner = context_rows(found), word_rows(found, target)
                 for a in range(0, len(h), BATCH):
-                    r, t = rows[:, a : a + BATCH], target[a : a + BATCH]
-                    e = np.exp(log_softmax(w, bias, r))
-                    e[np.arange(len(t)), t] -= 1
-                    for one in r:
-                        order = np.argsort(one, kind="stable")
-                        ordered = one[order]
-                        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                        slope, at = np.add.reduceat(e[order], first, axis=0), ordered[first]
-                        g[at] += slope * slope
-                        w[at] -= RATE * slope / np.sqrt(g[at])
-                        seen[at] += np.diff(np.append(first, len(order)))
-                    slope = e.sum(0)
+                    t = target[a : a + BATCH]
+                    slope = learn(w[:size], g[:size], seen[:size], rows[:, a : a + BATCH], bias, t).sum(0)
                     gb += slope * slope
                     bias -= RATE * slope / np.sqrt(gb)
+                    word = np.flatnonzero(t < CLASSES - 1) + a  # the end is alone in its class
+                    if len(word):
+                        learn(w[size:], g[size:], seen[size:], inner[:, word], m["prior"][target[word]], group[word])
                     steps += len(t)
         parts, values, counts = [], [], []
-        for p in range(0, size, PART_ROWS):
+        for p in range(0, size + words, PART_ROWS):
             if seen[p : p + PART_ROWS].any():
                 parts.append(p // PART_ROWS)
                 values.append(w[p : p + PART_ROWS].tobytes())
@@ -185,12 +238,14 @@ def _score(model):
             rare, lengths = [], []
             for block in blocks(batch.column(0)):
                 h, kind, bounds = tokens(block)
-                rows, target = context_rows(h, bounds), m["classes"][kind]
+                target, group = m["classes"][kind], word_groups(h, m["lead"], m["rank"])
+                context = contexts(h, bounds)
+                rows, inner = context_rows(context), word_rows(context, target)
                 p = np.empty(len(h))
                 for a in range(0, len(h), BATCH):
-                    part = log_softmax(m["weights"], m["bias"], rows[:, a : a + BATCH])
-                    p[a : a + BATCH] = part[np.arange(len(part)), target[a : a + BATCH]]
-                p = p / np.log(10) - m["log_class"][target]
+                    t, k = target[a : a + BATCH], group[a : a + BATCH]
+                    p[a : a + BATCH] = log_choice(m["weights"], m["bias"], rows[:, a : a + BATCH], t) + log_choice(m["words"], m["prior"][t], inner[:, a : a + BATCH], k)
+                p = p / np.log(10) - m["log_group"][target, group]
                 found = bits[(h >> U(42)).astype(np.int64)]
                 at = np.flatnonzero(found)
                 k = np.minimum(np.searchsorted(head, h[at]), max(len(head) - 1, 0))
@@ -235,26 +290,40 @@ class MaxEntLm:
         near[pairs["h"].to_numpy()] = pairs["n"].to_numpy()
         # The last entry is the class of the end, whose affix is -1.
         classes = np.append(cluster_affixes(near.reshape(AFFIXES, AFFIXES), CLASSES - 1), CLASSES - 1)
-        per = self.words.groupBy("affix").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
-        n, v = np.zeros(CLASSES), np.zeros(CLASSES)
-        np.add.at(n, classes[per["affix"].to_numpy()], per["n"].to_numpy())
-        np.add.at(v, classes[per["affix"].to_numpy()], per["v"].to_numpy())
+        per = self.words.groupBy("affix", F.shiftrightunsigned("h", 64 - TAIL_BITS).cast("int").alias("tail")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
+        n, v = np.zeros((CLASSES, GROUPS)), np.zeros((CLASSES, GROUPS))
+        at = classes[per["affix"].to_numpy()], LEAD + per["tail"].to_numpy()
+        np.add.at(n, at, per["n"].to_numpy())
+        np.add.at(v, at, per["v"].to_numpy())
         self.train_tokens, self.distinct = int(n.sum()), int(v.sum())
         sizes = self.words.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).toPandas()
         self.least = int(sizes["c"][sizes["k"].cumsum() <= HEAD].min()) if len(sizes) and sizes["k"].iloc[0] <= HEAD else 1 << 62
-        head = self.words.filter(F.col("c") >= self.least).select("h", "c").toPandas()
+        head = self.words.filter(F.col("c") >= self.least).select("h", "affix", "c").toPandas()
         hashes = head["h"].to_numpy(np.int64).view(U)
         order = np.argsort(hashes)
-        trained = texts.mapInArrow(_train(sc.broadcast(classes)), "part int, weights binary, seen binary").repartition("part").mapInArrow(_average, "part int, weights binary")
-        weights, bias = np.zeros((1 << ROWS_BITS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
-        for x in trained.toLocalIterator():  # one table of fixed size
+        # The most frequent words of each class leave the groups by hash for one of their own.
+        lead = head.assign(own=classes[head["affix"].to_numpy()]).sort_values(["c", "h"], ascending=[False, True])
+        lead["rank"] = lead.groupby("own").cumcount()
+        lead = lead[lead["rank"] < LEAD]
+        own, rank, c, h = lead["own"].to_numpy(), lead["rank"].to_numpy(np.int64), lead["c"].to_numpy(np.float64), lead["h"].to_numpy(np.int64).view(U)
+        tail = LEAD + (h >> U(64 - TAIL_BITS)).astype(np.int64)
+        np.subtract.at(n, (own, tail), c)
+        np.subtract.at(v, (own, tail), 1)
+        mass = n + ADD * (v + 1)  # with one word that was not seen
+        mass[:, :LEAD] = 1e-9  # no word
+        mass[own, rank] = c + ADD
+        log_mass, by_hash = np.log(mass), np.argsort(h)
+        model = {"classes": classes, "lead": h[by_hash], "rank": rank[by_hash], "prior": log_mass.astype(np.float32)}
+        trained = texts.mapInArrow(_train(sc.broadcast(model)), "part int, weights binary, seen binary").repartition("part").mapInArrow(_average, "part int, weights binary")
+        weights, bias = np.zeros(((1 << ROWS_BITS) + (1 << WORD_BITS), CLASSES), np.float32), np.zeros(CLASSES, np.float32)
+        for x in trained.toLocalIterator():  # two tables of fixed size
             values = np.frombuffer(x["weights"], np.float32).reshape(-1, CLASSES)
             if x["part"] < 0:
                 bias = values[0]
             else:
                 weights[x["part"] * PART_ROWS : (x["part"] + 1) * PART_ROWS] = values
         self.sent = sc.broadcast({
-            "classes": classes, "weights": weights, "bias": bias, "log_class": np.log10(n + ADD * (v + 1)),
+            **model, "weights": weights[: 1 << ROWS_BITS], "words": weights[1 << ROWS_BITS :], "bias": bias, "log_group": log_mass / np.log(10),
             "head": hashes[order], "log_count": np.log10(head["c"].to_numpy(np.float64)[order] + ADD)})
         return self
 

@@ -164,6 +164,28 @@ def test_class_model_sums_to_one():
     assert np.allclose(np.exp(maxent_lm.log_softmax(w, np.zeros(maxent_lm.CLASSES, np.float32), rows)).sum(1), 1, atol=1e-5)
 
 
+def test_context_tells_words_of_a_class_apart(spark):
+    # Both words begin alike, so they share their class, and are equally frequent.
+    rows = [(i, " ".join(["left stone right steel" if i % 2 else "right steel left stone"] * 50)) for i in range(40)]
+    model = maxent_lm.MaxEntLm().fit(docs(spark, rows).select("doc_id", "text"))
+    probes = docs(spark, [(1, "left stone"), (2, "left steel"), (3, "right steel"), (4, "right stone")]).select("doc_id", "text")
+    got = {r.doc_id: r for r in model.score(probes).collect()}
+    assert math.isclose(got[1].base_score, got[2].base_score)
+    assert got[1].score > got[2].score + 0.25 and got[3].score > got[4].score + 0.25
+
+
+def test_word_factor_sums_to_one(spark, texts):
+    model = maxent_lm.MaxEntLm().fit(docs(spark, [(i, r.text) for i, r in texts.items()][:200]).select("doc_id", "text"))
+    m = model.sent.value
+    c = {r.h & (1 << 64) - 1: (m["classes"][r.affix], r.c) for r in model.words.collect()}
+    h = np.array(list(c), np.uint64)
+    mass = np.zeros_like(m["log_group"])
+    np.add.at(mass, (np.array([k for k, _ in c.values()]), maxent_lm.word_groups(h, m["lead"], m["rank"])), [n + 0.1 for _, n in c.values()])
+    mass[:, maxent_lm.LEAD :] += 0.1  # a word that was not seen
+    some = mass > 0
+    assert np.allclose(mass[some], 10 ** m["log_group"][some]) and (10 ** m["log_group"][~some] < 1e-8).all()
+
+
 def test_lm_edge_rows(spark):
     table = docs(spark, EDGE)
     model = maxent_lm.MaxEntLm().fit(table.filter("doc_id is not null"))

@@ -36,6 +36,17 @@ def test_every_character_as_the_library(library):
         assert ids == library.encode(text, add_special_tokens=False).ids and v.decode(ids) == text
 
 
+def test_every_character_of_the_first_three_planes_as_the_library(library):
+    v = Vocabulary(default_vocabulary())
+    coder = Coder(v, Transducer.compile({b" the": v.merge(b" the")}))
+    for start in range(0x3000, 0x30000, 64):
+        text = " the".join(f"a{chr(c)}b {chr(c)}{chr(c)}1" for c in range(start, start + 64) if not 0xD800 <= c < 0xE000)
+        w = coder.words(text)
+        coder.learn([w])
+        ids = [i for x in w for i in coder.ids[x]]
+        assert ids == library.encode(text, add_special_tokens=False).ids and v.decode(ids) == text
+
+
 def test_long_words_merge_alike(library):
     v = Vocabulary(default_vocabulary())
     for text in ("ab" * 400, "=" * 5000, "antidisestablishmentarianism" * 9, "é" * 300):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .shared import Workspace
-from .textblocks import LOWER, SECOND, blocks, longs, ranges_hash
+from .textblocks import BASE, LOWER, SECOND, blocks, longs, ranges_hash
 
 FANOUT = 3
 BATCHES = 4
@@ -59,8 +59,10 @@ def _without(digest: bool):
                     text = whole[block.offsets[d] : block.offsets[d + 1]]
                     if gone.is_valid and len(gone.values):
                         a, b = bounds[d], bounds[d + 1]
-                        keys = ranges_hash(low[starts[a] : ends[b - 1]], first[a:b] - starts[a], last[a:b] - starts[a])
-                        stay = ~np.isin(keys.view(np.int64), gone.values.to_numpy(zero_copy_only=False)) | (first[a:b] == last[a:b])
+                        part, f, t = low[starts[a] : ends[b - 1]], first[a:b] - starts[a], last[a:b] - starts[a]
+                        h1, h2 = (ranges_hash(part, f, t, key).view(np.int64).tolist() for key in (BASE, SECOND))
+                        dropped = set(zip(*(gone.values.field(k).to_pylist() for k in (0, 1)), strict=True))
+                        stay = np.array([x not in dropped for x in zip(h1, h2, strict=True)]) | (f == t)
                         counts[1, i] = b - a - stay.sum()
                         text = b"\n".join(whole[starts[k] : ends[k]] for k in np.flatnonzero(stay) + a)
                     out[i] = hashlib.sha256(text).hexdigest() if digest else bytes(text).decode()
@@ -106,7 +108,7 @@ class LineRuns:
         merged = self.space.store(batch, f"merged-{n}")
         self._write(merged.filter("owner is null").select("h1", "h2", F.col("own").alias("owner")), 0)
         repeated = merged.select("h1", "h2", F.coalesce("owner", "own").alias("owner"), "last").filter("last > owner").drop("last")
-        out = self.space.store(lines.join(repeated, ["h1", "h2"]).filter("doc_id > owner").select("doc_id", "h1").distinct(), f"drops-{n}")
+        out = self.space.store(lines.join(repeated, ["h1", "h2"]).filter("doc_id > owner").select("doc_id", "h1", "h2").distinct(), f"drops-{n}")
         self.space.drop(f"merged-{n}")
         return out
 
@@ -136,7 +138,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, digest: bool = False, r
             part = part.filter(F.col("doc_id") <= high)
         drops.append(runs.add(part))
     space.keep("drops")
-    gone = LineRuns._union(drops).groupBy("doc_id").agg(F.collect_list("h1").alias("gone"))
+    gone = LineRuns._union(drops).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
     rows = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone", "rest")
     schema = StructType([StructField("doc_id", LongType()), StructField("kept", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType()), rows.schema["rest"]])
     return rows.mapInArrow(_without(digest), schema)

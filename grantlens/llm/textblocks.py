@@ -1,8 +1,7 @@
 """Arrow text columns as byte blocks: words, lines and their hashes in numpy, a block at a time.
 
 A word is ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 bytes with A-Z lower-cased (white space is ASCII, so cutting bytes cuts
-code points nowhere). Hashes are 64-bit: a polynomial of the bytes (prefix sums, so any range costs one subtraction)
-passed through a mixer. Nulls count as empty texts. Blocks end at documents, never inside one.
+code points nowhere). Hashes are 64-bit: eight bytes at a time under a key. Nulls count as empty texts. Blocks end at documents, never inside one.
 """
 
 from __future__ import annotations
@@ -22,20 +21,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = U(0x9E3779B97F4A7C15)
 SECOND = U(0xC6A4A7935BD1E995)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i (mod 2**64) for i < n."""
-    kept = _powers.get(int(base))
-    if kept is None or len(kept[0]) < n:
-        kept = []
-        for b in (base, U(pow(int(base), -1, 1 << 64))):
-            p = np.full(1 << n.bit_length(), b, U)
-            p[0] = 1
-            kept.append(np.cumprod(p, dtype=U))
-        _powers[int(base)] = kept = tuple(kept)
-    return kept
+STEP = U(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,12 +31,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def ranges_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
-    """64-bit hash of data[s:e] for each range; equal bytes have equal hashes wherever they stand."""
-    power, inverse = _power(len(data) + 1, base)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * power[: len(data)], dtype=U, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+def ranges_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: np.uint64 = BASE) -> np.ndarray:
+    """64-bit hash of data[s:e] for each range; equal bytes have equal hashes wherever they stand. Each eight bytes of a
+    range pass the mixer under the key, then again with their number, and are summed; two keys give independent hashes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    sizes = ends - starts
+
+    def pieces(at: np.ndarray, left: np.ndarray, number) -> np.ndarray:
+        keep = np.where(left >= 8, U(0xFFFFFFFFFFFFFFFF), (U(1) << (np.minimum(left, 7).astype(U) * U(8))) - U(1))
+        return mix(mix((eight[at] & keep) ^ key) + number * STEP)
+
+    out = pieces(starts, sizes, U(1))
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        more = (sizes[long] - 1) >> 3  # pieces after the first
+        edges = np.concatenate([[0], np.cumsum(more)])
+        number = np.arange(1, edges[-1] + 1) - np.repeat(edges[:-1], more)
+        at = np.repeat(starts[long], more) + 8 * number
+        sums = np.zeros(edges[-1] + 1, U)
+        np.cumsum(pieces(at, np.repeat(ends[long], more) - at, number.astype(U) + U(1)), dtype=U, out=sums[1:])
+        out[long] += sums[edges[1:]] - sums[edges[:-1]]
+    return mix(out + sizes.astype(U) * BASE)
 
 
 class Block:
@@ -60,10 +63,10 @@ class Block:
         self.data, self.offsets, self.first = data, offsets, first
         self.docs = len(offsets) - 1
 
-    def words(self, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, space: np.ndarray = SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, bounds, starts): word hashes in order; bounds[d]:bounds[d + 1] are those of document d; start bytes.
-        ``space`` marks the bytes between words."""
-        low = LOWER[self.data]
+        ``space`` marks the bytes between words; without ``lower`` A-Z stay as they are."""
+        low = LOWER[self.data] if lower else self.data
         full = ~space[low]
         first = np.zeros(len(low) + 1, bool)
         first[self.offsets] = True

@@ -27,3 +27,14 @@ def docs(spark, rows):
 
 EDGE = [(1, None), (2, ""), (3, "  \t\n "), (None, "a text without an id here"), (4, "one"), (5, "same row twice in here"), (5, "same row twice in here"),
         (6, "Same ROW twice in here"), (7, LONG), (8, LONG + "x"), (9, "tail\x00nul \U0001F600 é   wide"), (-3, "negative ids count too")]
+
+
+def thue_morse(n):
+    """Two texts of n letters that sums of letters times powers of one number modulo 2^64 cannot tell apart."""
+    text, other = "a", "b"
+    while len(text) < n:
+        text, other = text + other, other + text
+    return text, other
+
+
+TWINS = [w for n in (1 << 10, 1 << 11, 1 << 12, 1 << 13) for w in thue_morse(n)]

@@ -1,7 +1,7 @@
 import hashlib
 
 from grantlens.llm.line_dedup import dedup_lines, op9_line_dedup
-from llm_cases import EDGE, LOWER, SF, docs
+from llm_cases import EDGE, LOWER, SF, TWINS, docs
 
 SPACE = "\x20\t\n\x0b\x0c\r"
 
@@ -47,3 +47,9 @@ def test_registered_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(((r.doc_id, r.kept_sha256, r.n_lines, r.n_dropped) for r in op9_line_dedup(spark, SF).collect()), key=str)
     assert got == sorted(((i, hashlib.sha256(t.encode()).hexdigest(), n, k) for i, t, n, k in brute(rows)), key=str)
+
+
+def test_lines_that_a_polynomial_confuses_stay(spark):
+    rows = [(i + 1, t) for i, t in enumerate([*TWINS, TWINS[0]])]
+    got = {r.doc_id: (r.kept, r.n_dropped) for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got == {i: (t, 0) if i < len(rows) else ("", 1) for i, t in rows}

@@ -22,13 +22,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import Workspace, shared_dir
 from .textblocks import blocks
 
 LEXICON = 1 << 16  # words in the automaton, whatever the input
 COUNT_BYTES = 1 << 22  # bytes of text over which a task counts words before it sends them
 SEEN = 3  # occurrences within that which make a word worth sending
-CACHE = 1 << 18  # words that a task keeps resolved
+CACHE_BYTES = 1 << 24  # of words and ids that a task keeps resolved
+ENTRY = 200  # bytes that a kept word costs besides its own and its ids
 # Fixed value: the word pattern that the byte-level vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -301,8 +302,8 @@ class Coder:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.find = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self.ids: dict[str, list[int]] = {}
-        self.merged = 0
+        self.ids: dict[str, bytes] = {}  # int32 ids
+        self.held = self.merged = 0
 
     def words(self, text: str) -> list[str]:
         if self.special is None or not any(s in text for s in self.vocabulary.special):
@@ -311,26 +312,32 @@ class Coder:
         for k, part in enumerate(self.special.split(text)):
             if k % 2:
                 out.append(part)
-                self.ids[part] = [self.vocabulary.special[part]]
+                self.ids[part] = np.int32(self.vocabulary.special[part]).tobytes()
             else:
                 out += self.find(part)
         return out
 
     def learn(self, texts_words: list[list[str]]) -> None:
-        """Resolves the words that are not known yet."""
-        if len(self.ids) > CACHE:
-            self.ids = {s: [i] for s, i in self.vocabulary.special.items()}
+        """Resolves the words that are not known yet; what is kept is bounded by its bytes."""
+        if self.held > CACHE_BYTES:
+            self.ids = {s: np.int32(i).tobytes() for s, i in self.vocabulary.special.items()}
+            self.held = 0
         new = list(set().union(*texts_words).difference(self.ids))
         raw = [w.encode() for w in new]
         first, ids = self.lexicon.first, self.lexicon.ids
         numbers = self.lexicon.numbers(raw)
         for i in np.flatnonzero(numbers >= 0).tolist():
-            self.ids[new[i]] = ids[first[numbers[i]] : first[numbers[i] + 1]].tolist()
+            self.ids[new[i]] = ids[first[numbers[i]] : first[numbers[i] + 1]].astype(np.int32).tobytes()
         unseen = np.flatnonzero(numbers < 0).tolist()
         for i, found in zip(unseen, self.vocabulary.merge_many([raw[i] for i in unseen]), strict=True):
-            self.ids[new[i]] = found
+            self.ids[new[i]] = np.array(found, np.int32).tobytes()
+        self.held += sum(len(w) + len(self.ids[x]) + ENTRY for x, w in zip(new, raw, strict=True))
         self.merged += len(unseen)
 
+    def encode(self, words: list[str]) -> bytes:
+        """The int32 ids of known words, in order."""
+        return b"".join(map(self.ids.__getitem__, words))
+
 
 def _texts(column: pa.Array):
     """Runs of whole texts of about a block's size."""
@@ -347,34 +354,42 @@ def _texts(column: pa.Array):
 
 
 def _encode(vocabulary, name: str, digest: bool):
+    """One record batch per run of texts, so a task holds a run's ids and no more."""
+
     def run(batches):
         coder = Coder(Vocabulary.of(vocabulary.value), Transducer.mapped(SparkFiles.get(name)))
         piece = coder.vocabulary.bytes_of
-        shown: dict = {}
-        back: dict = {}
+        shown: dict[str, str] = {}
+        back: dict[str, bytes] = {}
+        held = 0
         for batch in batches:
-            ids, counts, sums = [], [], []
+            at = 0
             for texts in _texts(batch.column(1)):
+                ids_of = batch.column(0).slice(at, len(texts))
+                at += len(texts)
                 words = [coder.words(t) for t in texts]
                 coder.learn(words)
                 if not digest:
-                    for w in words:
-                        ids.append([i for x in map(coder.ids.__getitem__, w) for i in x])
+                    flat = [coder.encode(w) for w in words]
+                    ends = np.cumsum([0, *(len(x) // 4 for x in flat)])
+                    values = pa.array(np.frombuffer(b"".join(flat), np.int32))
+                    yield pa.RecordBatch.from_arrays([ids_of, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], names=["doc_id", "ids"])
                     continue
-                if len(shown) > 2 * CACHE:
-                    shown, back = {}, {}
+                if held > CACHE_BYTES:
+                    shown, back, held = {}, {}, 0
                 for w in set().union(*words).difference(shown):
-                    shown[w] = ",".join(map(str, coder.ids[w]))
-                    back[w] = b"".join(piece[i] for i in coder.ids[w])
+                    found = np.frombuffer(coder.ids[w], np.int32).tolist()
+                    shown[w] = ",".join(map(str, found))
+                    back[w] = b"".join(piece[i] for i in found)
+                    held += 2 * len(w) + 6 * len(found) + ENTRY
+                counts, sums = [], ([], [])
                 for w in words:
                     joined = ",".join(map(shown.__getitem__, w))
                     text = b"".join(map(back.__getitem__, w)).decode("utf-8", "replace")
                     counts.append(joined.count(",") + 1 if w else 0)
-                    sums.append((hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-            if digest:
-                yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array([a for a, _ in sums], pa.string()), pa.array([b for _, b in sums], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                    sums[0].append(hashlib.sha256(joined.encode()).hexdigest())
+                    sums[1].append(hashlib.sha256(text.encode()).hexdigest())
+                yield pa.record_batch([ids_of, pa.array(counts, pa.int64()), *(pa.array(x, pa.string()) for x in sums)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -408,7 +423,13 @@ class BpeCodec:
 
     def lexicon(self, docs: DataFrame) -> Transducer:
         counts = self._rows(docs).select("text").mapInArrow(_frequent_words, "word binary, n long")
-        often = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(self.size).select("word").toPandas()["word"]
+        space = Workspace(self.spark, "bpe")
+        words_of = space.store(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
+        # How many words have each count names the least count that leaves ``size`` words or fewer; no order of all words.
+        sizes = words_of.groupBy("n").agg(F.count("*").alias("k")).toPandas().sort_values("n", ascending=False)
+        kept = sizes["n"][sizes["k"].cumsum() <= self.size]
+        often = words_of.filter(F.col("n") >= int(kept.min())).select("word").toPandas()["word"] if len(kept) else []
+        space.keep()
         find = regex.compile(PATTERN).findall
         words: dict[bytes, list[int]] = {}
         for w in often:

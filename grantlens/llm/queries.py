@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, secrets
+from . import chat, line_dedup, periodic, secrets
 from .ann import op10_permutation_ann
 from .bpe import op6_bpe
 from .chat import op7_chat_format
@@ -11,6 +11,7 @@ from .langid import op1_language_id
 from .line_dedup import op9_line_dedup
 from .maxent_lm import op4_lm_scoring
 from .ngram_join import op2_ngram_jaccard
+from .periodic import op11_periodic_runs
 from .quality import op8_quality
 from .secrets import op5_secrets
 
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_permutation_ann": op10_permutation_ann,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
     "op5_secrets": secrets.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_periodic_runs": periodic.ORACLE_SQL,
 }

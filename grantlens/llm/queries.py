@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, periodic, secrets
+from . import chat, divergence, line_dedup, periodic, secrets
 from .ann import op10_permutation_ann
 from .bpe import op6_bpe
 from .chat import op7_chat_format
 from .decontaminate import op3_decontamination
+from .divergence import op12_source_divergence
 from .langid import op1_language_id
 from .line_dedup import op9_line_dedup
 from .maxent_lm import op4_lm_scoring
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_permutation_ann": op10_permutation_ann,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLE: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLE: dict[str, str] = {
     "op7_chat_format": chat.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
     "op11_periodic_runs": periodic.ORACLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, divergence, line_dedup, periodic, secrets
+from . import chat, divergence, line_dedup, mixing, periodic, secrets
 from .ann import op10_permutation_ann
 from .bpe import op6_bpe
 from .chat import op7_chat_format
@@ -11,6 +11,7 @@ from .divergence import op12_source_divergence
 from .langid import op1_language_id
 from .line_dedup import op9_line_dedup
 from .maxent_lm import op4_lm_scoring
+from .mixing import op13_source_mix
 from .ngram_join import op2_ngram_jaccard
 from .periodic import op11_periodic_runs
 from .quality import op8_quality
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_permutation_ann": op10_permutation_ann,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_source_divergence": op12_source_divergence,
+    "op13_source_mix": op13_source_mix,
 }
 
 ORACLE: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLE: dict[str, str] = {
     "op9_line_dedup": line_dedup.ORACLE_SQL,
     "op11_periodic_runs": periodic.ORACLE_SQL,
     "op12_source_divergence": divergence.ORACLE_SQL,
+    "op13_source_mix": mixing.ORACLE_SQL,
 }

@@ -33,7 +33,7 @@ ROWS_BITS = 15
 WORD_BITS = 16
 FEATURES = 4
 HEAD = 1 << 19  # words whose counts are sent to the tasks (8 MB), whatever the input
-BATCH = 1 << 14
+BATCH = 1 << 13
 RATE = 0.25
 FLUSH = 1 << 22
 PART_ROWS = 1 << 10
@@ -87,22 +87,17 @@ def word_groups(h: np.ndarray, lead: np.ndarray, rank: np.ndarray) -> np.ndarray
     return out
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = bias + weights[rows[0]]
-    for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
 def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(logits less their maximum, their exponentials, the sums of these)"""
-    z = bias + weights[rows[0]]
+    rows = rows.astype(np.intp)
+    z = np.take(weights, rows[0], axis=0)
+    z += bias
+    one = np.empty_like(z)
     for r in rows[1:]:
-        z += weights[r]
+        np.take(weights, r, axis=0, out=one, mode="clip")
+        z += one
     z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
+    e = np.exp(z, out=one)
     return z, e, e.sum(axis=1)
 
 
@@ -112,18 +107,29 @@ def log_choice(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target:
 
 
 def learn(w: np.ndarray, g: np.ndarray, seen: np.ndarray, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """One AdaGrad step on the rows of a minibatch; gives the slopes of the logits."""
+    """One AdaGrad step on the rows of a minibatch, with one rate for each row of the table (``g`` sums the rows' mean
+    squared slopes); gives the slopes of the logits. All features share the table, so one order and one sum serve them."""
     _, e, total = softmax(w, bias, rows)
     e /= total[:, None]
     e[np.arange(len(target)), target] -= 1
-    for one in rows:
-        order = np.argsort(one, kind="stable")
-        ordered = one[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        slope, at = np.add.reduceat(e[order], first, axis=0), ordered[first]
-        g[at] += slope * slope
-        w[at] -= RATE * slope / np.sqrt(g[at])
-        seen[at] += np.diff(np.append(first, len(order)))
+    flat = rows.ravel()  # uint16: ordered by counting
+    order = np.argsort(flat, kind="stable")
+    ordered = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    at, n = ordered[first].astype(np.intp), np.diff(np.append(first, len(order)))
+    token = order % len(target)
+    # Most rows of a minibatch stand once in it: they need no sum.
+    once = n == 1
+    slope = np.empty((len(at), w.shape[1]), np.float32)
+    slope[once] = np.take(e, token[first[once]], axis=0)
+    if not once.all():
+        more = n[~once]
+        edges = np.cumsum(more) - more
+        slope[~once] = np.add.reduceat(np.take(e, token[np.repeat(~once, n)], axis=0), edges, axis=0)
+    g[at] += np.einsum("ij,ij->i", slope, slope) / w.shape[1]
+    slope *= (RATE / np.sqrt(g[at]))[:, None]
+    w[at] -= slope
+    seen[at] += n
     return e
 
 
@@ -178,7 +184,7 @@ def _train(model):
     def run(batches):
         m = model.value
         size, words = 1 << ROWS_BITS, 1 << WORD_BITS
-        w, g = np.zeros((size + words, CLASSES), np.float32), np.full((size + words, CLASSES), 1e-6, np.float32)
+        w, g = np.zeros((size + words, CLASSES), np.float32), np.full(size + words, 1e-6, np.float32)
         bias, gb = np.zeros(CLASSES, np.float32), np.full(CLASSES, 1e-6, np.float32)
         seen, steps = np.zeros(size + words, np.int64), 0
         for batch in batches:
@@ -273,7 +279,7 @@ class MaxEntLm:
 
     Defined results: a null text is an empty one, whose only token is its end; without training texts every token is
     unknown; rows that repeat keep their row; rows without doc_id are scored and teach nothing when the query splits by
-    id; other columns are ignored; an empty table gives an empty result.
+    id; other columns pass through under any name; an empty table gives an empty result.
     """
 
     def fit(self, texts: DataFrame) -> MaxEntLm:
@@ -328,11 +334,12 @@ class MaxEntLm:
         return self
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """(the columns of ``docs`` but text, n_tokens, n_known, train_tokens, base_score, score)"""
-        rest = [c for c in docs.columns if c != "text"]
-        rows = docs.select(F.col("text").cast("string").alias("text"), *rest)
-        added = (("n_tokens", LongType()), ("known", LongType()), ("base", DoubleType()), ("more", DoubleType()), ("rare", ArrayType(LongType())))
-        schema = StructType([*rows.schema.fields[1:], *[StructField(*x) for x in added]])
+        """(the columns of ``docs`` but text, n_tokens, n_known, train_tokens, base_score, score); columns of these five names
+        are replaced."""
+        added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+        rest = F.struct(*[docs[c] for c in docs.columns if c not in ("text", *added)]).alias("rest")
+        rows = docs.select(F.col("text").cast("string").alias("text"), rest)
+        schema = StructType([rows.schema["rest"], StructField("n_tokens", LongType()), StructField("known", LongType()), StructField("base", DoubleType()), StructField("more", DoubleType()), StructField("rare", ArrayType(LongType()))])
         # The row's number is stored with it, so it stays what it is.
         first = self.space.store(rows.mapInArrow(_score(self.sent), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
         others = first.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
@@ -341,7 +348,9 @@ class MaxEntLm:
         base = F.col("base") + F.coalesce("tail_base", F.lit(0.0))
         log_all = float(np.log10(self.train_tokens + ADD * (self.distinct + 1)))
         out = first.drop("rare").join(looked, "row", "left")
-        return out.select(*rest, "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(self.train_tokens).cast("long").alias("train_tokens"), (base - F.col("n_tokens") * log_all).alias("base_score"), (base + F.col("more")).alias("score"))
+        values = F.col("n_tokens"), F.col("known") + F.coalesce("tail_known", F.lit(0)), F.lit(self.train_tokens).cast("long"), base - F.col("n_tokens") * log_all, base + F.col("more")
+        out = out.select("rest", *[v.alias(f"new_{n}") for v, n in zip(values, added, strict=True)])
+        return out.select("rest.*", *[F.col(f"new_{n}").alias(n) for n in added])
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

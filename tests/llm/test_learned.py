@@ -4,11 +4,13 @@ import collections
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from grantlens.llm import langid, maxent_lm, quality
-from grantlens.llm.textblocks import U
-from llm_cases import EDGE, docs, held, words
+from grantlens.llm.textblocks import U, blocks
+from llm_cases import EDGE, TWINS, docs, held, words
 
 MID = "/root/testdata/sf0.01"
 
@@ -157,11 +159,62 @@ def test_words_beyond_the_sent_ones_are_looked_up(spark, monkeypatch):
         assert math.isclose(got[i].base_score, base[i, t], rel_tol=1e-9) and got[i].n_known == sum(w in c for w in [*words(t), None])
 
 
-def test_class_model_sums_to_one():
+def test_softmax_sums_to_one():
     rng = np.random.default_rng(2)
     w = rng.normal(size=(1 << maxent_lm.ROWS_BITS, maxent_lm.CLASSES)).astype(np.float32)
-    rows = rng.integers(0, 1 << maxent_lm.ROWS_BITS, (maxent_lm.FEATURES, 50))
-    assert np.allclose(np.exp(maxent_lm.log_softmax(w, np.zeros(maxent_lm.CLASSES, np.float32), rows)).sum(1), 1, atol=1e-5)
+    rows = rng.integers(0, 1 << maxent_lm.ROWS_BITS, (maxent_lm.FEATURES, 50)).astype(np.uint16)
+    bias = rng.normal(size=maxent_lm.CLASSES).astype(np.float32)
+    total = sum(np.exp(maxent_lm.log_choice(w, bias, rows, np.full(50, k))) for k in range(maxent_lm.CLASSES))
+    assert np.allclose(total, 1, atol=1e-5)
+
+
+def test_one_learning_step():
+    rng = np.random.default_rng(4)
+    w = rng.normal(size=(6, 5)).astype(np.float32)
+    g, seen = np.full(6, 0.5, np.float32), np.zeros(6, np.int64)
+    rows, target = rng.integers(0, 6, (2, 9)).astype(np.uint16), rng.integers(0, 5, 9)
+    slope = np.zeros((6, 5))
+    for j in range(9):
+        z = w[rows[0, j]].astype(float) + w[rows[1, j]]
+        e = np.exp(z) / np.exp(z).sum()
+        e[target[j]] -= 1
+        for r in rows[:, j]:
+            slope[r] += e
+    grown = 0.5 + (slope**2).mean(1)
+    want = w - maxent_lm.RATE * slope / np.sqrt(grown)[:, None]
+    maxent_lm.learn(w, g, seen, rows, np.zeros(5, np.float32), target)
+    assert np.allclose(w, want, atol=1e-5) and np.allclose(g, grown, atol=1e-5) and seen.tolist() == [int((rows == r).sum()) for r in range(6)]
+
+
+def test_scores_are_the_sum_of_their_factors(spark, texts):
+    """Token by token in plain floats: class, group of the class, word of the group."""
+    rows = [(i, r.text) for i, r in texts.items()][:60]
+    table = docs(spark, rows).select("doc_id", "text", F.lit(1).alias("base"), F.lit(2).alias("known"), F.lit(3).alias("row"), F.lit(4).alias("rare"), F.lit(5).alias("more"), F.lit(6).alias("n_tokens"), F.lit(7).alias("score"))
+    model = maxent_lm.MaxEntLm().fit(table)
+    m, got = model.sent.value, {r.doc_id: r for r in model.score(table).collect()}
+    assert got[rows[0][0]].row == 3 and got[rows[0][0]].base == 1 and got[rows[0][0]].rare == 4
+    count = {r.h & (1 << 64) - 1: r.c for r in model.words.collect()}
+    rank = dict(zip(m["lead"].tolist(), m["rank"].tolist()))
+    part = lambda z, k: z[k] - math.log(sum(math.exp(x) for x in z))
+    for i, text in rows[:12]:
+        block = next(blocks(pa.array([text])))
+        h, kind, bounds = maxent_lm.tokens(block)
+        found = maxent_lm.contexts(h, bounds)
+        total = 0.0
+        for j, x in enumerate(h.tolist()):
+            own = int(m["classes"][kind[j]])
+            group = rank.get(x, maxent_lm.LEAD + (x >> (64 - maxent_lm.TAIL_BITS)))
+            outer = sum(m["weights"][int(f[j]) >> (64 - maxent_lm.ROWS_BITS)].astype(float) for f in found) + m["bias"]
+            inner = sum(m["words"][r].astype(float) for r in maxent_lm.word_rows(found, np.full(len(h), own))[:, j]) + m["prior"][own]
+            total += (part(outer.tolist(), own) + part(inner.tolist(), group)) / math.log(10) + math.log10(count[x] + 0.1) - m["log_group"][own, group]
+        assert math.isclose(got[i].score, total, rel_tol=1e-4), (i, got[i].score, total)
+
+
+def test_texts_that_a_polynomial_confuses_are_told_apart(spark):
+    rows = [(k, t) for k, t in enumerate(TWINS)]
+    model = maxent_lm.MaxEntLm().fit(docs(spark, rows[:1]).select("doc_id", "text"))
+    got = {r.doc_id: r.n_known for r in model.score(docs(spark, rows).select("doc_id", "text")).collect()}
+    assert got == {k: 2 if k == 0 else 1 for k, _ in rows}
 
 
 def test_context_tells_words_of_a_class_apart(spark):

@@ -2,7 +2,7 @@ import itertools
 import random
 
 from grantlens.llm.ngram_join import JaccardJoin, near_duplicate_classes, op2_ngram_jaccard
-from llm_cases import EDGE, SF, docs, words
+from llm_cases import EDGE, SF, TWINS, docs, words
 
 
 def brute(rows, k, percent):
@@ -75,3 +75,9 @@ def test_registered_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op2_ngram_jaccard(spark, SF).collect()}
     assert got == brute(rows, 4, 85)
+
+
+def test_words_that_a_polynomial_confuses_are_not_linked(spark):
+    rows = [(k + 1, t) for k, t in enumerate([*TWINS, TWINS[0]])]
+    got = {r.doc_id: r.component_id for r in JaccardJoin(words=4, percent=85).classes(docs(spark, rows)).collect()}
+    assert got == {i: i if i < len(rows) else 1 for i, _ in rows}

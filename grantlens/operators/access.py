@@ -27,7 +27,7 @@ RESOURCE_KEYS = ["HostID", "GateID", "ResourceID"]
 
 def holders(closure: DataFrame, sids: DataFrame) -> DataFrame:
     """(HolderSid, MemberSid): each SID holds itself; a group holds its transitive members."""
-    nested = closure.select(F.col("GroupSid").alias("HolderSid"), "MemberSid")
+    nested = closure.filter("GroupSid <> MemberSid").select(F.col("GroupSid").alias("HolderSid"), "MemberSid")
     self_pairs = sids.select(F.col("ObjectSid").alias("HolderSid"), F.col("ObjectSid").alias("MemberSid"))
     return nested.unionByName(self_pairs)
 
@@ -89,28 +89,31 @@ def trustee_sids_batch(principals: DataFrame, local_trustees: DataFrame, request
     return asked.join(d.union(loc), "_name").select("Trustee", "sid").distinct()
 
 
-def permission_entries(acl: DataFrame, sid_holders: DataFrame, traversal: DataFrame, principals: DataFrame,
-                       plan: dict) -> DataFrame:
+def permission_entries(acl: DataFrame, sid_chains: DataFrame, traversal: DataFrame, plan: dict) -> DataFrame:
     """G-4: one row per ACL entry that reaches a SID, with where it comes from.
 
-    Columns: HostID, GateID, ResourceID, Sid, SourceTrusteePath,
+    Columns: HostID, GateID, ResourceID, Sid, SourceTrusteePath (the chain of
+    names from the SID to the entry's trustee, see closure.walk_up),
     ResourcePath, PermissionSourceType (Direct / Group), the allow and deny
-    letters and their masks as text. Paths, names and texts are joined to the
-    entries first; the expansion over membership comes last.
+    letters and their masks as text. Paths and texts are joined to the
+    entries first; the expansion over membership (``sid_chains``: HolderSid,
+    Sid, Path) comes last.
     """
     paths = traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("ResourcePath"))
-    names = principals.select(F.col("ObjectSid").alias("HolderSid"), F.col("NTAccount").alias("_src"))
-    entries = acl.withColumnRenamed("TrusteeSid", "HolderSid").join(paths, RESOURCE_KEYS) \
-        .join(names, "HolderSid", "left").select(
-            *RESOURCE_KEYS, "HolderSid", F.coalesce(F.col("_src"), F.col("HolderSid")).alias("SourceTrusteePath"),
-            "ResourcePath",
-            rights_letters("AllowRights").alias("AllowRightsDescription"),
-            mask_text("AllowRights").alias("AllowMaskDescription"),
-            rights_letters("DenyRights").alias("DenyRightsDescription"),
-            mask_text("DenyRights").alias("DenyMaskDescription"))
-    reach = skew_join(sid_holders, entries, "HolderSid", plan)
-    kind = F.when(F.col("HolderSid") == F.col("MemberSid"), F.lit("Direct")).otherwise(F.lit("Group"))
-    return reach.select(
-        *RESOURCE_KEYS, F.col("MemberSid").alias("Sid"), "SourceTrusteePath", "ResourcePath",
-        kind.alias("PermissionSourceType"), "AllowRightsDescription", "AllowMaskDescription",
-        "DenyRightsDescription", "DenyMaskDescription")
+    entries = acl.withColumnRenamed("TrusteeSid", "HolderSid").join(paths, RESOURCE_KEYS).select(
+        *RESOURCE_KEYS, "HolderSid", "ResourcePath", *permission_texts())
+    reach = skew_join(sid_chains.select("HolderSid", "Sid", "Path"), entries, "HolderSid", plan)
+    return reach.select(*RESOURCE_KEYS, "Sid", *permission_columns())
+
+
+def permission_texts() -> list[Column]:
+    """The letters and mask texts of an ACL entry."""
+    return [f(c).alias(f"{kind}{what}Description") for kind, c in (("Allow", "AllowRights"), ("Deny", "DenyRights"))
+            for what, f in (("Rights", rights_letters), ("Mask", mask_text))]
+
+
+def permission_columns() -> list[Column]:
+    """The answer's columns from an entry that reached (HolderSid, Sid, Path)."""
+    kind = F.when(F.col("HolderSid") == F.col("Sid"), F.lit("Direct")).otherwise(F.lit("Group"))
+    return [F.col("Path").alias("SourceTrusteePath"), F.col("ResourcePath"), kind.alias("PermissionSourceType"),
+            *(F.col(f"{k}{w}Description") for k in ("Allow", "Deny") for w in ("Rights", "Mask"))]

@@ -17,12 +17,12 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantlens.functions.rights import mask_text, rights_letters
+from grantlens.functions.rights import rights_letters
 from grantlens.functions.validate import (check_non_negative, check_positive, check_trustee, normalize_unc,
                                           normalized_unc)
 from grantlens.operators import access
 from grantlens.operators.prefix import prefix_join
-from grantlens.operators.skew import skew_join
+from grantlens.operators.skew import hot_plan, share_for, skew_join
 
 RESOURCE_KEYS = access.RESOURCE_KEYS
 
@@ -88,11 +88,14 @@ def open_shares(traversal: DataFrame, exceptions: DataFrame, within_share: bool
 
 # -- F-3 ---------------------------------------------------------------------
 def _sid_pairs(cat, sids: DataFrame) -> DataFrame:
-    """(HolderSid, sid [, Trustee]): the SID itself plus every group holding it."""
+    """(HolderSid, sid, Path [, Trustee]): each asked SID with itself and every group holding it.
+
+    The walk starts from the asked SIDs; the rest of the directory is not closed.
+    """
     extra = [c for c in sids.columns if c != "sid"]
-    nested = cat.closure.join(sids.withColumnRenamed("sid", "MemberSid"), "MemberSid") \
-        .select(F.col("GroupSid").alias("HolderSid"), F.col("MemberSid").alias("sid"), *extra)
-    return nested.unionByName(sids.select(F.col("sid").alias("HolderSid"), "sid", *extra)).distinct()
+    walked = cat.chains_of(sids.select("sid").distinct())
+    return walked.withColumnRenamed("Sid", "sid").join(sids.select("sid", *extra), "sid") \
+        .select("HolderSid", "sid", "Path", *extra)
 
 
 def _letters(allow: Column, deny: Column) -> list[Column]:
@@ -120,7 +123,8 @@ def trustee_access_batch(cat, requests: DataFrame, levels_down: int = 0, per_res
         # its host/gates, not its raw entry count; and salt such groups.
         acl = acl.join(pairs.select("HolderSid").distinct(), "HolderSid", "left_semi")  # only reached holders
         acl = access.aggregate_acl(acl, ["HolderSid", *keys])
-        reach = skew_join(pairs, acl, "HolderSid", cat.hot_holders)
+        share = share_for(int(cat.spark.conf.get("spark.sql.shuffle.partitions")))
+        reach = skew_join(pairs, acl, "HolderSid", hot_plan(pairs, acl.select("HolderSid"), "HolderSid", min_share=share))
     else:
         # One trustee: its few pairs (broadcast by AQE) cut the ACL first; only
         # the reached entries are aggregated, never the whole ACL.
@@ -183,28 +187,20 @@ def permission_source_batch(cat, requests: DataFrame, ignore_case: bool = False)
 
     The reference joins lookup x trustee SIDs on a constant; here both are
     keyed by the request, so the join is an equi-join on the request id.
-    Paths and source names are joined to the asked resources' entries before
-    the entries meet the trustees' groups, so the expansion comes last.
+    Membership is walked from the asked trustees only; SourceTrusteePath is
+    the chain of names from the trustee to the entry's group.
     """
     req = requests.select("Trustee", "Path").distinct()
     lookup = path_lookup_batch(cat.traversal, req, ignore_case) \
         .select("Path", F.col("NetworkPath").alias("ResourcePath"), *RESOURCE_KEYS)
     pairs = _sid_pairs(cat, access.trustee_sids_batch(cat.principals, cat.local_trustees, req, ignore_case))
-    names = cat.principals.select(F.col("ObjectSid").alias("HolderSid"), F.col("NTAccount").alias("_src"))
     entries = _restrict(cat.acl.withColumnRenamed("TrusteeSid", "HolderSid"), lookup, RESOURCE_KEYS) \
-        .join(names, "HolderSid", "left").join(lookup, RESOURCE_KEYS).join(req, "Path")
-    r = entries.join(pairs, ["Trustee", "HolderSid"])
-    return r.select(
-        "Trustee", "Path",
-        F.coalesce(F.col("_src"), F.col("HolderSid")).alias("SourceTrusteePath"),
-        "ResourcePath",
-        F.when(F.col("HolderSid") == F.col("sid"), F.lit("Direct")).otherwise(F.lit("Group"))
-         .alias("PermissionSourceType"),
-        rights_letters("AllowRights").alias("AllowRightsDescription"),
-        mask_text("AllowRights").alias("AllowMaskDescription"),
-        rights_letters("DenyRights").alias("DenyRightsDescription"),
-        mask_text("DenyRights").alias("DenyMaskDescription"),
-    )
+        .join(lookup, RESOURCE_KEYS).join(req, "Path") \
+        .select("Trustee", "Path", "HolderSid", "ResourcePath", *access.permission_texts())
+    asked = pairs.select("Trustee", "HolderSid", F.col("sid").alias("Sid"), F.col("Path").alias("_chain"))
+    r = entries.withColumnRenamed("Path", "_asked").join(asked, ["Trustee", "HolderSid"])
+    return r.withColumnRenamed("_chain", "Path").select("Trustee", F.col("_asked").alias("AskedPath"), *access.permission_columns()) \
+        .withColumnRenamed("AskedPath", "Path")
 
 
 def permission_source(cat, trustee: str, resource_path: str, ignore_case: bool = False,

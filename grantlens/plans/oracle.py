@@ -128,14 +128,16 @@ SELECT 'S-1-5-21-2-' || CAST(s_suppkey AS VARCHAR) AS SID, 'HOST' || CAST(s_nati
        s_name AS NTName
 FROM supplier""")
 
-view("g_closure", ["g_direct_members"], """
-SELECT GroupSid, MemberSid, CAST(min(depth) AS INTEGER) AS MinNestingLevel FROM g_walk GROUP BY GroupSid, MemberSid""")
-
+# Every chain of groups over a member that does not come back to a group it has; the member itself ends no chain, so a group
+# on a cycle is found as its own member too. Lists run from the member to the holder.
 view("g_walk", ["g_direct_members"], """
-SELECT GroupSid, MemberSid, 1 AS depth FROM g_direct_members
+SELECT MemberSid, GroupSid, [GroupSid] AS chain FROM g_direct_members
 UNION ALL
-SELECT w.GroupSid, d.MemberSid, w.depth + 1 FROM g_walk w JOIN g_direct_members d ON d.GroupSid = w.MemberSid""")
-VIEWS["g_closure"] = (["g_walk"], VIEWS["g_closure"][1])
+SELECT w.MemberSid, d.GroupSid, list_append(w.chain, d.GroupSid) FROM g_walk w JOIN g_direct_members d ON d.MemberSid = w.GroupSid
+WHERE NOT list_contains(w.chain, d.GroupSid)""")
+
+view("g_closure", ["g_walk"], """
+SELECT GroupSid, MemberSid, CAST(min(len(chain)) AS INTEGER) AS MinNestingLevel FROM g_walk GROUP BY GroupSid, MemberSid""")
 
 view("g_acl", ["g_hosts"], """
 SELECT h.HostID, h.GateID, e.ResourceID, e.TrusteeSid, e.AllowRights, e.DenyRights FROM (
@@ -250,10 +252,20 @@ view("g_sids", ["g_principals", "g_local_trustees"], """
 SELECT ObjectSid FROM g_principals UNION SELECT SID FROM g_local_trustees""")
 
 view("g_holders", ["g_closure", "g_sids"], """
-SELECT GroupSid AS HolderSid, MemberSid FROM g_closure
+SELECT GroupSid AS HolderSid, MemberSid FROM g_closure WHERE GroupSid <> MemberSid
 UNION ALL
 SELECT ObjectSid, ObjectSid FROM g_sids""")
 
+# The shortest chain; of equals the one with the smaller SIDs, compared from the holder on.
+view("g_chains", ["g_walk", "g_sids", "g_principals"], """
+SELECT s.HolderSid, s.MemberSid AS sid, string_agg(coalesce(n.NTAccount, s.x), ' < ' ORDER BY s.i) AS path FROM (
+  SELECT HolderSid, MemberSid, unnest(chain) AS x, generate_subscripts(chain, 1) AS i FROM (
+    SELECT GroupSid AS HolderSid, MemberSid, list_prepend(MemberSid, arg_min(chain, {'n': len(chain), 'r': list_reverse(chain)})) AS chain
+    FROM g_walk WHERE GroupSid <> MemberSid GROUP BY GroupSid, MemberSid
+    UNION ALL
+    SELECT ObjectSid, ObjectSid, [ObjectSid] FROM g_sids)) s
+LEFT JOIN g_principals n ON n.ObjectSid = s.x GROUP BY s.HolderSid, s.MemberSid""")
+
 view("g_trustee_names", ["g_closure", "g_principals"], """
 SELECT h.HolderSid AS TrusteeSid, p.NTAccount AS TrusteeNTStyleName FROM (
   SELECT GroupSid AS HolderSid, MemberSid FROM g_closure

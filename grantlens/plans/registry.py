@@ -181,13 +181,13 @@ _MASK = "'0x' || lpad(hex(CAST({m} AS BIGINT) & 4294967295), 8, '0')"
 
 
 def _perm_columns() -> str:
-    return f"""coalesce(pr.NTAccount, ps.HolderSid) AS SourceTrusteePath, t.NetworkPath AS ResourcePath,
+    return f"""ch.path AS SourceTrusteePath, t.NetworkPath AS ResourcePath,
        CASE WHEN ps.HolderSid = ps.sid THEN 'Direct' ELSE 'Group' END AS PermissionSourceType,
        {R('ps.AllowRights')} AS AllowRightsDescription, {_MASK.format(m='ps.AllowRights')} AS AllowMaskDescription,
        {R('ps.DenyRights')} AS DenyRightsDescription, {_MASK.format(m='ps.DenyRights')} AS DenyMaskDescription"""
 
 
-@query("permission_source", W("g_principals", "g_local_trustees", "g_closure", "g_acl", "g_traversal").rstrip()
+@query("permission_source", W("g_principals", "g_local_trustees", "g_closure", "g_acl", "g_traversal", "g_chains").rstrip()
        + "," + _trustee_sid_cte(_sql_text(TRUSTEE)) + f""",
 target AS (SELECT HostID, GateID, ResourceID, NetworkPath FROM g_traversal WHERE NetworkPath = {_sql_text(SHARE_PATH)}),
 ps AS (SELECT x.HostID, x.GateID, x.ResourceID, p.sid, x.TrusteeSid AS HolderSid, x.AllowRights, x.DenyRights
@@ -195,12 +195,12 @@ ps AS (SELECT x.HostID, x.GateID, x.ResourceID, p.sid, x.TrusteeSid AS HolderSid
        WHERE (x.HostID, x.GateID, x.ResourceID) IN (SELECT HostID, GateID, ResourceID FROM target))
 SELECT {_perm_columns()}
 FROM ps JOIN g_traversal t USING (HostID, GateID, ResourceID)
-LEFT JOIN g_principals pr ON pr.ObjectSid = ps.HolderSid""")
+JOIN g_chains ch ON ch.HolderSid = ps.HolderSid AND ch.sid = ps.sid""")
 def q_permission_source(spark, d):
     return fs.permission_source(cat(spark, d), TRUSTEE, SHARE_PATH)
 
 
-@query("permission_source_local_batch", W("g_principals", "g_local_trustees", "g_closure", "g_acl", "g_traversal")
+@query("permission_source_local_batch", W("g_principals", "g_local_trustees", "g_closure", "g_acl", "g_traversal", "g_chains")
        .rstrip() + f""",
 req AS (SELECT DISTINCT l.NTDomain || chr(92) || l.NTName AS Trustee, chr(92) || chr(92) || n.n_name || chr(92) || 'data' AS Plain,
                '//' || n.n_name || '/data/' AS Path
@@ -222,7 +222,7 @@ ps AS (SELECT ri.Trustee, ri.Path, x.HostID, x.GateID, x.ResourceID, p.sid, x.Tr
 SELECT ps.Trustee, ps.Path, {_perm_columns()}
 FROM ps
 JOIN g_traversal t ON t.HostID = ps.HostID AND t.GateID = ps.GateID AND t.ResourceID = ps.ResourceID
-LEFT JOIN g_principals pr ON pr.ObjectSid = ps.HolderSid""")
+JOIN g_chains ch ON ch.HolderSid = ps.HolderSid AND ch.sid = ps.sid""")
 def q_permission_source_local_batch(spark, d):
     c = cat(spark, d)
     n = c.raw("nation").select(F.concat(F.lit("HOST"), F.col("n_nationkey").cast("string")).alias("NTDomain"),
@@ -232,13 +232,13 @@ def q_permission_source_local_batch(spark, d):
     return fs.permission_source_batch(c, req)
 
 
-@query("permission_entries", W("g_acl", "g_holders", "g_traversal", "g_principals") + f"""
+@query("permission_entries", W("g_acl", "g_holders", "g_traversal", "g_chains") + f"""
 SELECT ps.HostID, ps.GateID, ps.ResourceID, ps.sid AS Sid, {_perm_columns()}
 FROM (SELECT x.HostID, x.GateID, x.ResourceID, h.MemberSid AS sid, x.TrusteeSid AS HolderSid, x.AllowRights,
              x.DenyRights
       FROM g_acl x JOIN g_holders h ON x.TrusteeSid = h.HolderSid) ps
 JOIN g_traversal t ON t.HostID = ps.HostID AND t.GateID = ps.GateID AND t.ResourceID = ps.ResourceID
-LEFT JOIN g_principals pr ON pr.ObjectSid = ps.HolderSid""")
+JOIN g_chains ch ON ch.HolderSid = ps.HolderSid AND ch.sid = ps.sid""")
 def q_permission_entries(spark, d):
     return cat(spark, d).permission_entries
 

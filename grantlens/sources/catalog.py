@@ -1,20 +1,22 @@
 """GovernanceCatalog: the governance views of one data directory, built lazily.
 
 Every attribute is a DataFrame plan over the driver's parquet tables. The
-membership closure (an iterative job) and the directory views every access
-question starts from (membership edges, trustee -> principal names) are
-written once per catalog with a reliable checkpoint and reused; everything
-else is planned lazily per query.
+directory views every access question starts from (membership edges, ACL) are
+written once per catalog as Parquet and reused; a question walks membership
+from the trustee or path it asks about. Only the questions about the whole
+directory build its closure. Everything else is planned lazily per query.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grantlens.operators import access
-from grantlens.operators.closure import membership_closure
+from grantlens.operators.closure import group_edges, membership_closure, walk_down, walk_up
 from grantlens.operators.content import content_matches
 from grantlens.operators.skew import hot_plan, share_for
 from grantlens.sources import governance as gov
@@ -59,8 +61,8 @@ class GovernanceCatalog:
         _CATALOGS.pop((spark.sparkContext.applicationId, sf_dir.rstrip("/")), None)
 
     def build_shared(self) -> None:
-        """Write the views that every access question starts from: edges, closure, ACL, trustee names, salt plan."""
-        for name in ("direct_members", "closure", "acl", "trustee_names", "hot_holders"):
+        """Write the views that every access question starts from: the membership edges and the ACL."""
+        for name in ("direct_members", "named_edges", "nested_members", "acl"):
             getattr(self, name)
 
     @classmethod
@@ -76,16 +78,19 @@ class GovernanceCatalog:
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
-    def materialize(self, df: DataFrame) -> DataFrame:
-        """Write a shared view once (reliable checkpoint in spark.checkpoint.dir).
+    def materialize(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a shared view once, as Parquet in the folder of ``spark.checkpoint.dir``, and read it back.
 
-        Used for the directory views every access question starts from
-        (membership edges, trustee -> principal names): the tables a scanner
-        would have filled. Lineage ends at the files, so
-        executor loss re-reads them instead of recomputing the joins.
+        These are the tables a scanner would have filled: membership edges,
+        the ACL, trustee -> principal names. Questions read the columns and
+        row groups they need; lineage ends at the files, so executor loss
+        re-reads them. The files go when the application ends.
         """
-        ensure_checkpoint_dir(self.spark)
-        return df.checkpoint(eager=True)
+        where = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/view-{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(where)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        return self.spark.read.schema(df.schema).parquet(where)
 
     # -- file system --------------------------------------------------------
     @cached_property
@@ -96,7 +101,10 @@ class GovernanceCatalog:
     def acl(self) -> DataFrame:
         # Written once: every access question starts from it, and deriving it
         # repeats a lineitem scan and an orders join per question.
-        return self.materialize(gov.acl(self.raw("lineitem"), self.raw("orders"), self.raw("nation")))
+        # In order of the resource, so one resource's entries lie in few row groups.
+        acl = gov.acl(self.raw("lineitem"), self.raw("orders"), self.raw("nation"))
+        order = ["HostID", "GateID", "ResourceID"]
+        return self.materialize(acl.repartitionByRange(*order).sortWithinPartitions(*order), "acl")
 
     @cached_property
     def fs_exceptions(self) -> DataFrame:
@@ -125,7 +133,20 @@ class GovernanceCatalog:
 
     @cached_property
     def direct_members(self) -> DataFrame:
-        return self.materialize(gov.direct_members(self.raw("lineitem"), self.raw("orders"), self.raw("supplier")))
+        return self.materialize(gov.direct_members(self.raw("lineitem"), self.raw("orders"), self.raw("supplier")), "members")
+
+    @cached_property
+    def named_edges(self) -> DataFrame:
+        """(GroupSid, MemberSid, GroupName): the direct memberships with the group's name (its SID if it has none)."""
+        names = self.principals.select(F.col("ObjectSid").alias("GroupSid"), "NTAccount")
+        names = names.groupBy("GroupSid").agg(F.min("NTAccount").alias("NTAccount"))
+        named = self.direct_members.join(names, "GroupSid", "left")
+        return self.materialize(named.select("GroupSid", "MemberSid", F.coalesce("NTAccount", "GroupSid").alias("GroupName")), "edges")
+
+    @cached_property
+    def nested_members(self) -> DataFrame:
+        """The memberships of groups in groups."""
+        return self.materialize(group_edges(self.direct_members), "nested")
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -187,7 +208,18 @@ class GovernanceCatalog:
 
     @cached_property
     def trustee_names(self) -> DataFrame:
-        return self.materialize(access.trustee_names(self.closure, self.principals))
+        return self.materialize(access.trustee_names(self.closure, self.principals), "names")
+
+    def chains_of(self, sids: DataFrame) -> DataFrame:
+        """(HolderSid, Sid, Depth, Path) of some SIDs (column sid): themselves and the groups holding them."""
+        names = self.principals.select(F.col("ObjectSid").alias("sid"), "NTAccount")
+        seeds = sids.join(names, "sid", "left").select(F.col("sid").alias("Sid"), F.coalesce("NTAccount", "sid").alias("Path"))
+        return walk_up(self.named_edges, seeds)
+
+    @cached_property
+    def sid_chains(self) -> DataFrame:
+        """The chains of every SID."""
+        return self.materialize(self.chains_of(self.sids.select(F.col("ObjectSid").alias("sid"))), "chains")
 
     @cached_property
     def hot_holders(self) -> dict:
@@ -205,11 +237,12 @@ class GovernanceCatalog:
         return access.effective_access(self.acl, self.trustee_names, self.hot_holders)
 
     def effective_access_for(self, acl_subset: DataFrame) -> DataFrame:
-        # A restricted ACL (one path or a few) is small: only split the membership
-        # side of hot SIDs and replicate the few ACL rows, never the reverse
-        # (the two-sided plan was decided on the full ACL).
-        split_members = {k: n for k, n in self.hot_holders.items() if n > 0}
-        return access.effective_access(acl_subset, self.trustee_names, split_members)
+        """Effective access on some ACL entries: membership is walked down from their trustees only."""
+        holders = acl_subset.select(F.col("TrusteeSid").alias("HolderSid")).distinct()
+        members = walk_down(self.direct_members, self.nested_members, holders)
+        names = self.principals.select(F.col("ObjectSid").alias("MemberSid"), F.col("NTAccount").alias("TrusteeNTStyleName"))
+        reached = members.join(names, "MemberSid").select(F.col("HolderSid").alias("TrusteeSid"), "TrusteeNTStyleName")
+        return access.effective_access(acl_subset, reached, {})
 
     @cached_property
     def trustee_share_access(self) -> DataFrame:
@@ -217,5 +250,4 @@ class GovernanceCatalog:
 
     @cached_property
     def permission_entries(self) -> DataFrame:
-        return access.permission_entries(self.acl, self.sid_holders, self.traversal, self.principals,
-                                         self.hot_holders)
+        return access.permission_entries(self.acl, self.sid_chains, self.traversal, self.hot_holders)

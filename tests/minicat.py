@@ -40,6 +40,7 @@ def mini_catalog(spark) -> GovernanceCatalog:
         "NTAccount", "CASE WHEN NTAccount = 'CORP\\\\carol' THEN 1 ELSE 0 END AS IsDeleted")
     closure = spark.createDataFrame([("S-g1", m, 1) for m in ["S-u1", "S-u2", "S-u3", "S-u4"]],
                                     "GroupSid string, MemberSid string, MinNestingLevel int")
+    members = closure.select("GroupSid", "MemberSid")
     acl = spark.createDataFrame([
         (1, 0, 1, "S-g1", 3, 0),      # staff: R W on the share
         (1, 0, 1, "S-u2", 0, 1),      # bob: deny R -> effective W
@@ -55,5 +56,5 @@ def mini_catalog(spark) -> GovernanceCatalog:
     exceptions = spark.createDataFrame([(5, 0, 7, 1), (6, 0, 7, 1), (1, 0, 3, 1), (1, 0, 4, 2)],
                                        "HostID int, GateID int, ResourceID long, ParentType int")
     return GovernanceCatalog(spark, None, traversal=traversal, principals=principals, users=users,
-                             closure=closure, acl=acl, daily_activity=activity, local_trustees=local,
+                             closure=closure, direct_members=members, acl=acl, daily_activity=activity, local_trustees=local,
                              fs_exceptions=exceptions)

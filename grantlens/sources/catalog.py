@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from grantlens.operators import access
 from grantlens.operators.closure import group_edges, membership_closure, walk_down, walk_up
 from grantlens.operators.content import content_matches
+from grantlens.operators.reach import GroupLabels
 from grantlens.operators.skew import hot_plan, share_for
 from grantlens.sources import governance as gov
 from grantlens.sources.raw import read_table
@@ -171,6 +172,11 @@ class GovernanceCatalog:
         share = share_for(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         return membership_closure(self.direct_members, min_share=share)
 
+    @cached_property
+    def group_labels(self) -> GroupLabels:
+        """Numbers and intervals of the groups, for yes-or-no questions about membership."""
+        return GroupLabels(self.direct_members, self.nested_members)
+
     @cached_property
     def ad_permissions(self) -> DataFrame:
         return gov.ad_permissions(self.raw("lineitem"), self.raw("supplier"))

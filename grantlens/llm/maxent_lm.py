@@ -33,7 +33,7 @@ ROWS_BITS = 15
 WORD_BITS = 16
 FEATURES = 4
 HEAD = 1 << 19  # words whose counts are sent to the tasks (8 MB), whatever the input
-BATCH = 1 << 13
+BATCH = 1 << 12
 RATE = 0.25
 FLUSH = 1 << 22
 PART_ROWS = 1 << 10
@@ -88,7 +88,8 @@ def word_groups(h: np.ndarray, lead: np.ndarray, rank: np.ndarray) -> np.ndarray
 
 
 def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(logits less their maximum, their exponentials, the sums of these)"""
+    """(logits less a maximum, their exponentials, the sums of these). One maximum serves the batch; where that leaves a row
+    without any exponential, each row takes its own."""
     rows = rows.astype(np.intp)
     z = np.take(weights, rows[0], axis=0)
     z += bias
@@ -96,9 +97,15 @@ def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np
     for r in rows[1:]:
         np.take(weights, r, axis=0, out=one, mode="clip")
         z += one
-    z -= z.max(axis=1, keepdims=True)
+    z -= z.max(initial=-np.inf)
     e = np.exp(z, out=one)
-    return z, e, e.sum(axis=1)
+    ones = np.ones(z.shape[1], z.dtype)
+    total = e @ ones
+    if len(total) and total.min() < 1e-30:
+        z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z, out=one)
+        total = e @ ones
+    return z, e, total
 
 
 def log_choice(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:

@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantlens.operators import checks, directory, filesystem as fs
+from grantlens.operators.closure import membership_closure
+from grantlens.operators.maintain import edge_changes, update_closure
 from grantlens.plans.oracle import rights_sql as R
 from grantlens.plans.oracle import with_views as W
+from grantlens.sources import governance as gov
 from grantlens.sources.catalog import GovernanceCatalog
 
 # Parameters of the single-entity queries (a user with group access at sf0.01
@@ -410,6 +413,26 @@ def q_resource_access_ignore_case(spark, d):
 
 
 # ---------------------------------------------------------------- G-1, A-1
+_SCAN_AFTER = """WITH RECURSIVE g_new AS (
+  SELECT 'S-1-5-21-2-' || CAST(l_suppkey AS VARCHAR) AS GroupSid, 'S-1-5-21-1-' || CAST(o_custkey AS VARCHAR) AS MemberSid
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 7 AND l_quantity > 45 AND l_returnflag <> 'A'
+  UNION
+  SELECT 'S-1-5-21-2-' || CAST(s_suppkey // 3 AS VARCHAR), 'S-1-5-21-2-' || CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey > 0 AND s_nationkey <> 1),
+walk AS (SELECT GroupSid, MemberSid, 1 AS depth FROM g_new UNION SELECT w.GroupSid, n.MemberSid, depth + 1 FROM walk w JOIN g_new n ON n.GroupSid = w.MemberSid WHERE depth < 40)
+SELECT GroupSid, MemberSid, CAST(min(depth) AS INTEGER) AS MinNestingLevel FROM walk GROUP BY GroupSid, MemberSid"""
+
+
+@query("membership_after_scan", _SCAN_AFTER)
+def q_membership_after_scan(spark, d):
+    """The closure of a first scan (no returned lines, no suppliers of nation 0), brought up to a second (no accepted lines,
+    no suppliers of nation 1)."""
+    c = cat(spark, d)
+    scans = [gov.direct_members(c.raw("lineitem").filter(F.col("l_returnflag") != flag), c.raw("orders"), c.raw("supplier").filter(F.col("s_nationkey") != nation))
+             for flag, nation in (("R", 0), ("A", 1))]
+    before, after = (c.materialize(x, "scan") for x in scans)
+    return update_closure(membership_closure(before), after, *edge_changes(before, after))[0]
+
+
 @query("membership_reaches", W("g_closure") + """
 SELECT GroupSid, MemberSid, EXISTS (SELECT 1 FROM g_closure c WHERE c.GroupSid = r.GroupSid AND c.MemberSid = r.MemberSid) AS Reaches
 FROM (SELECT DISTINCT 'S-1-5-21-2-' || CAST(l_suppkey AS VARCHAR) AS GroupSid, 'S-1-5-21-1-' || CAST(o_custkey AS VARCHAR) AS MemberSid

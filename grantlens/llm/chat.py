@@ -67,7 +67,8 @@ def format_conversations(rows: DataFrame, template: ChatTemplate = ChatTemplate(
 
 
 def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """(conv_id, turns (array of role, text), loss_text, formatted) recovered from ``formatted`` and ``segments``."""
+    """(conv_id, turns (array of role, text), loss_text, formatted) recovered from ``formatted`` and ``segments``, with the
+    ``state`` and ``valid`` of the formatting."""
     t = template
     parts = F.split("formatted", t.tail, -1)
     parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
@@ -77,7 +78,7 @@ def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) ->
         return F.struct(_unescape(F.substr(role, F.lit(len(t.head) + 1)), t).alias("role"), _unescape(F.substr(p, F.length(role) + len(t.colon) + 1), t).alias("text"))
 
     masked = F.array_join(F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: x["text"]), "")
-    return formatted.select("conv_id", F.transform(parts, turn).alias("turns"), _unescape(masked, t).alias("loss_text"), "formatted")
+    return formatted.select("conv_id", F.transform(parts, turn).alias("turns"), _unescape(masked, t).alias("loss_text"), "formatted", "state", "valid")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"),
-        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "state", "valid")
 
 
 ORACLE_SQL = r"""
@@ -96,9 +97,11 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
 ), e AS (
-  SELECT *, length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) + length('### :  </turn>.') AS n FROM t
+  SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), 'start') || '>' || role IN
+    ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user', 'assistant>tool', 'tool>assistant') AS allowed, length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) + length('### :  </turn>.') AS n FROM t
 )
-SELECT conv_id, count(*) AS n_turns,
+SELECT conv_id, count(*) AS n_turns, CASE WHEN bool_and(allowed) THEN last(role ORDER BY turn NULLS FIRST, role, text) ELSE 'error' END AS state,
+  coalesce(bool_and(allowed) AND last(role ORDER BY turn NULLS FIRST, role, text) = 'assistant', false) AS valid,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,

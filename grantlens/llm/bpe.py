@@ -28,7 +28,7 @@ from .textblocks import blocks
 LEXICON = 1 << 16  # words in the automaton, whatever the input
 COUNT_BYTES = 1 << 22  # bytes of text over which a task counts words before it sends them
 SEEN = 3  # occurrences within that which make a word worth sending
-CACHE_BYTES = 1 << 24  # of words and ids that a task keeps resolved
+CACHE_BYTES = 1 << 26  # of words and ids that a task keeps resolved
 ENTRY = 200  # bytes that a kept word costs besides its own and its ids
 # Fixed value: the word pattern that the byte-level vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -232,7 +232,7 @@ class Transducer:
     @classmethod
     def mapped(cls, path: str) -> Transducer:
         """The file's arrays, memory-mapped: workers of one machine share its pages."""
-        whole = np.memmap(path, np.int64, "r")
+        whole = np.asarray(np.memmap(path, np.int64, "r"))
         sizes, at, arrays = whole[: len(cls.NAMES)], len(cls.NAMES), {}
         for name, size in zip(cls.NAMES, sizes, strict=True):
             arrays[name] = whole[at : at + int(size)]
@@ -326,8 +326,10 @@ class Coder:
         raw = [w.encode() for w in new]
         first, ids = self.lexicon.first, self.lexicon.ids
         numbers = self.lexicon.numbers(raw)
-        for i in np.flatnonzero(numbers >= 0).tolist():
-            self.ids[new[i]] = ids[first[numbers[i]] : first[numbers[i] + 1]].astype(np.int32).tobytes()
+        known = np.flatnonzero(numbers >= 0)
+        at = numbers[known]
+        for i, a, b in zip(known.tolist(), first[at].tolist(), first[at + 1].tolist(), strict=True):
+            self.ids[new[i]] = ids[a:b].astype(np.int32).tobytes()
         unseen = np.flatnonzero(numbers < 0).tolist()
         for i, found in zip(unseen, self.vocabulary.merge_many([raw[i] for i in unseen]), strict=True):
             self.ids[new[i]] = np.array(found, np.int32).tobytes()
@@ -375,7 +377,7 @@ def _encode(vocabulary, name: str, digest: bool):
                     values = pa.array(np.frombuffer(b"".join(flat), np.int32))
                     yield pa.RecordBatch.from_arrays([ids_of, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], names=["doc_id", "ids"])
                     continue
-                if held > CACHE_BYTES:
+                if held > 2 * CACHE_BYTES:
                     shown, back, held = {}, {}, 0
                 for w in set().union(*words).difference(shown):
                     found = np.frombuffer(coder.ids[w], np.int32).tolist()

@@ -23,6 +23,7 @@ from grantlens.functions.validate import (check_non_negative, check_positive, ch
 from grantlens.operators import access
 from grantlens.operators.prefix import prefix_join
 from grantlens.operators.skew import hot_plan, share_for, skew_join
+from grantlens.operators.tree import PathTree
 
 RESOURCE_KEYS = access.RESOURCE_KEYS
 
@@ -56,19 +57,24 @@ def sensitive_data(matches: DataFrame, traversal: DataFrame) -> DataFrame:
 
 
 # -- F-2 ---------------------------------------------------------------------
-def open_shares(traversal: DataFrame, exceptions: DataFrame, within_share: bool = False) -> DataFrame:
+def open_shares(traversal: DataFrame, exceptions: DataFrame, within_share: bool = False,
+                tree: PathTree | None = None) -> DataFrame:
     """Get-OpenShares: per share path, the distinct flagged resources (ParentType 1).
 
     Default keeps the reference's host/gate-wide count; ``within_share``
     counts only resources whose path lies strictly below the share.
     Flagged resources are counted once per (host, gate); a share path on one
     host/gate takes that count. Only paths that several host/gates have need
-    the distinct over their resources.
+    the distinct over their resources. With ``tree`` (the interval labels of
+    the traversal's shares) containment compares numbers instead of paths.
     """
     shares = traversal.filter((F.col("NestedLevel") == 0) & (F.col("ResourceType") == 2)) \
         .select("NetworkPath", "HostID", "GateID").distinct()
     flagged = exceptions.filter(F.col("ParentType") == 1).select(*RESOURCE_KEYS).distinct()
-    if within_share:
+    if within_share and tree is not None:
+        j = tree.inside("below", flagged, shares)
+        counts = j.groupBy("NetworkPath").agg(F.countDistinct("ResourceID").alias("_n"))
+    elif within_share:
         # containment as an equi-join on path cuts (see prefix.py), then drop the share root itself
         paths = traversal.select(*RESOURCE_KEYS, F.col("NetworkPath").alias("_rp"))
         j = prefix_join(flagged.join(paths, RESOURCE_KEYS), "_rp", shares, "NetworkPath", ["HostID", "GateID"],
@@ -221,9 +227,12 @@ def _as_of_literal(as_of: datetime | str | None) -> Column:
 
 
 def unused_access_batch(cat, shares: DataFrame, days_inactive: int = 90, as_of=None,
-                        strict_prefix: bool = False) -> DataFrame:
+                        strict_prefix: bool = False, tree: PathTree | None = None) -> DataFrame:
     """Get-UnusedAccess for target share rows (``shares``: Path + traversal columns).
 
+    ``tree``: interval labels that cover these shares (``cat.path_tree`` has all
+    share roots); without it folder paths are cut at the shares' lengths.
+
     LastActivity: activity on the share's host/gate whose folder path starts
     with the share path (no separator unless ``strict_prefix``; the reference
     lets ``\\\\h\\data`` claim ``\\\\h\\data2``), MAX(ActivityDate) per user.
@@ -238,10 +247,15 @@ def unused_access_batch(cat, shares: DataFrame, days_inactive: int = 90, as_of=N
     # Which folders lie in which share is settled on the traversal alone, once;
     # activity then meets it on the folder's own key.
     host_keys = ["HostID", "GateID"]
-    folders = _restrict(cat.traversal.select(*host_keys, F.col("ResourceID").alias("FolderID"),
-                                             F.col("NetworkPath").alias("FolderPath")), roots, host_keys)
-    inside = prefix_join(folders, "FolderPath", roots.select("Path", *host_keys, "SharePath"), "SharePath", host_keys,
-                         strict=strict_prefix).select("Path", *host_keys, "FolderID").distinct()
+    if tree is None:
+        folders = _restrict(cat.traversal.select(*host_keys, F.col("ResourceID").alias("FolderID"),
+                                                 F.col("NetworkPath").alias("FolderPath")), roots, host_keys)
+        inside = prefix_join(folders, "FolderPath", roots.select("Path", *host_keys, "SharePath"), "SharePath", host_keys,
+                             strict=strict_prefix)
+    else:
+        asked = roots.select("Path", *host_keys, F.col("SharePath").alias("NetworkPath")).distinct()
+        inside = tree.inside("strict" if strict_prefix else "prefix", shares=asked).withColumnRenamed("ResourceID", "FolderID")
+    inside = inside.select("Path", *host_keys, "FolderID").distinct()
     # Only the last day per (folder, user) matters: fold the daily rows first
     # (partial aggregation, no hot-user rows in the join).
     act = cat.daily_activity.groupBy(*host_keys, "FolderID", "UserNTStyleName") \

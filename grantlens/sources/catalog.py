@@ -20,6 +20,7 @@ from grantlens.operators.closure import group_edges, membership_closure, walk_do
 from grantlens.operators.content import content_matches
 from grantlens.operators.reach import GroupLabels
 from grantlens.operators.skew import hot_plan, share_for
+from grantlens.operators.tree import PathTree
 from grantlens.sources import governance as gov
 from grantlens.sources.raw import read_table
 from grantlens.session import ensure_checkpoint_dir
@@ -98,6 +99,11 @@ class GovernanceCatalog:
     def traversal(self) -> DataFrame:
         return gov.traversal(self.raw("part"), self.raw("nation"))
 
+    @cached_property
+    def path_tree(self) -> PathTree:
+        """Interval labels of all shares, for questions about many of them."""
+        return PathTree(self.traversal, self.traversal.filter("NestedLevel = 0"), self.materialize)
+
     @cached_property
     def acl(self) -> DataFrame:
         # Written once: every access question starts from it, and deriving it

@@ -7,9 +7,8 @@ itself and what lies below its separator), of which those from ``Below`` on
 are not the share itself, or ``Lo`` to ``HiPlain`` - 1 (every path that starts
 with the share's text). Paths are not cut.
 
-The order is a range-partitioned sort, so a share with a third of all folders
-is spread over many tasks; places are counted inside a task and moved by the
-sizes of the tasks before it. Containment then cuts the *places* into chunks
+The order is a range-partitioned sort (numbering.py), so a share with a third
+of all folders is spread over many tasks. Containment then cuts the *places* into chunks
 of ``CHUNK``: a share has one row per chunk it reaches, a path is in one
 chunk, and both meet on the chunk's number. A chunk holds ``CHUNK`` paths at
 most whatever the share's size, so no key of the join is hot, and a path
@@ -21,9 +20,11 @@ different places inside the same shares; a share path given twice is one share.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grantlens.operators.numbering import numbered
+
 CHUNK = 1024
 # What is added to a share's key to get the borders of its intervals; no UTF-8 text holds the byte FF.
 BORDERS = {"Lo": b"", "Below": b"\0\0", "Hi": b"\0\0\xff", "HiPlain": b"\xff"}
@@ -57,16 +58,7 @@ class PathTree:
         edges = asked.select(*self.keys, F.col(path_col).alias("_share"), F.inline(marks)) \
             .withColumnRenamed("_at", "_key").withColumn("_node", F.lit(0))
         order = [*self.keys, "_key", "_node", id_col]  # marks come before a node of the same path
-        # Written before it is counted: the tasks' numbers and sizes must not change when a lost one runs again.
-        events = materialize(places.unionByName(edges, allowMissingColumns=True).repartitionByRange(*order)
-                             .withColumn("_task", F.spark_partition_id()), "tree-order")
-        # One row per task of the sort.
-        sizes = events.groupBy("_task").agg(F.sum("_node").alias("_size"))
-        before = sizes.select("_task", F.coalesce(F.sum("_size").over(
-            Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-        inside = Window.partitionBy("_task").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        counted = events.join(F.broadcast(before), "_task") \
-            .withColumn("Pre", F.col("_before") + F.coalesce(F.sum("_node").over(inside), F.lit(0)))
+        counted = numbered(places.unionByName(edges, allowMissingColumns=True), order, "Pre", materialize, "tree-order", weight="_node")
         self.places = materialize(counted.filter("_node = 1").select(*self.keys, id_col, "Pre"), "tree-places")
         self.intervals = materialize(
             counted.filter("_node = 0").groupBy(*self.keys, F.col("_share").alias(path_col))

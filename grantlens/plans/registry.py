@@ -279,6 +279,16 @@ def q_resource_access_all_shares(spark, d):
     return fs.resource_access_batch(c, fs.share_roots(c.traversal))
 
 
+@query("effective_access_counts", W("g_effective_access") + """
+SELECT HostID, GateID, ResourceID, r.letter AS "Right", count(*) AS Principals
+FROM g_effective_access, (VALUES ('R', 1), ('W', 2), ('D', 4), ('L', 32), ('M', 8), ('A', 16)) r(letter, bit)
+WHERE (AllowRights & r.bit) <> 0 GROUP BY ALL""")
+def q_effective_access_counts(spark, d):
+    """How many principals hold each right on each resource, from bitmaps."""
+    c = cat(spark, d)
+    return c.principal_sets.counts(c.acl)
+
+
 @query("effective_access", W("g_effective_access") + "SELECT * FROM g_effective_access")
 def q_effective_access(spark, d):
     return cat(spark, d).effective_access

@@ -19,6 +19,7 @@ from grantlens.operators import access
 from grantlens.operators.closure import group_edges, membership_closure, walk_down, walk_up
 from grantlens.operators.content import content_matches
 from grantlens.operators.reach import GroupLabels
+from grantlens.operators.sets import PrincipalSets
 from grantlens.operators.skew import hot_plan, share_for
 from grantlens.operators.tree import PathTree
 from grantlens.sources import governance as gov
@@ -248,6 +249,11 @@ class GovernanceCatalog:
     def effective_access(self) -> DataFrame:
         return access.effective_access(self.acl, self.trustee_names, self.hot_holders)
 
+    @cached_property
+    def principal_sets(self) -> PrincipalSets:
+        """The principals behind every trustee, as bitmaps."""
+        return PrincipalSets(self.trustee_names, self.materialize)
+
     def effective_access_for(self, acl_subset: DataFrame) -> DataFrame:
         """Effective access on some ACL entries: membership is walked down from their trustees only."""
         holders = acl_subset.select(F.col("TrusteeSid").alias("HolderSid")).distinct()

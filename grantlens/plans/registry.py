@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from datetime import date, datetime
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantlens.operators import checks, directory, filesystem as fs
 from grantlens.operators.closure import membership_closure
+from grantlens.operators.keys import candidate_keys
 from grantlens.operators.maintain import edge_changes, update_closure
 from grantlens.plans.oracle import rights_sql as R
 from grantlens.plans.oracle import with_views as W
@@ -660,6 +662,39 @@ def q_primary_key_check(spark, d):
     return reduce(DataFrame.unionByName, [checks.primary_key_check(c.raw(t), t, k) for t, k in PK_CHECKS])
 
 
+# Column names of the driver tables whose keys are searched.
+KEYED = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label", "pages": "page_id url html", "benchmark": "item_id text",
+    "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+
+
+def _keys_sql(width: int = 3) -> str:
+    """Every combination counted, then those without a smaller key among them."""
+    tries = []
+    for table, names in KEYED.items():
+        cols = names.split()
+        for k in range(1, width + 1):
+            for c in combinations(cols, k):
+                full = " AND ".join(f"count({x}) = count(*)" for x in c)
+                tries.append(f"SELECT '{table}' AS t, {list(c)!r} AS c FROM {table} HAVING {full} AND count(DISTINCT ({', '.join(c)})) = count(*)")
+    return "WITH k AS (" + "\nUNION ALL ".join(tries) + """)
+SELECT t AS table_name, array_to_string(c, ',') AS key_columns, CAST(len(c) AS INTEGER) AS n_columns FROM k
+WHERE NOT EXISTS (SELECT 1 FROM k s WHERE s.t = k.t AND len(s.c) < len(k.c) AND list_has_all(k.c, s.c))"""
+
+
+@query("candidate_keys", _keys_sql())
+def q_candidate_keys(spark, d):
+    c = cat(spark, d)
+    return reduce(DataFrame.unionByName, [candidate_keys(c.raw(t).select(*names.split()), t) for t, names in KEYED.items()])
+
+
 FK_CHECKS = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"),
              ("events", "user_id", "customer", "c_custkey"), ("documents", "doc_id", "labels", "doc_id"),
              ("lineitem", "l_orderkey,l_partkey", "lineitem", "l_orderkey,l_suppkey")]

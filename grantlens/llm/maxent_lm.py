@@ -35,6 +35,7 @@ FEATURES = 4
 HEAD = 1 << 19  # words whose counts are sent to the tasks (8 MB), whatever the input
 BATCH = 1 << 12
 RATE = 0.25
+ROUNDS = 16
 FLUSH = 1 << 22
 PART_ROWS = 1 << 10
 ADD = 0.1
@@ -87,16 +88,27 @@ def word_groups(h: np.ndarray, lead: np.ndarray, rank: np.ndarray) -> np.ndarray
     return out
 
 
-def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _kept(room: dict, name: str, rows: int, like: np.ndarray) -> np.ndarray:
+    """``rows`` rows of a buffer that minibatches use again: new memory for each costs more than the arithmetic."""
+    if name not in room or len(room[name]) < rows:
+        room[name] = np.empty((rows, like.shape[1]), like.dtype)
+    return room[name][:rows]
+
+
+def _taken(room: dict, name: str, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.take(table, at, axis=0, out=_kept(room, name, len(at), table), mode="clip")
+
+
+def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, room: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(logits less a maximum, their exponentials, the sums of these). One maximum serves the batch; where that leaves a row
-    without any exponential, each row takes its own."""
+    without any exponential, each row takes its own. The first two lie in ``room`` until its next use."""
+    room = {} if room is None else room
     rows = rows.astype(np.intp)
-    z = np.take(weights, rows[0], axis=0)
+    z = _taken(room, "logits", weights, rows[0])
     z += bias
-    one = np.empty_like(z)
     for r in rows[1:]:
-        np.take(weights, r, axis=0, out=one, mode="clip")
-        z += one
+        z += _taken(room, "one", weights, r)
+    one = _kept(room, "one", len(z), weights)
     z -= z.max(initial=-np.inf)
     e = np.exp(z, out=one)
     ones = np.ones(z.shape[1], z.dtype)
@@ -108,35 +120,55 @@ def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np
     return z, e, total
 
 
-def log_choice(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-    z, _, total = softmax(weights, bias, rows)
+def log_choice(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray, room: dict | None = None) -> np.ndarray:
+    z, _, total = softmax(weights, bias, rows, room)
     return z[np.arange(len(target)), target] - np.log(total)
 
 
-def learn(w: np.ndarray, g: np.ndarray, seen: np.ndarray, rows: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+def learn(w: np.ndarray, g: np.ndarray, seen: np.ndarray, rows: np.ndarray, bias: np.ndarray, target: np.ndarray, room: dict | None = None) -> np.ndarray:
     """One AdaGrad step on the rows of a minibatch, with one rate for each row of the table (``g`` sums the rows' mean
-    squared slopes); gives the slopes of the logits. All features share the table, so one order and one sum serve them."""
-    _, e, total = softmax(w, bias, rows)
+    squared slopes); gives the slopes of the logits, which lie in ``room``. All features share the table, so one order
+    serves them."""
+    room = {} if room is None else room
+    _, e, total = softmax(w, bias, rows, room)
     e /= total[:, None]
     e[np.arange(len(target)), target] -= 1
     flat = rows.ravel()  # uint16: ordered by counting
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    at, n = ordered[first].astype(np.intp), np.diff(np.append(first, len(order)))
+    n = np.diff(np.append(first, len(order)))
     token = order % len(target)
-    # Most rows of a minibatch stand once in it: they need no sum.
     once = n == 1
-    slope = np.empty((len(at), w.shape[1]), np.float32)
-    slope[once] = np.take(e, token[first[once]], axis=0)
+
+    def step(at: np.ndarray, slope: np.ndarray, square: np.ndarray, times) -> None:
+        now = g[at] + square
+        g[at] = now
+        slope *= (RATE / np.sqrt(now))[:, None]
+        after = _taken(room, "after", w, at)
+        after -= slope
+        w[at] = after
+        seen[at] += times
+
+    # Most rows of a minibatch stand once in it: they need no sum, and a token's squares serve all its rows.
+    single = first[once]
+    square = np.einsum("ij,ij->i", e, e) / w.dtype.type(w.shape[1])
+    step(ordered[single].astype(np.intp), _taken(room, "slope", e, token[single]), square[token[single]], 1)
     if not once.all():
-        more = n[~once]
-        edges = np.cumsum(more) - more
-        slope[~once] = np.add.reduceat(np.take(e, token[np.repeat(~once, n)], axis=0), edges, axis=0)
-    g[at] += np.einsum("ij,ij->i", slope, slope) / w.shape[1]
-    slope *= (RATE / np.sqrt(g[at]))[:, None]
-    w[at] -= slope
-    seen[at] += n
+        # The others by their number, the most frequent first: each round adds the next place of those that have one, and
+        # rows with more than ROUNDS places get the rest as one product.
+        more = np.flatnonzero(~once)
+        more = more[np.argsort(-n[more], kind="stable")]
+        start, times = first[more], n[more]
+        slope = _taken(room, "slope", e, token[start])
+        for j in range(1, min(ROUNDS, int(times[0]))):
+            some = int(np.searchsorted(-times, -j))  # rows with more than j places
+            slope[:some] += _taken(room, "next", e, token[start[:some] + j])
+        for k in range(int(np.searchsorted(-times, -ROUNDS))):
+            rest = token[start[k] + ROUNDS : start[k] + times[k]]
+            slope[k] += np.ones(len(rest), e.dtype) @ _taken(room, "next", e, rest)
+        square = np.einsum("ij,ij->i", slope, slope) / w.dtype.type(w.shape[1])
+        step(ordered[start].astype(np.intp), slope, square, times)
     return e
 
 
@@ -193,7 +225,7 @@ def _train(model):
         size, words = 1 << ROWS_BITS, 1 << WORD_BITS
         w, g = np.zeros((size + words, CLASSES), np.float32), np.full(size + words, 1e-6, np.float32)
         bias, gb = np.zeros(CLASSES, np.float32), np.full(CLASSES, 1e-6, np.float32)
-        seen, steps = np.zeros(size + words, np.int64), 0
+        seen, steps, room = np.zeros(size + words, np.int64), 0, {}
         for batch in batches:
             for block in blocks(batch.column(0)):
                 h, kind, bounds = tokens(block)
@@ -203,12 +235,12 @@ def _train(model):
                 rows, inner = context_rows(found), word_rows(found, target)
                 for a in range(0, len(h), BATCH):
                     t = target[a : a + BATCH]
-                    slope = learn(w[:size], g[:size], seen[:size], rows[:, a : a + BATCH], bias, t).sum(0)
+                    slope = learn(w[:size], g[:size], seen[:size], rows[:, a : a + BATCH], bias, t, room).sum(0)
                     gb += slope * slope
                     bias -= RATE * slope / np.sqrt(gb)
                     word = np.flatnonzero(t < CLASSES - 1) + a  # the end is alone in its class
                     if len(word):
-                        learn(w[size:], g[size:], seen[size:], inner[:, word], m["prior"][target[word]], group[word])
+                        learn(w[size:], g[size:], seen[size:], inner[:, word], _taken(room, "prior", m["prior"], target[word]), group[word], room)
                     steps += len(t)
         parts, values, counts = [], [], []
         for p in range(0, size + words, PART_ROWS):
@@ -245,6 +277,7 @@ def _score(model):
         head, logs = m["head"], m["log_count"]
         bits = np.zeros(1 << 22, bool)
         bits[(head >> U(42)).astype(np.int64)] = True
+        room: dict = {}
         for batch in batches:
             n = batch.num_rows
             size, known, base, more = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
@@ -257,7 +290,7 @@ def _score(model):
                 p = np.empty(len(h))
                 for a in range(0, len(h), BATCH):
                     t, k = target[a : a + BATCH], group[a : a + BATCH]
-                    p[a : a + BATCH] = log_choice(m["weights"], m["bias"], rows[:, a : a + BATCH], t) + log_choice(m["words"], m["prior"][t], inner[:, a : a + BATCH], k)
+                    p[a : a + BATCH] = log_choice(m["weights"], m["bias"], rows[:, a : a + BATCH], t, room) + log_choice(m["words"], _taken(room, "prior", m["prior"], t), inner[:, a : a + BATCH], k, room)
                 p = p / np.log(10) - m["log_group"][target, group]
                 found = bits[(h >> U(42)).astype(np.int64)]
                 at = np.flatnonzero(found)

@@ -10,16 +10,26 @@ exactly:
 * no column in it follows from the others: if X and X with c have the same
   number of distinct values, c adds nothing to any combination holding X.
 
-The combinations of one level are counted in one job. A row becomes one pair
-of 64-bit hashes per combination; repeated pairs collapse in the task before
-the shuffle, so a value that a third of all rows hold is one pair per task.
-Only counts per combination reach the driver.
+What is left is settled over all rows, from two 64-bit hashes per column:
+
+* single columns are counted; repeated values collapse in the task before the
+  shuffle, so a value that a third of all rows hold is one pair per task;
+* of wider ones, two rows that agree prove that a combination is no key. Every
+  task looks for such rows among its own, so most combinations never reach a
+  shuffle;
+* a combination that no task refutes is counted: among the rows that share
+  their values of a counted part, where these are few (all other rows differ
+  in that part), among all rows otherwise.
+
+Only counts and the numbers of refuted combinations reach the driver.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
@@ -29,19 +39,116 @@ from grantlens.functions.validate import check_positive
 
 Columns = tuple[int, ...]
 
+BLOCK = 1 << 18  # rows that a task compares at a time
+FEW = 200_000  # groups of rows that agree in a part, small enough to broadcast
+
 
 def _column(df: DataFrame, i: int) -> Column:
     return F.col("`" + df.columns[i].replace("`", "``") + "`")
 
 
-def _distinct(df: DataFrame, asked: list[Columns]) -> dict[Columns, int]:
-    """The number of distinct rows (no nulls in them) over each of the combinations."""
+def _folded(columns: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit hash of several."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for h in columns:
+        out = (out + h) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def _agree(first: list[np.ndarray], second: list[np.ndarray]) -> bool:
+    """Whether two rows have the same values in all columns (of two hashes each)."""
+    h = _folded(first)
+    order = np.sort(h)
+    if not (order[1:] == order[:-1]).any():
+        return False
+    order = np.argsort(h)
+    at = np.flatnonzero(h[order][1:] == h[order][:-1])
+    g = _folded(second)
+    return bool((g[order[at]] == g[order[at + 1]]).any())
+
+
+def _refuted(asked: list[Columns], whole: list[int]):
+    """(n): the combinations that two rows of this task agree in; the columns are the first hashes of ``whole``, then the second."""
+    place = {i: k for k, i in enumerate(whole)}
+
+    def run(batches):
+        left = dict(enumerate(asked))
+
+        def look(rows: list[pa.RecordBatch]):
+            table = pa.Table.from_batches(rows)
+            h = [c.to_numpy().view(np.uint64) for c in table.columns]
+            for some in (4096, len(h[0])):
+                for n, c in list(left.items()):
+                    if _agree([h[place[i]][:some] for i in c], [h[len(whole) + place[i]][:some] for i in c]):
+                        del left[n]
+
+        held, size = [], 0
+        for batch in batches:
+            if left:
+                held, size = [*held, batch], size + batch.num_rows
+                if size >= BLOCK:
+                    look(held)
+                    held, size = [], 0
+        if held and left:
+            look(held)
+        yield pa.record_batch([pa.array([n for n in range(len(asked)) if n not in left], pa.int32())], names=["n"])
+
+    return run
+
+
+class _Rows:
+    """The rows of a table as two hashes a column, and the distinct values of its combinations counted so far."""
+
+    def __init__(self, df: DataFrame, whole: list[int], count: int):
+        self.whole, self.count, self.exact = whole, count, {}
+        self.hashes = df.select(*[F.xxhash64(F.lit(seed), _column(df, i)).alias(f"h{seed}_{i}") for seed in (1, 2) for i in whole])
+
+    def refuted(self, asked: list[Columns]) -> set[Columns]:
+        found = self.hashes.mapInArrow(_refuted(asked, self.whole), "n int").distinct().collect()
+        return {asked[r["n"]] for r in found}
+
+    def _key(self, c: Columns) -> list[str]:
+        return [f"h{seed}_{i}" for seed in (1, 2) for i in c]
+
+    def _counted(self, rows: DataFrame, asked: list[Columns]) -> dict[Columns, int]:
+        pairs = [F.struct(F.lit(n).alias("n"), *[F.xxhash64(F.lit(seed), *[F.col(f"h{seed}_{i}") for i in c]).alias(f"h{seed}") for seed in (1, 2)])
+                 for n, c in enumerate(asked)]
+        got = rows.select(F.inline(F.array(*pairs))).distinct().groupBy("n").count().collect()
+        return {**dict.fromkeys(asked, 0), **{asked[r["n"]]: r["count"] for r in got}}
+
+    def distinct(self, asked: list[Columns]) -> dict[Columns, int]:
+        """The distinct values of combinations, from the rows alike in a part of them where these are few."""
+        by_part: dict[Columns | None, list[Columns]] = {}
+        for c in asked:
+            parts = [x for x in combinations(c, len(c) - 1) if x in self.exact and self.count - self.exact[x] <= FEW]
+            by_part.setdefault(max(parts, key=lambda x: self.exact[x], default=None), []).append(c)
+        counts = self._counted(self.hashes, every) if (every := by_part.pop(None, [])) else {}
+        for part, some in by_part.items():
+            key = self._key(part)
+            twice = self.hashes.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key)
+            alike = self.hashes.join(F.broadcast(twice), key, "left_semi").select(*self._key(tuple(sorted({i for c in some for i in c}))))
+            alike = alike.persist()
+            try:
+                apart = self.count - alike.count()
+                counts.update({c: n + apart for c, n in self._counted(alike, some).items()})
+            finally:
+                alike.unpersist()
+        return counts
+
+
+def _distinct(rows: _Rows, asked: list[Columns]) -> dict[Columns, int]:
+    """The number of distinct rows (no nulls in them) over each combination of columns; none for combinations
+    of several columns that two rows of a task agree in."""
     if not asked:
         return {}
-    pairs = [F.struct(F.lit(n).alias("n"), *[F.xxhash64(F.lit(seed), *[_column(df, i) for i in c]).alias(f"h{seed}") for seed in (1, 2)])
-             for n, c in enumerate(asked)]
-    rows = df.select(F.inline(F.array(*pairs))).distinct().groupBy("n").count().collect()
-    return {**dict.fromkeys(asked, 0), **{asked[r["n"]]: r["count"] for r in rows}}
+    kept = asked
+    if len(asked[0]) > 1:
+        gone = rows.refuted(asked)
+        kept = [c for c in asked if c not in gone]
+    counts = rows.distinct(kept) if kept else {}
+    rows.exact.update(counts)
+    return counts
 
 
 class _Bounds:
@@ -51,9 +158,10 @@ class _Bounds:
         self.exact: dict[Columns, int] = {}
         self.at_most: dict[Columns, int] = {}
 
-    def add(self, counts: dict[Columns, int]) -> None:
+    def add(self, asked: list[Columns], counts: dict[Columns, int], rows: int) -> None:
+        """The counts of some of the asked combinations; the others are no keys of the ``rows``."""
         self.exact.update(counts)
-        self.at_most.update(counts)
+        self.at_most.update({c: counts[c] if c in counts else min(self.at_most[c], rows - 1) for c in asked})
 
     def bound(self, c: Columns) -> int:
         """The most distinct values that ``c`` can have; its parts' bounds are known."""
@@ -86,11 +194,12 @@ def candidate_keys(df: DataFrame, table_name: str, width: int = 3) -> DataFrame:
     filled = df.agg(F.count(F.lit(1)), *[F.count(_column(df, i)) for i in every]).first()
     rows, whole = filled[0], [i for i, n in zip(every, filled[1:]) if n == filled[0]]
     bounds, found = _Bounds(), []
+    table = _Rows(df, whole, rows)
     for size in range(1, width + 1):
         asked = [c for c in combinations(whole, size) if size == 1 or bounds.bound(c) >= rows]
         asked = [c for c in asked if not any(set(k) <= set(c) for k in found)]
-        counts = _distinct(df, asked)
-        bounds.add(counts)
-        found += [c for c in asked if counts[c] == rows]
+        counts = _distinct(table, asked)
+        bounds.add(asked, counts, rows)
+        found += [c for c in asked if counts.get(c) == rows]
     names = [(table_name, ",".join(df.columns[i] for i in c), len(c)) for c in found]
     return df.sparkSession.createDataFrame(names, "table_name string, key_columns string, n_columns int")

@@ -60,3 +60,30 @@ def test_edges(spark):
     for bad in (0, -1, 1.5):
         with pytest.raises(ValueError):
             candidate_keys(maps, "t", bad)
+
+
+def test_only_combinations_that_no_task_refutes_are_counted(spark, monkeypatch):
+    counted = []
+    count = keys._Rows.distinct
+    monkeypatch.setattr(keys._Rows, "distinct", lambda self, c: counted.extend(x for x in c if len(x) > 1) or count(self, c))
+    # (a, b, c) is the key; of the pairs only (a, b) has no repetition among the rows of one task.
+    rows = [(i // 2 % 16, i // 2 // 16 if i < 254 or i > 255 else 0, i % 2 if i < 256 else 2 + i % 2) for i in range(512)]
+    for parts, block in ((1, 1 << 18), (4, 32)):
+        monkeypatch.setattr(keys, "BLOCK", block)
+        df = spark.createDataFrame(rows, "a int, b int, c int").repartitionByRange(parts, "b", "a")
+        got = sorted((r.key_columns, r.n_columns) for r in candidate_keys(df, "t").collect())
+        assert got == brute(["a", "b", "c"], rows, 3)
+        assert len(counted) < 4  # of three pairs and a triple
+        counted.clear()
+
+
+def test_combinations_counted_among_alike_rows(spark, monkeypatch):
+    rng = random.Random(4)
+    # Two rows agree in (a, b), in different tasks; some third columns tell them apart.
+    rows = [(i, i * 7 % 97, i % 5, i % 3) for i in range(97)] + [(i % 97, (i * 7 + 1 + i // 97) % 97, i % 5, i % 3) for i in range(97, 400)]
+    rows += [(rows[3][0], rows[3][1], 4, rows[3][3])]
+    rng.shuffle(rows)
+    for few in (200_000, -1):
+        monkeypatch.setattr(keys, "FEW", few)
+        monkeypatch.setattr(keys._Rows, "refuted", lambda self, asked: set())
+        check(spark, ["a", "b", "c", "d"], ["int", "int", "int", "int"], rows, 4)

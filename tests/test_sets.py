@@ -69,3 +69,10 @@ def test_numbers_are_dense_and_in_order(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
     out = sorted((r.k, r.n) for r in numbered(rows, ["k"], "n", GovernanceCatalog(spark).materialize, "t").collect())
     assert [n for _, n in out] == list(range(1000))
+
+
+def test_counts_make_no_bitmap(spark):
+    s = PrincipalSets(spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "b")], NAMES), GovernanceCatalog(spark).materialize)
+    got = s.counts(spark.createDataFrame([(1, 0, 7, "g", 1, 0), (1, 0, 7, "h", 2, 1), (1, 0, 8, "h", None, 4)], ACL))
+    assert sorted(tuple(r)[2:] for r in got.collect()) == [(7, "R", 1), (7, "W", 1)]
+    assert "bitmap" not in got._jdf.queryExecution().optimizedPlan().toString() and "numbers" not in s.__dict__

@@ -3,13 +3,14 @@
 Method. Benchmark items become passages of at most ``WINDOW`` words. Document frequencies of their terms are counted over
 all documents (one scan), which gives TF-IDF rows. A randomised SVD of these rows (``LatentSpace``: Gaussian sketch, one power
 iteration, Gram matrices summed over partitions; rows and terms stay distributed, only matrices of the sketch's size reach
-the driver) yields a vector per term. A second scan meets overlapping regions of every document with all passages.
-Candidates are the pairs that have ``PART`` of the passage's words in common, over all terms and in any order: a necessary
-condition of the check, so none is lost however rare the words are that a paraphrase replaced. They are checked by the longest
-common subsequence of words, which paraphrases with changed, added or dropped words keep in large part, and by an answer
-check: with a middling share, the item's last sentence must be there, and both within a stretch of one and a half times the
-passage's length (an item of function words alone has half its words in order somewhere in many clean regions). The space gives each pair found its cosine and the share
-of the passage that the window's projection covers; it decides nothing.
+the driver) yields a vector per term. A second scan projects overlapping regions of every document into the space and
+retrieves the pairs whose projections meet the passage's ``floor``: the least product that a region with ``PART`` of the
+passage's words has, whichever words these are, less what projection and rounding can take. So none is lost however rare the
+words are that a paraphrase replaced. Of the pairs retrieved, those with ``PART`` of the words in common, over all terms and in
+any order, are checked by the longest common subsequence of words, which paraphrases with changed, added or dropped words
+keep in large part, and by an answer check: with a middling share, the item's last sentence must be there, and both within a stretch of one and a half times the
+passage's length (an item of function words alone has half its words in order somewhere in many clean regions). The space also
+gives each pair found its cosine and the share of the passage that the window's projection covers.
 
 Passages go in slabs of about ``SLAB``, no more than the dimensions of the space, so that every passage of a slab is
 represented; a task holds at most SLAB * WINDOW vectors of DIMENSIONS floats (16 MB), twice, and SLAB * WINDOW rows of SLAB
@@ -35,8 +36,7 @@ DIMENSIONS = 256
 SHARE = 0.75  # of the passage's words in common order: contaminated
 PART = 0.5  # the same if the answer is there
 ANSWER = 0.8
-COMMON = 0.1  # terms in more than this share of documents carry no weight in the space, where a passage has enough others
-LEAST = 5
+ROUNDING = 3e-5  # of sums of WINDOW + STRIDE vectors and products over DIMENSIONS in single precision, at worst
 
 
 def _passages(batches):
@@ -231,7 +231,7 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 class Passages:
     """The passages of a slab by term, for many regions of a document at once.
 
-    ``counts`` has a row per (term, k): 1 where the passage holds the term more than k times, so the rows of a region's words,
+    ``counts`` has a row per (term, k): 1 where the passage holds the term more than k times, so the entries of a region's words,
     each with the number of its repetition, add up to the words that region and passage have in common. ``masks`` has the
     term's places in each passage as bits. The last row of both is that of other words.
     """
@@ -264,9 +264,9 @@ class Passages:
             out.append(before)
         return out
 
-    def common(self, term: np.ndarray, earlier: list[np.ndarray], place: np.ndarray) -> np.ndarray:
-        """(region, passage): the words in common, repeated ones as often as both have them; ``place``: the regions' positions
-        in ``term``, of the last entry (another word) behind a region's end."""
+    def common(self, term: np.ndarray, earlier: list[np.ndarray], place: np.ndarray, near: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Of each pair of region ``near`` and passage ``p`` the words in common, repeated ones as often as both have them;
+        ``place``: the regions' positions in ``term``, of the last entry (another word) behind a region's end."""
         kind = term[place]
         row = self.first[kind]
         region, at = np.nonzero(self.most[kind] > 0)
@@ -280,9 +280,9 @@ class Passages:
             row[region[gone], at[gone]] = len(self.counts) - 1
             region, at = region[~gone], at[~gone]
         row[self.most[kind] == 0] = len(self.counts) - 1
-        total = np.zeros((len(place), len(self.length)), np.uint8)
+        total = np.zeros(len(near), np.uint8)
         for column in row.T:
-            total += self.counts[column]
+            total += self.counts[column[near], p]
         return total
 
     def in_order(self, kind: np.ndarray, p: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
@@ -312,6 +312,46 @@ class Passages:
         return out
 
 
+def fewest(length: np.ndarray, share: float, part: float) -> np.ndarray:
+    """No region with fewer of a passage's words can hold ``part`` of them in order."""
+    return np.ceil(length * min(part, share) - 1e-9).astype(np.int64)
+
+
+def floors(rows: list[np.ndarray], weight: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The least product of a passage's TF-IDF row with that of a region that has ``least`` of its words: those of the
+    smallest products; ``rows``: term numbers of the words."""
+    out = np.zeros(len(rows))
+    for k, r in enumerate(rows):
+        own, at, tf = np.unique(r, return_inverse=True, return_counts=True)
+        out[k] = np.sort((tf * weight[own] ** 2)[at])[: least[k]].sum()
+    return out
+
+
+def unseen(table, terms: np.ndarray, vectors: np.ndarray, latent: np.ndarray) -> np.ndarray:
+    """The largest entry of each passage's row that the space does not give back."""
+    out = np.zeros(len(table))
+    for a in range(0, len(table), 16):
+        rest = vectors.astype(np.float64) @ latent[a : a + 16].T.astype(np.float64)
+        for k, t, v in table[a : a + 16]:
+            rest[np.searchsorted(terms, np.array(t, np.int64).view(U)), k - a] -= v
+        out[a : a + 16] = np.abs(rest).max(0)
+    return out
+
+
+def _regions(chunk: np.ndarray, found: np.ndarray, vectors: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The sum of the vectors in chunks begin:end of each region; ``chunk``: those of the known words ``found``, in order."""
+    lo, hi = int(begin.min()), int(end.max())
+    a, b = np.searchsorted(chunk, [lo, hi])
+    sums = np.zeros((hi - lo + 1, vectors.shape[1]), np.float32)  # the last one stays empty
+    own, at = np.unique(chunk[a:b], return_index=True)
+    if len(own):
+        sums[own - lo] = np.add.reduceat(vectors[found[a:b]], at, axis=0)
+    out = np.zeros((len(begin), vectors.shape[1]), np.float32)
+    for j in range(int((end - begin).max())):
+        out += sums[np.where(begin + j < end, begin + j - lo, hi - lo)]
+    return out
+
+
 def _search(sent, rule):
     """(doc_id, item_id, cosine, cover, share, answer) of windows that pass."""
     share, part, answer = rule
@@ -324,9 +364,12 @@ def _search(sent, rule):
         vectors = np.concatenate([x["vectors"] * x["weight"][:, None].astype(np.float32), np.zeros((1, x["vectors"].shape[1]), np.float32)])
         latent = x["latent"]
         size2 = (latent**2).sum(1)
-        # No region with fewer of the passage's words can hold ``part`` of them in order.
-        least = np.ceil(held.length * min(part, share) - 1e-9).astype(np.int64)
+        least = fewest(held.length, share, part)
         span = WINDOW + STRIDE
+        half = STRIDE // 2
+        # The last column sums the weights, which bound what projection and rounding take from a product.
+        summed = np.concatenate([vectors, np.append(x["weight"], 0).astype(np.float32)[:, None]], axis=1)
+        slack = x["unseen"] + ROUNDING * np.sqrt(size2)
         for batch in batches:
             out = []
             for block in blocks(batch.column(1)):
@@ -341,13 +384,25 @@ def _search(sent, rule):
                 halves = np.concatenate([[0], np.cumsum(-(-np.diff(bounds) // STRIDE))])
                 doc = np.repeat(np.arange(block.docs), np.diff(halves))
                 lo = bounds[doc] + (np.arange(halves[-1]) - halves[doc]) * STRIDE
-                begin, end = np.maximum(bounds[doc], lo - STRIDE // 2), np.minimum(bounds[doc + 1], lo + WINDOW + STRIDE // 2)
-                windows = np.flatnonzero(known[end] - known[begin] >= least.min())
-                for a in range(0, len(windows), 512):
-                    w = windows[a : a + 512]
+                begin, end = np.maximum(bounds[doc], lo - half), np.minimum(bounds[doc + 1], lo + WINDOW + half)
+                # Regions begin and end at chunks of half a stride, counted from the document's first word.
+                chunks = np.concatenate([[0], np.cumsum(-(-np.diff(bounds) // half))])
+                own = np.searchsorted(bounds, at, "right") - 1
+                chunk = chunks[own] + (at - bounds[own]) // half
+                first, last = (chunks[doc] + -(-(e - bounds[doc]) // half) for e in (begin, end))
+                some = known[end] - known[begin] >= least.min()
+                for a in range(0, len(lo), 256):
+                    w = a + np.flatnonzero(some[a : a + 256])
+                    if not len(w):
+                        continue
+                    z = _regions(chunk, found, summed, first[w], last[w])
+                    near, p = np.nonzero(z[:, :-1] @ latent.T >= x["floor"] - z[:, -1:] * slack)
+                    if not len(near):
+                        continue
                     place = begin[w, None] + np.arange(span)
                     place[place >= end[w, None]] = len(h)
-                    near, p = np.nonzero(held.common(term, earlier, place) >= least)
+                    enough = held.common(term, earlier, place, near, p) >= least[p]
+                    near, p = near[enough], p[enough]
                     if not len(near):
                         continue
                     kind = term[place]
@@ -418,18 +473,12 @@ class Decontaminator:
         df[counted["term"].to_numpy()] = counted["n"].to_numpy()
         n, df = df[-1], df[:-1]  # term -1 counted the documents
         idf = np.log((n + 1) / (df + 0.5))
-        rare = df <= max(COMMON * n, 1)
         rows = [np.searchsorted(terms, w) for w in words]
-        kept = np.zeros(len(terms), bool)
-        for r in rows:
-            own = np.unique(r)
-            some = own[rare[own]]
-            # A passage that is common itself, or has few rare words, keeps all its terms.
-            kept[some if len(some) >= max(LEAST, 0.3 * len(own)) else own] = True
-        weight = np.where(kept, np.maximum(idf, 0.2), 0.0)
+        # Common terms weigh little, but something: a region that has them alone must be retrieved too.
+        weight = np.maximum(idf, 0.2)
         table = []
         for k, r in enumerate(rows):
-            own, tf = np.unique(r[weight[r] > 0], return_counts=True)
+            own, tf = np.unique(r, return_counts=True)
             table.append((k, terms[own].view(np.int64).tolist(), (tf * weight[own]).tolist()))
         matrix = space.store(spark.createDataFrame(table, "row long, terms array<long>, values array<double>").repartition(4), f"matrix-{s}")
         got = LatentSpace().fit(space, matrix, f"svd-{s}").toPandas()
@@ -437,7 +486,9 @@ class Decontaminator:
         vectors = np.zeros((len(terms), width), np.float32)
         vectors[np.searchsorted(terms, got["term"].to_numpy(np.int64).view(U))] = np.frombuffer(b"".join(got["vector"]), np.float32).reshape(-1, width)
         latent = np.stack([(vectors[np.searchsorted(terms, np.array(t, np.int64).view(U))] * np.array(v, np.float32)[:, None]).sum(0) for _, t, v in table])
-        sent = sc.broadcast({"terms": terms, "weight": weight, "vectors": vectors, "latent": latent, "words": words, "items": held["item_id"].to_numpy(np.int64), "answer": held["answer"].to_numpy(np.int64)})
+        least = fewest(np.array([len(r) for r in rows]), self.rule[0], self.rule[1])
+        bound = {"floor": floors(rows, weight, least), "unseen": unseen(table, terms, vectors, latent)}
+        sent = sc.broadcast({**bound, "terms": terms, "weight": weight, "vectors": vectors, "latent": latent, "words": words, "items": held["item_id"].to_numpy(np.int64), "answer": held["answer"].to_numpy(np.int64)})
         return docs.mapInArrow(_search(sent, self.rule), "doc_id long, item_id long, cosine double, cover double, share double, answer double")
 
 

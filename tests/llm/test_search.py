@@ -4,9 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from grantlens.llm import ann, decontaminate
 from grantlens.llm.shared import Workspace, connected_components
+from grantlens.llm.textblocks import NO_WORD, blocks
 from llm_cases import EDGE, SF, docs
 
 
@@ -82,6 +84,55 @@ def test_no_accepted_paraphrase_is_lost_when_the_rarest_words_are_replaced(spark
     assert len(want) > 60 and {(r.doc_id, r.item_id) for r in found if r.doc_id >= 10**6} == want
 
 
+class Sent:
+    """What the search gets, with a space of one dimension per term, for passages of words."""
+
+    def __init__(self, words, weight):
+        terms = np.unique(np.concatenate(words))
+        rows = [np.searchsorted(terms, w) for w in words]
+        latent = np.stack([np.bincount(r, minlength=len(terms)) * weight for r in rows]).astype(np.float32)
+        n = np.array([len(w) for w in words])
+        self.value = {"terms": terms, "weight": weight, "vectors": np.eye(len(terms), dtype=np.float32), "latent": latent, "words": words,
+                      "items": np.arange(len(words)), "answer": np.zeros(len(words), np.int64), "unseen": np.zeros(len(words)),
+                      "floor": decontaminate.floors(rows, weight, decontaminate.fewest(n, 0.75, 0.5))}
+
+
+def test_candidates_are_those_that_the_space_retrieves():
+    """Passages without their vectors are found by nothing: word counts alone name no candidates."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40)) for _ in range(6)]
+    words = [next(blocks(pa.array([t]))).words(NO_WORD)[0] for t in texts]
+    batch = pa.record_batch([pa.array([10 * k for k in range(6)]), pa.array(texts)], names=["doc_id", "text"])
+    found = lambda s: {(i, k) for b in decontaminate._search(s, (0.75, 0.5, 0.8))([batch]) for i, k in zip(b[0].to_pylist(), b[1].to_pylist())}
+    whole = Sent(words, np.linspace(0.2, 8, 26))
+    assert found(whole) == {(10 * k, k) for k in range(6)}
+    whole.value["latent"][2] = 0
+    assert found(whole) == {(10 * k, k) for k in range(6) if k != 2}
+
+
+def test_no_region_with_enough_words_is_below_the_floor():
+    """Regions with just the least of a passage's words in common, the lightest ones too, whatever else they hold."""
+    rng = random.Random(9)
+    weight = np.array([0.2, 0.2, 0.3, 1.0, 2.0, 5.0, 8.0, 11.0])
+    for _ in range(300):
+        own = [rng.randrange(8) for _ in range(rng.randint(1, 20))]
+        least = int(decontaminate.fewest(np.array([len(own)]), 0.75, 0.5)[0])
+        floor = decontaminate.floors([np.array(own)], weight, np.array([least]))[0]
+        tf = np.bincount(own, minlength=8)
+        picks = [sorted(own, key=lambda t: tf[t] * weight[t] ** 2)[:least], rng.sample(own, least), own]
+        for region in picks + [x + [rng.randrange(8)] for x in picks]:
+            assert (np.bincount(region, minlength=8) * tf * weight**2).sum() >= floor - 1e-9
+
+
+def test_what_a_space_of_few_dimensions_leaves_out_is_known():
+    terms = np.arange(5, dtype=np.uint64)
+    table = [(0, [0, 1], [3.0, 4.0]), (1, [2, 4], [1.0, 2.0])]
+    vectors = np.zeros((5, 2), np.float32)
+    vectors[0, 0], vectors[1, 0], vectors[2, 1] = 0.6, 0.8, 1.0
+    got = decontaminate.unseen(table, terms, vectors, np.array([[5.0, 0.0], [0.0, 1.0]], np.float32))
+    assert np.allclose(got, [0, 2], atol=1e-6)
+
+
 def test_decontamination_edge_rows(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "same row twice in here"), (3, "same row twice in here"), (None, "one"), (4, "...")], "item_id long, text string")
     d = decontaminate.Decontaminator()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Workspace, shared_dir
-from .textblocks import blocks
+from .textblocks import blocks, trimmed
 
 LEXICON = 1 << 16  # words in the automaton, whatever the input
 COUNT_BYTES = 1 << 22  # bytes of text over which a task counts words before it sends them
@@ -424,7 +424,7 @@ class BpeCodec:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def lexicon(self, docs: DataFrame) -> Transducer:
-        counts = self._rows(docs).select("text").mapInArrow(_frequent_words, "word binary, n long")
+        counts = self._rows(docs).select("text").mapInArrow(trimmed(_frequent_words), "word binary, n long")
         space = Workspace(self.spark, "bpe")
         words_of = space.store(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
         # How many words have each count names the least count that leaves ``size`` words or fewer; no order of all words.
@@ -457,11 +457,11 @@ class BpeCodec:
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """(doc_id, ids)"""
-        return self._rows(docs).mapInArrow(_encode(self.sent, self._sent_file(docs), False), "doc_id long, ids array<int>")
+        return self._rows(docs).mapInArrow(trimmed(_encode(self.sent, self._sent_file(docs), False)), "doc_id long, ids array<int>")
 
     def encode_digests(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids and what they decode to, hashed inside the task."""
-        return self._rows(docs).mapInArrow(_encode(self.sent, self._sent_file(docs), True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return self._rows(docs).mapInArrow(trimmed(_encode(self.sent, self._sent_file(docs), True)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def decode(self, encoded: DataFrame) -> DataFrame:
         """(doc_id, text) of (doc_id, ids)"""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Workspace
-from .textblocks import NO_WORD, U, blocks, longs, mix
+from .textblocks import NO_WORD, U, blocks, longs, mix, trimmed
 
 WINDOW = 64
 STRIDE = 32
@@ -468,7 +468,7 @@ class Decontaminator:
         words = [np.array(w, np.int64).view(U) for w in held["words"]]
         terms = np.unique(np.concatenate(words))
         sc = spark.sparkContext
-        counted = docs.select("text").mapInArrow(_frequencies(sc.broadcast(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+        counted = docs.select("text").mapInArrow(trimmed(_frequencies(sc.broadcast(terms))), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
         df = np.zeros(len(terms) + 1)
         df[counted["term"].to_numpy()] = counted["n"].to_numpy()
         n, df = df[-1], df[:-1]  # term -1 counted the documents
@@ -489,7 +489,7 @@ class Decontaminator:
         least = fewest(np.array([len(r) for r in rows]), self.rule[0], self.rule[1])
         bound = {"floor": floors(rows, weight, least), "unseen": unseen(table, terms, vectors, latent)}
         sent = sc.broadcast({**bound, "terms": terms, "weight": weight, "vectors": vectors, "latent": latent, "words": words, "items": held["item_id"].to_numpy(np.int64), "answer": held["answer"].to_numpy(np.int64)})
-        return docs.mapInArrow(_search(sent, self.rule), "doc_id long, item_id long, cosine double, cover double, share double, answer double")
+        return docs.mapInArrow(trimmed(_search(sent, self.rule)), "doc_id long, item_id long, cosine double, cover double, share double, answer double")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .shared import Workspace
-from .textblocks import BASE, LOWER, SECOND, blocks, longs, ranges_hash
+from .textblocks import BASE, LOWER, SECOND, blocks, longs, ranges_hash, trimmed
 
 FANOUT = 3
 BATCHES = 4
@@ -45,17 +45,15 @@ def _without(digest: bool):
 
     def run(batches):
         for batch in batches:
-            out = [None] * batch.num_rows
-            counts = np.zeros((2, batch.num_rows), np.int64)
             drops = batch.column(2)
             for block in blocks(batch.column(1)):
+                out = [None] * block.docs
                 starts, ends, first, last, bounds = block.lines()
                 low = LOWER[block.data]
-                counts[0, block.first : block.first + block.docs] = np.diff(bounds)
+                counts = np.stack([np.diff(bounds), np.zeros(block.docs, np.int64)])
                 whole = memoryview(np.ascontiguousarray(block.data))
                 for d in range(block.docs):
-                    i = block.first + d
-                    gone = drops[i]
+                    gone = drops[block.first + d]
                     text = whole[block.offsets[d] : block.offsets[d + 1]]
                     if gone.is_valid and len(gone.values):
                         a, b = bounds[d], bounds[d + 1]
@@ -63,10 +61,11 @@ def _without(digest: bool):
                         h1, h2 = (ranges_hash(part, f, t, key).view(np.int64).tolist() for key in (BASE, SECOND))
                         dropped = set(zip(*(gone.values.field(k).to_pylist() for k in (0, 1)), strict=True))
                         stay = np.array([x not in dropped for x in zip(h1, h2, strict=True)]) | (f == t)
-                        counts[1, i] = b - a - stay.sum()
+                        counts[1, d] = b - a - stay.sum()
                         text = b"\n".join(whole[starts[k] : ends[k]] for k in np.flatnonzero(stay) + a)
-                    out[i] = hashlib.sha256(text).hexdigest() if digest else bytes(text).decode()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(counts[0]), pa.array(counts[1]), batch.column(3)], names=["doc_id", "kept", "n_lines", "n_dropped", "rest"])
+                    out[d] = hashlib.sha256(text).hexdigest() if digest else bytes(text).decode()
+                ids, rest = (batch.column(k).slice(block.first, block.docs) for k in (0, 3))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.string()), pa.array(counts[0]), pa.array(counts[1]), rest], names=["doc_id", "kept", "n_lines", "n_dropped", "rest"])
 
     return run
 
@@ -125,7 +124,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, digest: bool = False, r
     space = Workspace(docs.sparkSession, "lines")
     carried = F.struct(*[docs[c] for c in rest]) if rest else F.lit(None).cast("boolean")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("rest"))
-    lines = space.store(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_keys, "doc_id long, h1 long, h2 long"), "lines")
+    lines = space.store(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(trimmed(_keys), "doc_id long, h1 long, h2 long"), "lines")
     cuts = lines.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).head()[0] or []
     edges = [None, *sorted(set(cuts)), None]
     runs = LineRuns(space)
@@ -141,7 +140,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, digest: bool = False, r
     gone = LineRuns._union(drops).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
     rows = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone", "rest")
     schema = StructType([StructField("doc_id", LongType()), StructField("kept", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType()), rows.schema["rest"]])
-    return rows.mapInArrow(_without(digest), schema)
+    return rows.mapInArrow(trimmed(_without(digest)), schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

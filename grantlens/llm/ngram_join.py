@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Workspace, connected_components
-from .textblocks import U, blocks, longs, mix
+from .textblocks import U, blocks, longs, mix, trimmed
 
 FREQUENT = 1 << 18  # columns known as frequent: 2 MB when sent to the tasks, whatever the input
 ROUNDS = 3
@@ -178,7 +178,7 @@ class JaccardJoin:
         spark = docs.sparkSession
         space = Workspace(spark, "jaccard")
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        first = space.store(docs.mapInArrow(_digests(self.words), "doc_id long, n long, h1 long, h2 long"), "digests")
+        first = space.store(docs.mapInArrow(trimmed(_digests(self.words)), "doc_id long, n long, h1 long, h2 long"), "digests")
         # Rows of counts carry h1 = n-gram and no h2; documents always have h2.
         rows = first.filter("h2 is not null")
         often = first.filter("h2 is null").groupBy("h1").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "h1").limit(FREQUENT).toPandas()["h1"].to_numpy(np.int64)
@@ -196,7 +196,7 @@ class JaccardJoin:
     def _links(self, space: Workspace, docs: DataFrame, reps: DataFrame, frequent) -> DataFrame:
         width = math.log(100 / self.percent)
         nodes = reps.select("node").distinct()
-        prefix = docs.mapInArrow(_prefixes(self.words, self.percent, frequent), "node long, n long, prefix array<long>").filter("n > 0")
+        prefix = docs.mapInArrow(trimmed(_prefixes(self.words, self.percent, frequent)), "node long, n long, prefix array<long>").filter("n > 0")
         prefix = prefix.join(nodes, "node", "left_semi")
         entries = prefix.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "column"))
         per = Window.partitionBy("column").orderBy("n", "node")
@@ -247,11 +247,11 @@ class JaccardJoin:
         bits = np.zeros(BUCKETS, bool)
         bits[marked] = True
         wanted = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-        rows = docs.select(F.col("doc_id"), "text", bucket("doc_id").alias("k")).mapInArrow(_rows(self.words, wanted), "node long, row binary")
+        rows = docs.select(F.col("doc_id"), "text", bucket("doc_id").alias("k")).mapInArrow(trimmed(_rows(self.words, wanted)), "node long, row binary")
         need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         rows = space.store(rows.join(need, "node", "left_semi"), f"{name}-rows")
         x, y = rows.select(F.col("node").alias("a"), F.col("row").alias("x")), rows.select(F.col("node").alias("b"), F.col("row").alias("y"))
-        out = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(self.percent), "a long, b long")
+        out = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(trimmed(_linked(self.percent)), "a long, b long")
         return space.store(out.distinct(), f"{name}-links")
 
 

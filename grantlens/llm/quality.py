@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .shared import Workspace, held_out
-from .textblocks import U, blocks
+from .textblocks import U, blocks, trimmed
 
 BUCKETS = 1 << 13
 FACTORS = 4
@@ -153,19 +153,23 @@ def _round(sent, seed: int):
 
 
 def _score(sent):
+    """``rest`` and score; the text is the first column, or stands in ``rest`` alone. A record batch goes out for each run of
+    texts that is scored together."""
+
     def run(batches):
         model = FactorisationMachine.of(sent.value)
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
+            rest = batch.column(batch.num_columns - 1)
+            scored = lambda held, at, rest=rest: pa.RecordBatch.from_arrays([rest.slice(at, len(held)), pa.array(model.scores(held))], names=["rest", "score"])
             held, at, size = [], 0, 0
-            for _, w, s in features(batch.column(0)):
+            for _, w, s in features(batch.column(0) if batch.num_columns > 1 else rest.field("text")):
                 held.append((w, s))
                 size += len(w)
                 if size >= 1 << 18:
-                    scores[at : at + len(held)] = model.scores(held)
+                    yield scored(held, at)
                     held, at, size = [], at + len(held), 0
-            scores[at : at + len(held)] = model.scores(held)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=[*batch.schema.names[1:], "score"])
+            if held:
+                yield scored(held, at)
 
     return run
 
@@ -190,7 +194,7 @@ class QualityClassifier:
         picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(self.sample)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         # At most SAMPLE ids are sent to the scan.
-        rows = texts.join(F.broadcast(picked), "doc_id").select("text", "label").mapInArrow(_featurise, "words array<int>, stats array<int>, label double")
+        rows = texts.join(F.broadcast(picked), "doc_id").select("text", "label").mapInArrow(trimmed(_featurise), "words array<int>, stats array<int>, label double")
         rows = space.store(rows.repartition(PARTS), "sample")
         n, good = rows.agg(F.count("*"), F.sum("label")).head()
         share = min(max(((good or 0) + 1) / (n + 2), 0.01), 0.99)
@@ -199,7 +203,7 @@ class QualityClassifier:
             for r in range(self.rounds):
                 sent = spark.sparkContext.broadcast(model.state())
                 # PARTS states of fixed size come back, whatever the corpus.
-                back = rows.mapInArrow(_round(sent, r), "n long, state binary").collect()
+                back = rows.mapInArrow(trimmed(_round(sent, r)), "n long, state binary").collect()
                 states = np.stack([np.frombuffer(x["state"], np.float32) for x in back]).astype(np.float64)
                 mean = np.average(states, axis=0, weights=[x["n"] for x in back])
                 model = FactorisationMachine(mean[0], mean[1 : 1 + SIZE], mean[1 + SIZE :].reshape(SIZE, FACTORS))
@@ -212,8 +216,10 @@ class QualityClassifier:
     def score(self, docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(self.model.state())
         rest = F.struct(*[docs[c] for c in docs.columns if c not in ("score", "predicted")]).alias("rest")
-        rows = docs.select(F.col("text").cast("string").alias("text"), rest)
-        out = rows.mapInArrow(_score(sent), StructType([rows.schema["rest"], StructField("score", DoubleType())])).select("rest.*", "score")
+        # A text that is returned as it is goes to the tasks once.
+        once = any(f.name == "text" and f.dataType == StringType() for f in docs.schema)
+        rows = docs.select(rest) if once else docs.select(F.col("text").cast("string").alias("text"), rest)
+        out = rows.mapInArrow(trimmed(_score(sent)), StructType([rows.schema["rest"], StructField("score", DoubleType())])).select("rest.*", "score")
         return out.withColumn("predicted", (F.col("score") >= keep_at).cast("int"))
 
 

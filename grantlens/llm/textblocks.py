@@ -6,7 +6,8 @@ code points nowhere). Hashes are 64-bit: eight bytes at a time under a key. Null
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +125,20 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
         at = to
 
 
+def trimmed(run: Callable) -> Callable:
+    """A task function after which the worker gives freed memory back to the system: workers stay for other tasks and steps,
+    and what their allocators keep would add up with what the next ones need."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def longs(values: np.ndarray) -> pa.Array:
     """Unsigned hashes as Spark's signed longs."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -248,3 +249,21 @@ def test_lm_edge_rows(spark):
     assert model.score(table.limit(0)).count() == 0
     nothing = maxent_lm.MaxEntLm().fit(table.limit(0)).score(table).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in nothing)
+
+
+def test_a_returned_text_goes_to_the_tasks_once_and_comes_back_in_runs(spark):
+    """Rows keep their scores when they come back in several record batches, and a text of another type is still cast."""
+    pick = random.Random(21)
+    rows = [(k, " ".join(pick.choices(["alpha", "beta", "gamma", "delta"], k=3000))) for k in range(200)] + [(200, None), (201, "")]
+    table = docs(spark, rows)
+    model = quality.QualityClassifier().fit(table, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int"))
+    plan = lambda d: model.score(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS text" not in plan(table.select("doc_id", "text"))
+    scored = {r.doc_id: (r.text, r.score) for r in model.score(table.coalesce(1)).collect()}
+    assert {k: t for k, (t, _) in scored.items()} == dict(rows)
+    apart = {r.doc_id: r.score for r in model.score(table.selectExpr("doc_id", "cast(text as binary) text").coalesce(1)).collect()}
+    assert apart == {k: s for k, (_, s) in scored.items()}
+    batch = pa.record_batch([pa.array([{"text": t} for _, t in rows])], names=["rest"])
+    sent = type("Sent", (), {"value": model.model.state()})
+    out = list(quality._score(sent)([batch]))
+    assert len(out) > 1 and [s for b in out for s in b.column(1).to_pylist()] == [scored[k][1] for k, _ in rows]

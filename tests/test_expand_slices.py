@@ -5,6 +5,8 @@ import random
 import pyarrow as pa
 
 from grantlens.operators import access, expand
+from grantlens.operators.sets import PrincipalSets
+from grantlens.sources.catalog import GovernanceCatalog
 from test_expand import ACL, NAMES, rows
 
 KEYS = access.RESOURCE_KEYS
@@ -72,3 +74,11 @@ def test_pairs_reach_the_slices_in_pieces(spark, monkeypatch):
     copied = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, right).count()
     slices = len(expand._meeting(a, n, KEYS, {}, True).filter("kind = 'end'").collect())
     assert slices > 1 and copied < 40 * slices  # 9,000 rows a slice if they went one by one
+
+
+def test_counts_leave_a_task_as_counts(spark):
+    s = PrincipalSets(spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "b")], NAMES), GovernanceCatalog(spark).materialize)
+    got = s.counts(spark.createDataFrame([(1, 0, 7, "g", 1, 0), (1, 0, 7, "h", 2, 1), (1, 0, 8, "h", None, 4)], ACL))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "TrusteeNTStyleName" not in plan[:plan.index("CoGroup")]
+    assert sorted(tuple(r)[2:] for r in got.collect()) == [(7, "R", 1), (7, "W", 1)]

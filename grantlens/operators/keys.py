@@ -10,16 +10,20 @@ exactly:
 * no column in it follows from the others: if X and X with c have the same
   number of distinct values, c adds nothing to any combination holding X.
 
-What is left is settled over all rows, from two 64-bit hashes per column:
+What is left is settled over all rows, from a 64-bit hash per column of a fixed
+width (it is one-to-one there) and from two of any other:
 
 * single columns are counted; repeated values collapse in the task before the
   shuffle, so a value that a third of all rows hold is one pair per task;
 * of wider ones, two rows that agree prove that a combination is no key. Every
   task looks for such rows among its own, so most combinations never reach a
   shuffle;
-* a combination that no task refutes is counted: among the rows that share
-  their values of a counted part, where these are few (all other rows differ
-  in that part), among all rows otherwise.
+* what no task refutes is counted among the rows that share their values of a
+  counted part, where these are few (all other rows differ in that part);
+* otherwise the rows are dealt by one of its columns, so that rows that agree
+  meet in a task. One such shuffle settles all combinations that hold the
+  column, however many they are. Only where a value has too many rows for a
+  task, the combination is counted among all rows.
 
 Only counts and the numbers of refuted combinations reach the driver.
 """
@@ -32,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import BooleanType, ByteType, DateType, DoubleType, FloatType, IntegerType, LongType, MapType, ShortType, TimestampNTZType, TimestampType
 
 from grantlens.operators.checks import check_table_name
 from grantlens.functions.validate import check_positive
@@ -41,36 +45,41 @@ Columns = tuple[int, ...]
 
 BLOCK = 1 << 18  # rows that a task compares at a time
 FEW = 200_000  # groups of rows that agree in a part, small enough to broadcast
+MOST = 1 << 21  # rows that a task holds when they are dealt by a column
+FIXED = (BooleanType, ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType, DateType, TimestampType, TimestampNTZType)
 
 
 def _column(df: DataFrame, i: int) -> Column:
     return F.col("`" + df.columns[i].replace("`", "``") + "`")
 
 
-def _folded(columns: list[np.ndarray]) -> np.ndarray:
-    """One 64-bit hash of several."""
+def _folded(columns: list[np.ndarray], by: int) -> np.ndarray:
+    """One 64-bit hash of several; another for another odd factor."""
     out = np.zeros(len(columns[0]), np.uint64)
     for h in columns:
-        out = (out + h) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out + h) * np.uint64(by)
         out ^= out >> np.uint64(32)
     return out
 
 
-def _agree(first: list[np.ndarray], second: list[np.ndarray]) -> bool:
-    """Whether two rows have the same values in all columns (of two hashes each)."""
-    h = _folded(first)
+def _agree(columns: list[np.ndarray]) -> bool:
+    """Whether two rows have the same values in all columns."""
+    h = _folded(columns, 0x9E3779B97F4A7C15)
     order = np.sort(h)
     if not (order[1:] == order[:-1]).any():
         return False
     order = np.argsort(h)
     at = np.flatnonzero(h[order][1:] == h[order][:-1])
-    g = _folded(second)
+    g = _folded([c ^ np.uint64(0xD6E8FEB86659FD93) for c in reversed(columns)], 0xC2B2AE3D27D4EB4F)
     return bool((g[order[at]] == g[order[at + 1]]).any())
 
 
-def _refuted(asked: list[Columns], whole: list[int]):
-    """(n): the combinations that two rows of this task agree in; the columns are the first hashes of ``whole``, then the second."""
-    place = {i: k for k, i in enumerate(whole)}
+def _refuted(asked: list[Columns], columns: list[tuple[int, int]], block: int, most: int | None = None):
+    """(n): the combinations that two rows of this task agree in, looked for ``block`` rows at a time; -1 where the task has over ``most`` rows.
+
+    columns  the seed and column of each hash of a row
+    """
+    place = {i: [k for k, (_, x) in enumerate(columns) if x == i] for i in {i for c in asked for i in c}}
 
     def run(batches):
         left = dict(enumerate(asked))
@@ -80,19 +89,20 @@ def _refuted(asked: list[Columns], whole: list[int]):
             h = [c.to_numpy().view(np.uint64) for c in table.columns]
             for some in (4096, len(h[0])):
                 for n, c in list(left.items()):
-                    if _agree([h[place[i]][:some] for i in c], [h[len(whole) + place[i]][:some] for i in c]):
+                    if _agree([h[k][:some] for i in c for k in place[i]]):
                         del left[n]
 
-        held, size = [], 0
+        held, size, gone = [], 0, False
         for batch in batches:
-            if left:
+            if left and not gone:
                 held, size = [*held, batch], size + batch.num_rows
-                if size >= BLOCK:
+                gone = most is not None and size > most
+                if size >= block or gone:
                     look(held)
                     held, size = [], 0
         if held and left:
             look(held)
-        yield pa.record_batch([pa.array([n for n in range(len(asked)) if n not in left], pa.int32())], names=["n"])
+        yield pa.record_batch([pa.array([-1] * gone + [n for n in range(len(asked)) if n not in left], pa.int32())], names=["n"])
 
     return run
 
@@ -102,28 +112,56 @@ class _Rows:
 
     def __init__(self, df: DataFrame, whole: list[int], count: int):
         self.whole, self.count, self.exact = whole, count, {}
-        self.hashes = df.select(*[F.xxhash64(F.lit(seed), _column(df, i)).alias(f"h{seed}_{i}") for seed in (1, 2) for i in whole])
+        # xxhash64 of one value of up to 64 bits is one-to-one.
+        self.columns = [(1, i) for i in whole] + [(2, i) for i in whole if not isinstance(df.schema.fields[i].dataType, FIXED)]
+        self.hashes = df.select(*[F.xxhash64(F.lit(seed), _column(df, i)).alias(f"h{seed}_{i}") for seed, i in self.columns])
 
     def refuted(self, asked: list[Columns]) -> set[Columns]:
-        found = self.hashes.mapInArrow(_refuted(asked, self.whole), "n int").distinct().collect()
+        found = self.hashes.mapInArrow(_refuted(asked, self.columns, BLOCK), "n int").distinct().collect()
         return {asked[r["n"]] for r in found}
 
+    def keys(self, asked: list[Columns]) -> tuple[set[Columns], set[Columns]]:
+        """Those that are keys, and those left open as a value of the column that they were dealt by has too many rows."""
+        keys, still, unsettled = set(), set(asked), set()
+        tasks = max(int(self.hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.count // BLOCK))
+        while still:
+            # The column that most of them hold, of those with values enough to go to all tasks evenly.
+            even = {i for i in self.whole if self.exact[(i,)] >= 16 * tasks} or set(self.whole)
+            by = max((i for c in still for i in c), key=lambda i: (i in even, sum(i in c for c in still), self.exact[(i,)]))
+            some = sorted(c for c in still if by in c)
+            columns = [(seed, i) for seed, i in self.columns if any(i in c for c in some)]
+            rows = self.hashes.select(*[f"h{seed}_{i}" for seed, i in columns]).repartition(tasks, *self._key((by,)))
+            found = {r["n"] for r in rows.mapInArrow(_refuted(some, columns, 2 * MOST, MOST), "n int").distinct().collect()}
+            kept = {c for n, c in enumerate(some) if n not in found}
+            (unsettled if -1 in found else keys).update(kept)
+            still -= set(some)
+        return keys, unsettled
+
     def _key(self, c: Columns) -> list[str]:
-        return [f"h{seed}_{i}" for seed in (1, 2) for i in c]
+        return [f"h{seed}_{i}" for seed, i in self.columns if i in c]
 
     def _counted(self, rows: DataFrame, asked: list[Columns]) -> dict[Columns, int]:
-        pairs = [F.struct(F.lit(n).alias("n"), *[F.xxhash64(F.lit(seed), *[F.col(f"h{seed}_{i}") for i in c]).alias(f"h{seed}") for seed in (1, 2)])
-                 for n, c in enumerate(asked)]
+        def two(key: list[str]) -> list[Column]:
+            if len(key) == 1:
+                return [F.col(key[0]).alias("h1"), F.lit(0).cast("bigint").alias("h2")]
+            return [F.xxhash64(F.lit(seed), *map(F.col, key)).alias(f"h{seed}") for seed in (1, 2)]
+
+        pairs = [F.struct(F.lit(n).alias("n"), *two(self._key(c))) for n, c in enumerate(asked)]
         got = rows.select(F.inline(F.array(*pairs))).distinct().groupBy("n").count().collect()
         return {**dict.fromkeys(asked, 0), **{asked[r["n"]]: r["count"] for r in got}}
 
     def distinct(self, asked: list[Columns]) -> dict[Columns, int]:
-        """The distinct values of combinations, from the rows alike in a part of them where these are few."""
+        """The distinct values of combinations, from the rows alike in a part of them where these are few; none for some that are no keys."""
         by_part: dict[Columns | None, list[Columns]] = {}
         for c in asked:
             parts = [x for x in combinations(c, len(c) - 1) if x in self.exact and self.count - self.exact[x] <= FEW]
             by_part.setdefault(max(parts, key=lambda x: self.exact[x], default=None), []).append(c)
-        counts = self._counted(self.hashes, every) if (every := by_part.pop(None, [])) else {}
+        every, counts = by_part.pop(None, []), {}
+        if every and len(every[0]) > 1:
+            found, every = self.keys(every)
+            counts = dict.fromkeys(found, self.count)
+        if every:
+            counts |= self._counted(self.hashes, sorted(every))
         for part, some in by_part.items():
             key = self._key(part)
             twice = self.hashes.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key)
